@@ -47,6 +47,16 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sample_by_hash(df: DataFrame, hashed, n: int) -> DataFrame:
+    """The rows of the ``n`` smallest different hashes, one for each: a repeatable sample of at most ``n`` rows.
+
+    Tasks pass on ``n`` hashes each, not ``n`` rows, before the rows themselves are picked.
+    """
+    rows = df.withColumn("_hash", hashed)
+    top = rows.select("_hash").distinct().orderBy("_hash").limit(n).agg(F.max("_hash")).first()[0]
+    return rows.where(F.col("_hash") <= F.lit(top)).dropDuplicates(["_hash"]).drop("_hash")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,24 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage and its stride, hashed terms, latent dimensions, oversampling.
+#: Words of a passage and its stride (half of it), hashed terms, latent dimensions, oversampling. Frequencies and the basis are
+#: taken over passages side by side, so each word counts once; the search takes overlapping ones.
 PASSAGE, STRIDE, TERMS, RANK, EXTRA = 32, 16, 1 << 13, 32, 8
 #: Cosine of a candidate, share of the item's passage in the longest common subsequence, seed.
 COSINE, COMMON, SEED = 0.5, 0.8, 7
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: ASCII letters lowered, digits and bytes beyond ASCII kept, all else a space.
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
 
 def words(text: bytes | None) -> list[bytes]:
     """Lower-cased runs of letters and digits (any byte beyond ASCII counts as a letter)."""
-    return _WORD.findall((text or b"").lower())
-
-
-def starts(n: int, size: int = PASSAGE, stride: int = STRIDE) -> np.ndarray:
-    """Where the passages of n words start: every ``stride`` words and so that the last one ends the text."""
-    if n <= size:
-        return np.zeros(1 if n else 0, np.int64)
-    at = np.arange(0, n - size + 1, stride)
-    return at if at[-1] == n - size else np.append(at, n - size)
+    return (text or b"").translate(_PLAIN).split()
 
 
 class Terms:
@@ -59,22 +52,45 @@ class Terms:
         return np.array([t if (t := get(w)) is not None else self.__missing(w) for w in ws], np.int64)
 
 
-def _passage_terms(terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage number, term) of each word of each passage."""
-    size = min(PASSAGE, len(terms))
-    index = at[:, None] + np.arange(size)
-    return np.repeat(np.arange(len(at)), size), terms[index].ravel()
+def _pieces(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, document) of each piece of ``size`` words of documents laid end to end; the last piece of one may be shorter."""
+    n = -(-lengths // size)
+    doc = np.repeat(np.arange(len(lengths)), n)
+    within = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    return (np.cumsum(lengths) - lengths)[doc] + within * size, doc
 
 
-def _matrix(terms: np.ndarray, at: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows of the TF-IDF matrix, scaled to length one, times the basis; no passage is written out."""
-    size = min(PASSAGE, len(terms))
-    weighted = (idf[terms, None] * basis[terms]).astype(np.float32)
-    total = np.zeros((len(terms) + 1, basis.shape[1]), np.float64)
-    np.cumsum(weighted, axis=0, out=total[1:])
-    squares = np.concatenate([[0.0], np.cumsum(idf[terms] ** 2, dtype=np.float64)])
-    length = np.sqrt(np.maximum(squares[at + size] - squares[at], 1e-12))
-    return ((total[at + size] - total[at]) / length[:, None]).astype(np.float32)
+def _sums_of(terms: np.ndarray, at: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece: its TF-IDF row (not written out) times the basis, and the sum of squared weights."""
+    weighted = basis[terms]
+    weighted *= idf[terms, None]
+    return np.add.reduceat(weighted, at, axis=0), np.add.reduceat(idf[terms] ** 2, at)
+
+
+def _passages(terms: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Projected unit rows of all passages of some documents, with their document and first word.
+
+    A passage is two successive strides of words; a document of one stride is one passage.
+    """
+    lengths = np.array([len(t) for t in terms])
+    at, doc = _pieces(lengths, STRIDE)
+    x, _ = _sums_of(np.concatenate(terms), at, idf, basis)
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    single = np.flatnonzero(lengths[doc] <= STRIDE)
+    rows = np.concatenate([x[pair] + x[pair + 1], x[single]])
+    first = np.concatenate([pair, single])
+    begin = (np.cumsum(lengths) - lengths)[doc[first]]
+    return _unit(rows), doc[first], at[first] - begin
+
+
+def _documents(batches: Iterator[pa.RecordBatch], memo: Terms, some: int = 256) -> Iterator[list[np.ndarray]]:
+    """Term numbers of a few documents at a time; documents without a word are left out."""
+    for batch in batches:
+        texts = batch.column("text")
+        for at in range(0, len(texts), some):
+            terms = [t for x in texts.slice(at, some).to_pylist() if len(t := memo.of(words(x)))]
+            if terms:
+                yield terms
 
 
 def _sums(batches: Iterator[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
@@ -103,15 +119,15 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         memo = Terms()
 
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for terms in _documents(batches, memo):
+                at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
+                ts = np.concatenate(terms)
+                number = np.zeros(len(ts), np.int64)
+                number[at[1:]] = 1
+                once = np.unique(np.cumsum(number) * TERMS + ts) % TERMS
                 total = np.zeros((TERMS, 2))
-                for text in batch.column("text").to_pylist():
-                    ts = memo.of(words(text))
-                    if len(ts):
-                        at = starts(len(ts))
-                        p, t = _passage_terms(ts, at)
-                        total[:, 0] += np.bincount(np.unique(p * TERMS + t) % TERMS, minlength=TERMS)
-                        total[0, 1] += len(at)
+                total[:, 0] = np.bincount(once, minlength=TERMS)
+                total[0, 1] = len(at)
                 yield total
 
         return _sums(parts(), 2)
@@ -134,24 +150,17 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
         idf_, w = box.value
 
         def parts() -> Iterator[np.ndarray]:
-            for batch in batches:
-                total = np.zeros((TERMS, w.shape[1]), np.float64)
-                for text in batch.column("text").to_pylist():
-                    ts = memo.of(words(text))
-                    if not len(ts):
-                        continue
-                    at = starts(len(ts))
-                    y = _matrix(ts, at, idf_, w)
-                    size = min(PASSAGE, len(ts))
-                    squares = np.concatenate([[0.0], np.cumsum(idf_[ts] ** 2, dtype=np.float64)])
-                    y /= np.sqrt(np.maximum(squares[at + size] - squares[at], 1e-12))[:, None]
-                    steps = np.zeros((len(ts) + 1, w.shape[1]))
-                    np.add.at(steps, at, y)
-                    np.add.at(steps, at + size, -y)
-                    per_word = np.cumsum(steps, axis=0)[:-1] * idf_[ts, None]
-                    order = np.argsort(ts, kind="stable")
-                    cut = np.flatnonzero(np.concatenate([[True], np.diff(ts[order]) != 0]))
-                    total[ts[order][cut]] += np.add.reduceat(per_word[order], cut, axis=0)
+            for terms in _documents(batches, memo):
+                at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
+                ts = np.concatenate(terms)
+                y, squares = _sums_of(ts, at, idf_, w)
+                y /= np.maximum(squares, 1e-12)[:, None]  # rows have length one, on both sides of the product
+                back = np.repeat(y, np.diff(np.append(at, len(ts))), axis=0)
+                back *= idf_[ts, None]
+                order = np.argsort(ts.astype(np.int16), kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(ts[order]) != 0]))
+                total = np.zeros((TERMS, w.shape[1]))
+                total[ts[order][cut]] = np.add.reduceat(back[order], cut, axis=0)
                 yield total
 
         return _sums(parts(), w.shape[1])
@@ -207,33 +216,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Terms()
         idf_, basis_, items_ = box.value
-        queries, owner = [], []
-        for k, (_, ws, _) in enumerate(items_):
-            ts = memo.of(ws)
-            queries.append(_unit(_matrix(ts, starts(len(ts)), idf_, basis_)))
-            owner += [k] * len(queries[-1])
-        q, owner = np.concatenate(queries), np.array(owner)
+        q, owner, _ = _passages([memo.of(ws) for _, ws, _ in items_], idf_, basis_)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ws = words(text)
-                ts = memo.of(ws)
-                if not len(ts):
+            out, ids, texts = [], batch.column("doc_id").to_pylist(), batch.column("text")
+            for begin in range(0, len(ids), 128):
+                some = [(k, ws) for k, x in enumerate(texts.slice(begin, 128).to_pylist(), begin) if (ws := words(x))]
+                if not some:
                     continue
-                at, near = starts(len(ts)), {}
-                for k in range(0, len(at), 2048):
-                    hits = _unit(_matrix(ts, at[k : k + 2048], idf_, basis_)) @ q.T >= cosine
-                    for p, c in zip(*np.nonzero(hits)):
-                        near.setdefault(int(owner[c]), set()).add(int(at[k + p]))
-                for item, places in near.items():
-                    ident, iw, answer = items_[item]
+                rows_, doc, first = _passages([memo.of(ws) for _, ws in some], idf_, basis_)
+                near: dict[tuple[int, int], set[int]] = {}
+                for k in range(0, len(rows_), 8192):
+                    hits = np.flatnonzero((rows_[k : k + 8192] @ q.T).ravel() >= cosine)
+                    for p, c in zip((k + hits // len(q)).tolist(), (hits % len(q)).tolist()):
+                        near.setdefault((int(doc[p]), int(owner[c])), set()).add(int(first[p]))
+                for (d, item), places in near.items():
+                    (ident, iw, answer), (k, ws) = items_[item], some[d]
                     if answer and not _has(ws, answer):
                         continue
-                    best = 0
-                    for a, b in _stretches(sorted(places), len(iw)):
-                        best = max(best, common_subsequence(iw, ws[a:b]))
+                    best = max(common_subsequence(iw, ws[a:b]) for a, b in _stretches(sorted(places), len(iw)))
                     if best >= common * len(iw):
-                        out.append((doc, ident, best, len(iw), best / len(iw)))
+                        out.append((ids[k], ident, best, len(iw), best / len(iw)))
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.int64()] * 4 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "common_words", "item_words", "similarity"])

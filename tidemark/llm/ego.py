@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, sample_by_hash
 
 #: Leading directions, rows in the sample that they are fitted on, rows to a block, rows to a cell range.
 DIMENSIONS, SAMPLE, BLOCK = 8, 5000, 512
@@ -29,7 +29,7 @@ _VECTOR = "array<double>"
 
 def principal_directions(vectors: DataFrame, dims: int = DIMENSIONS, sample: int = SAMPLE) -> np.ndarray | None:
     """Leading principal directions (dims x width) of a bounded sample; any orthonormal ones would be exact."""
-    rows = vectors.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(sample).collect()
+    rows = sorted(sample_by_hash(vectors.select("unit"), F.xxhash64("unit"), sample).collect())
     if not rows:
         return None
     width = max(len(r[0]) for r in rows)

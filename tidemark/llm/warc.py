@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import materialise, sample_by_hash, scratch
 from .files import new_file, random_file
 
 SKIPPABLE = 0x184D2A5D
@@ -30,8 +30,8 @@ REVISIT_BYTES = 1000
 def train_dictionary(pages: DataFrame, payload_col: str, size: int = DICTIONARY_BYTES, records: int = SAMPLE_RECORDS) -> bytes:
     """A dictionary from a sample of ``records`` records picked by the hash of their content; b"" where there are too few."""
     head = F.substring(F.col(payload_col).cast("binary"), 1, SAMPLE_BYTES)
-    sample = pages.select(head.alias("head")).where(F.length("head") > 0).orderBy(F.xxhash64("head"), "head").limit(records)
-    samples = [bytes(r[0]) for r in sample.collect()]
+    sample = sample_by_hash(pages.select(head.alias("head")).where(F.length("head") > 0), F.xxhash64("head"), records)
+    samples = sorted(bytes(r[0]) for r in sample.collect())
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
         return b""
     try:
