@@ -139,6 +139,15 @@ def _shingle_set(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([np.unique(shingle_hashes(x, int(n))).view(np.int64) for x, n in zip(texts, sizes)])
 
 
+@F.pandas_udf(T.StructType([T.StructField("bits", T.LongType()), T.StructField("n", T.IntegerType())]))
+def _print_and_size(texts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, n in zip(texts, sizes):
+        h = shingle_hashes(x, int(n))
+        rows.append((majority(h), len(np.unique(h))))
+    return pd.DataFrame(rows, columns=["bits", "n"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
@@ -149,10 +158,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def near_texts(texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 8, agree: int = 2) -> DataFrame:
+def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 8, agree: int = 2) -> DataFrame:
     """Links (a, b) between different texts whose sets of ``size``-word shingles are similar.
 
-    ``texts`` (id: long, text: string) has distinct texts and ids. Candidates agree in ``agree`` of
+    ``prints`` (id: long, bits, n) has the fingerprint and the number of different shingles of each distinct text, ``texts``
+    (id, text) the texts, of which only those of candidates are moved. Candidates agree in ``agree`` of
     ``blocks`` fingerprint blocks (certain up to ``blocks - agree`` differing bits, likely beyond)
     and in a length class, differ in at most ``max_bits`` bits, and are then verified by the exact
     Jaccard similarity of their shingle sets. Sets whose sizes differ by more than the similarity
@@ -162,15 +172,17 @@ def near_texts(texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     the pivot. Members that link to it are connected already; only those that do not are compared
     with all members. So components are exact and a tight group makes no pairs within itself.
     """
-    rows = texts.select(
-        "id", _shingle_set(F.col("text").cast("binary"), F.lit(size)).alias("hashes"), fingerprint(F.col("text"), size).alias("bits")
-    ).where(F.size("hashes") > 0)
-    rows = materialise(rows, "shingles")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return texts.join(ids, "id", "left_semi").select("id", _shingle_set(F.col("text").cast("binary"), F.lit(size)).alias("hashes"))
+
+    rows = prints.where("n > 0")
     step = float(np.log(1 / similarity))
-    level = F.floor(F.log(F.size("hashes").cast("double")) / step).cast("int")
-    keyed = rows.select("id", "bits", level.alias("own"), F.explode(F.array(level, level + 1)).alias("level"))
-    keyed = keyed.select("id", "bits", "own", "level", F.explode(block_keys(F.col("bits"), blocks, agree)).alias("key")).select(
-        "id", "bits", "own", F.xxhash64("level", "key.which", "key.part").alias("key")
+    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    keyed = rows.select("id", "bits", F.explode(F.array(level, level + 1)).alias("level"))
+    keyed = keyed.select("id", "bits", "level", F.explode(block_keys(F.col("bits"), blocks, agree)).alias("key")).select(
+        "id", "bits", F.xxhash64("level", "key.which", "key.part").alias("key")
     )
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).where("n > 1")
     keyed = materialise(keyed.join(sizes, "key"), "blocks")
@@ -180,9 +192,7 @@ def near_texts(texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     direct = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").where(near(F.col("x.bits"), F.col("y.bits"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = many.where("id <> pivot.id").where(near(F.col("bits"), F.col("pivot.bits"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     pairs = materialise(direct.union(star).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = rows.join(ids, "id", "left_semi").select("id", "hashes")
-    links = materialise(_verified(pairs, sets, similarity), "links")
+    links = materialise(_verified(pairs, materialise(sets_of(pairs), "sets"), similarity), "links")
     tied = links.select(F.col("a").alias("p"), F.col("b").alias("id"))
     rest = many.where("id <> pivot.id").select("id", "bits", "key", F.col("pivot.id").alias("p")).join(tied, ["p", "id"], "left_anti")
     all_of = many.where("id <> pivot.id").select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), "key")
@@ -191,22 +201,27 @@ def near_texts(texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     )
     late = materialise(late.join(pairs, ["a", "b"], "left_anti"), "late")
-    return links.union(_verified(late, rows.select("id", "hashes"), similarity))
+    if not late.take(1):
+        return links
+    return links.union(_verified(late, materialise(sets_of(late), "sets"), similarity))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, **how) -> DataFrame:
     """(id, component_id): groups of texts that are equal or near each other; component_id = smallest id.
 
-    Null and empty texts are groups of their own (each id alone). Rows with a null id are left out.
+    Null and empty texts are groups of their own (each id alone). Rows with a null id are left out. Different texts
+    under one id belong together.
     """
     full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     digest = F.when(F.length(F.trim("text")) > 0, F.sha2(F.col("text").cast("binary"), 256))
-    full = full.select("id", "text", F.coalesce(digest, F.concat(F.lit("alone "), F.col("id").cast("string"))).alias("digest"))
-    same = materialise(full.groupBy("digest").agg(F.min("id").alias("low")), "same")
-    firsts = full.join(same, "digest").where("id = low").dropDuplicates(["id"]).select("id", "text").where(F.length(F.trim("text")) > 0)
-    ends = components(near_texts(firsts, size, similarity, **how))
+    digest = F.coalesce(digest, F.concat(F.lit("alone "), F.col("id").cast("string")))
+    seen = full.select("id", digest.alias("digest"), _print_and_size(F.col("text").cast("binary"), F.lit(size)).alias("p"))
+    seen = materialise(seen.select("id", "digest", "p.bits", "p.n"), "prints")
+    same = materialise(seen.groupBy("digest").agg(F.min("id").alias("low"), F.min("bits").alias("bits"), F.min("n").alias("n")), "same")
+    firsts = same.select(F.col("low").alias("id"), "bits", "n")
+    ends = components(near_texts(firsts, full, size, similarity, **how))
     named = same.join(ends.withColumnRenamed("node", "low"), "low", "left").select("digest", F.coalesce("component", "low").alias("component_id"))
-    return full.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    return seen.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
