@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,38 +57,39 @@ def sample_by_hash(df: DataFrame, hashed, n: int) -> DataFrame:
     return rows.where(F.col("_hash") <= F.lit(top)).dropDuplicates(["_hash"]).drop("_hash")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and their number and checksum, taken while they are written."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    out = materialise(edges.observe(seen, *sums), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b: long) as (node, component), component = smallest node.
 
     Alternating large-star and small-star rounds: each round is two aggregations by node and two
-    equi-joins, written to the shared folder. Every component ends as a star around its smallest
+    equi-joins in one job, written to the shared folder. Every component ends as a star around its smallest
     node. Nothing is collected but a count and a checksum per round. Self-loops and null ends are
     ignored; a node without an edge is not in the result.
     """
-    edges = materialise(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
+    edges, state = _observed(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
+    for _ in range(max_rounds if state[0] else 0):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "large")
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).distinct()
         )  # every edge runs from the larger node to the smaller
-        new = materialise(small, "edges")
-        discard(large)
+        new, now = _observed(small)
         discard(edges)
-        edges, old, state = new, state, _state(new)
+        edges, state, old = new, now, state
         if state == old:
             break
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
