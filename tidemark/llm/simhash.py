@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise
+from .common import components, discard, materialise
 
 SEED = 42
 #: Members of a bucket up to which its pairs are made directly.
@@ -192,7 +192,9 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     direct = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").where(near(F.col("x.bits"), F.col("y.bits"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = many.where("id <> pivot.id").where(near(F.col("bits"), F.col("pivot.bits"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     pairs = materialise(direct.union(star).distinct(), "pairs")
-    links = materialise(_verified(pairs, materialise(sets_of(pairs), "sets"), similarity), "links")
+    sets = materialise(sets_of(pairs), "sets")
+    links = materialise(_verified(pairs, sets, similarity), "links")
+    discard(sets)
     tied = links.select(F.col("a").alias("p"), F.col("b").alias("id"))
     rest = many.where("id <> pivot.id").select("id", "bits", "key", F.col("pivot.id").alias("p")).join(tied, ["p", "id"], "left_anti")
     all_of = many.where("id <> pivot.id").select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), "key")
@@ -201,6 +203,8 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     )
     late = materialise(late.join(pairs, ["a", "b"], "left_anti"), "late")
+    discard(keyed)
+    discard(pairs)
     if not late.take(1):
         return links
     return links.union(_verified(late, materialise(sets_of(late), "sets"), similarity))
