@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 #: Words of a passage and its stride (half of it), hashed terms, latent dimensions, oversampling. Frequencies and the basis are
 #: taken over passages side by side, so each word counts once; the search takes overlapping ones.
-PASSAGE, STRIDE, TERMS, RANK, EXTRA = 32, 16, 1 << 13, 32, 8
+PASSAGE, STRIDE, TERMS, RANK, EXTRA = 32, 16, 1 << 13, 40, 8
 #: Cosine of a candidate, share of the item's passage in the longest common subsequence, seed.
-COSINE, COMMON, SEED = 0.5, 0.8, 7
+COSINE, COMMON, SEED = 0.6, 0.8, 7
 #: ASCII letters lowered, digits and bytes beyond ASCII kept, all else a space.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
@@ -233,7 +233,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     (ident, iw, answer), (k, ws) = items_[item], some[d]
                     if answer and not _has(ws, answer):
                         continue
-                    best = max(common_subsequence(iw, ws[a:b]) for a, b in _stretches(sorted(places), len(iw)))
+                    best = max(_common_near(iw, ws, p, common) for p in places)
                     if best >= common * len(iw):
                         out.append((ids[k], ident, best, len(iw), best / len(iw)))
             columns = list(zip(*out)) or [()] * 5
@@ -252,11 +252,16 @@ def _has(ws: list[bytes], answer: list[bytes]) -> bool:
     return any(ws[i : i + n] == answer for i in range(len(ws) - n + 1))
 
 
-def _stretches(places: list[int], n: int) -> Iterator[tuple[int, int]]:
-    """The words that an item of n words can fill around each candidate passage; at most 1.5 n of them in a row."""
-    for p in places:
-        for a in range(max(0, p - n), p + PASSAGE, max(1, n // 4)):
-            yield a, a + n + n // 4
+def _common_near(item: list[bytes], ws: list[bytes], place: int, common: float) -> int:
+    """Longest common subsequence of the item with any stretch of 1.25 times its length around a candidate passage.
+
+    Words that the neighbourhood lacks can't be in it, so most candidates end with the first test.
+    """
+    n = len(item)
+    around = set(ws[max(0, place - n) : place + PASSAGE + n])
+    if sum(w in around for w in item) < common * n:
+        return 0
+    return max(common_subsequence(item, ws[a : a + n + n // 4]) for a in range(max(0, place - n), place + PASSAGE, max(1, n // 4)))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
