@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Words of a passage and its stride (half of it), hashed terms, latent dimensions, oversampling. Frequencies and the basis are
 #: taken over passages side by side, so each word counts once; the search takes overlapping ones.
 PASSAGE, STRIDE, TERMS, RANK, EXTRA = 32, 16, 1 << 13, 40, 8
@@ -35,21 +37,30 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_PLAIN).split()
 
 
-class Terms:
-    """Hashed term numbers of words, remembered for a bounded number of different words."""
+class Numbers:
+    """32-bit hashes of words, remembered for a bounded number of different words; a word's term is its hash modulo ``TERMS``."""
 
     def __init__(self, limit: int = 300_000):
         self.memo: dict[bytes, int] = {}
         self.limit = limit
 
-    def __missing(self, w: bytes) -> int:
+    def of(self, ws: list[bytes]) -> np.ndarray:
         if len(self.memo) > self.limit:
             self.memo.clear()
-        return self.memo.setdefault(w, xxhash.xxh3_64_intdigest(w) % TERMS)
+        memo = self.memo
+        for w in set(ws).difference(memo):
+            memo[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
+        return np.fromiter(map(memo.__getitem__, ws), np.uint32, len(ws))
 
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        get = self.memo.get
-        return np.array([t if (t := get(w)) is not None else self.__missing(w) for w in ws], np.int64)
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, words): each text as its words' hashes, four bytes a word, so that later passes need not split it again."""
+    memo = Numbers()
+    for batch in batches:
+        texts = batch.column("text")
+        for at in range(0, len(texts), 512):
+            found = [memo.of(words(x)).tobytes() for x in texts.slice(at, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 512), pa.array(found, pa.binary())], ["doc_id", "words"])
 
 
 def _pieces(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +94,16 @@ def _passages(terms: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> tu
     return _unit(rows), doc[first], at[first] - begin
 
 
-def _documents(batches: Iterator[pa.RecordBatch], memo: Terms, some: int = 256) -> Iterator[list[np.ndarray]]:
+def _terms(numbers: np.ndarray) -> np.ndarray:
+    return (numbers % TERMS).astype(np.int64)
+
+
+def _documents(batches: Iterator[pa.RecordBatch], some: int = 256) -> Iterator[list[np.ndarray]]:
     """Term numbers of a few documents at a time; documents without a word are left out."""
     for batch in batches:
-        texts = batch.column("text")
-        for at in range(0, len(texts), some):
-            terms = [t for x in texts.slice(at, some).to_pylist() if len(t := memo.of(words(x)))]
+        column = batch.column("words")
+        for at in range(0, len(column), some):
+            terms = [_terms(np.frombuffer(x, np.uint32)) for x in column.slice(at, some).to_pylist() if x]
             if terms:
                 yield terms
 
@@ -113,13 +128,11 @@ def _gathered(sums: DataFrame, width: int) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Smoothed inverse passage frequency of each hashed term over all passages of ``docs`` (column text)."""
+    """Smoothed inverse passage frequency of each hashed term over all passages of ``docs`` (column words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Terms()
-
         def parts() -> Iterator[np.ndarray]:
-            for terms in _documents(batches, memo):
+            for terms in _documents(batches):
                 at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
                 ts = np.concatenate(terms)
                 number = np.zeros(len(ts), np.int64)
@@ -132,7 +145,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
         return _sums(parts(), 2)
 
-    got = _gathered(docs.select("text").mapInArrow(count, "term long, v array<double>"), 2)
+    got = _gathered(docs.select("words").mapInArrow(count, "term long, v array<double>"), 2)
     return np.log((1 + got[:, 1].sum()) / (1 + got[:, 0])) + 1
 
 
@@ -146,11 +159,10 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
     box = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), sketch))  # terms x sketch, 2 MB
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Terms()
         idf_, w = box.value
 
         def parts() -> Iterator[np.ndarray]:
-            for terms in _documents(batches, memo):
+            for terms in _documents(batches):
                 at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
                 ts = np.concatenate(terms)
                 y, squares = _sums_of(ts, at, idf_, w)
@@ -165,7 +177,7 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
 
         return _sums(parts(), w.shape[1])
 
-    g = _gathered(docs.select("text").mapInArrow(multiply, "term long, v array<double>"), rank + extra)
+    g = _gathered(docs.select("words").mapInArrow(multiply, "term long, v array<double>"), rank + extra)
     w = sketch.astype(np.float64)
     # Nystroem form of the symmetric A'A from its product with W
     core = w.T @ g
@@ -177,9 +189,9 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
     return (u / s).astype(np.float32)
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence of two lists of words, bit-parallel."""
-    places: dict[bytes, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     row = (1 << len(a)) - 1
@@ -206,24 +218,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if size > 256 << 20:
         raise ValueError(f"the benchmark has {size} bytes; search it in parts of at most 256 MB")
     schema = "doc_id long, item_id long, common_words long, item_words long, similarity double"
-    items = [(r[0], w, words(bytes(r[2])) if r[2] else []) for r in benchmark.select(*columns).dropDuplicates().collect() if (w := words(bytes(r[1]) if r[1] else None))]
+    memo = Numbers()
+    numbers = lambda x: memo.of(words(bytes(x) if x else None))
+    items = [(r[0], w, numbers(r[2]).tolist()) for r in benchmark.select(*columns).dropDuplicates().collect() if len(w := numbers(r[1]))]
     if not items:
         return spark.createDataFrame([], schema)
+    rows = materialise(rows.mapInArrow(_numbered, "doc_id long, words binary"), "words")
     idf = inverse_frequencies(rows)
     basis = randomised_svd(rows, idf)
     box = spark.sparkContext.broadcast((idf.astype(np.float32), basis, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Terms()
         idf_, basis_, items_ = box.value
-        q, owner, _ = _passages([memo.of(ws) for _, ws, _ in items_], idf_, basis_)
+        q, owner, _ = _passages([_terms(ws) for _, ws, _ in items_], idf_, basis_)
         for batch in batches:
-            out, ids, texts = [], batch.column("doc_id").to_pylist(), batch.column("text")
+            out, ids, column = [], batch.column("doc_id").to_pylist(), batch.column("words")
             for begin in range(0, len(ids), 128):
-                some = [(k, ws) for k, x in enumerate(texts.slice(begin, 128).to_pylist(), begin) if (ws := words(x))]
+                some = [(k, np.frombuffer(x, np.uint32)) for k, x in enumerate(column.slice(begin, 128).to_pylist(), begin) if x]
                 if not some:
                     continue
-                rows_, doc, first = _passages([memo.of(ws) for _, ws in some], idf_, basis_)
+                rows_, doc, first = _passages([_terms(ws) for _, ws in some], idf_, basis_)
                 near: dict[tuple[int, int], set[int]] = {}
                 for k in range(0, len(rows_), 8192):
                     hits = np.flatnonzero((rows_[k : k + 8192] @ q.T).ravel() >= cosine)
@@ -231,9 +245,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         near.setdefault((int(doc[p]), int(owner[c])), set()).add(int(first[p]))
                 for (d, item), places in near.items():
                     (ident, iw, answer), (k, ws) = items_[item], some[d]
+                    ws = ws.tolist()
                     if answer and not _has(ws, answer):
                         continue
-                    best = max(_common_near(iw, ws, p, common) for p in places)
+                    best = max(_common_near(iw.tolist(), ws, p, common) for p in places)
                     if best >= common * len(iw):
                         out.append((ids[k], ident, best, len(iw), best / len(iw)))
             columns = list(zip(*out)) or [()] * 5
@@ -247,12 +262,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _has(ws: list[bytes], answer: list[bytes]) -> bool:
+def _has(ws: list[int], answer: list[int]) -> bool:
     n = len(answer)
     return any(ws[i : i + n] == answer for i in range(len(ws) - n + 1))
 
 
-def _common_near(item: list[bytes], ws: list[bytes], place: int, common: float) -> int:
+def _common_near(item: list[int], ws: list[int], place: int, common: float) -> int:
     """Longest common subsequence of the item with any stretch of 1.25 times its length around a candidate passage.
 
     Words that the neighbourhood lacks can't be in it, so most candidates end with the first test.
