@@ -167,22 +167,25 @@ def encode_words(table: DataFrame, path: str, word: str = "word") -> DataFrame:
     return done.withColumns({"ids_text": F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), "decoded": F.unhex(F.array_join(pieces_of, ""))})
 
 
+def packed(ids: Column) -> Column:
+    """An array of ids as four big-endian bytes each."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+
+
 def merge_words(table: DataFrame, path: str) -> DataFrame:
-    """The same columns as :func:`encode_words` (ids aside) for a table of (word, chunks), merged by a heap in Arrow batches.
+    """(word, chunks, ids): the ids of each word as four big-endian bytes each, merged by a heap in Arrow batches.
 
-    The folded form costs several times the CPU seconds (figures in the README), so documents are
+    The folded form (:func:`encode_words`) costs several times the CPU seconds (figures in the README), so documents are
     encoded through this one.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks.of(path)
         for batch in batches:
-            ids = [ranks.merge(w.encode()) for w in batch.column("word").to_pylist()]
-            texts = pa.array([",".join(map(str, x)) for x in ids], pa.string())
-            decoded = pa.array([b"".join([ranks.pieces[i] for i in x]) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("chunks"), texts, decoded], ["word", "chunks", "ids_text", "decoded"])
+            ids = [np.array(ranks.merge(w.encode()), ">u4").tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("chunks"), pa.array(ids, pa.binary())], ["word", "chunks", "ids"])
 
-    return table.mapInArrow(merge, "word string, chunks array<long>, ids_text string, decoded binary")
+    return table.mapInArrow(merge, "word string, chunks array<long>, ids binary")
 
 
 def decode_ids(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -206,29 +209,23 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _assembler(path: str):
     def assemble(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         ranks = Ranks.of(path)
-        table = dict(zip(table["word"], zip(table["ids_text"], table["decoded"])))
-        memo: dict[str, tuple[str, bytes, int]] = {}
-
-        def learn(unit: str) -> tuple[str, bytes, int]:
-            got = []
-            for w in words(unit):
-                if w in table:
-                    got.append(table[w])
-                else:
-                    ids = ranks.merge(w.encode())
-                    got.append((",".join(map(str, ids)), b"".join(ranks.pieces[i] for i in ids)))
-            texts = ",".join(x[0] for x in got)
-            return texts, b"".join(x[1] for x in got), texts.count(",") + 1
+        known = dict(zip(table["word"], table["ids"]))
+        texts: dict[str, str] = {}  # of units: their ids in decimal, and the pieces that the ids stand for
+        decoded: dict[str, bytes] = {}
+
+        def ids_of(word: str) -> list[int]:
+            return np.frombuffer(known[word], ">u4").tolist() if word in known else ranks.merge(word.encode())
 
         rows = []
         for row, text in zip(docs["row"], docs["text"]):
             us = units(text) if text else []
-            for u in us:
-                if u not in memo:
-                    memo[u] = learn(u)
-            got = [memo[u] for u in us]
-            ids_text = ",".join([x[0] for x in got])
-            rows.append((row, sum([x[2] for x in got]), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(b"".join([x[1] for x in got])).hexdigest(), ids_text))
+            for u in set(us).difference(texts):
+                ids = ids_of(u) if u in known else [i for w in words(u) for i in ids_of(w)]
+                texts[u] = ",".join(map(str, ids))
+                decoded[u] = b"".join([ranks.pieces[i] for i in ids])
+            ids_text = ",".join(map(texts.__getitem__, us))
+            whole = b"".join(map(decoded.__getitem__, us))
+            rows.append((row, ids_text.count(",") + 1 if us else 0, hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), ids_text))
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_text"])
 
     return assemble
@@ -247,8 +244,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row", "text"), F.lit(chunks)).cast("long")).repartition(int(chunks), "chunk")
     held = dealt.mapInArrow(_chunk_words, "chunk long, word string")
     distinct = held.groupBy("word", F.floor(F.col("chunk") / NAMED).alias("range")).agg(F.collect_list("chunk").alias("chunks"))
-    encoded = encode_words(distinct, path) if native else merge_words(distinct.select("word", "chunks"), path)
-    table = encoded.select(F.explode("chunks").alias("chunk"), "word", "ids_text", "decoded").repartition(int(chunks), "chunk")
+    encoded = encode_words(distinct, path).withColumn("ids", packed(F.col("ids"))) if native else merge_words(distinct.select("word", "chunks"), path)
+    table = encoded.select(F.explode("chunks").alias("chunk"), "word", "ids").repartition(int(chunks), "chunk")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids_text string" * with_ids
     assemble = _assembler(path)
     whole = assemble if with_ids else lambda d, t: assemble(d, t).drop(columns="ids_text")
