@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rules, text
-from tidemark.operators import asof, codes, cohort, corpus, evalm, history, pooling, quality, sampling, scoring, stats
+from tidemark.operators import asof, codes, cohort, corpus, evalm, features, history, pooling, quality, sampling, scoring, stats
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +538,78 @@ def bmi_categories(spark, d):
 @query(f"""WITH e AS (SELECT user_id, CASE WHEN event_type = 'click' THEN {_K} * 1.0 WHEN event_type = 'view' THEN {_K} / 0.6 END AS w FROM events) SELECT user_id, CASE WHEN max(w) = 0 THEN 'A' WHEN max(w) <= 30 THEN 'B' WHEN max(w) <= 120 THEN 'C' WHEN max(w) IS NOT NULL THEN 'D' END AS option FROM e GROUP BY 1""")
 def amount_options(spark, d):
     return rules.amount_option(_events(spark, d).withColumn("r", F.col("k").cast("string")), ["user_id"], {"click": 1, "view": 1 / 0.6}, "event_type", "r", (0, 30, 120))
+
+
+# ---- records, unions, whole jobs -------------------------------------------------------------------------------------
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'refund') GROUP BY 1), v(option) AS (VALUES ('view'), ('click'), ('refund'))
+    SELECT 'kind' AS feature, option, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 6) AS share FROM v LEFT JOIN c ON option = event_type""")
+def option_prevalence(spark, d):
+    valid = spark.createDataFrame([("kind", "view"), ("kind", "click"), ("kind", "refund")], "feature string, option string")
+    e = _t(spark, d, "events").select(F.lit("kind").alias("feature"), "event_type")
+    return features.prevalence(e, "feature", "event_type", valid).withColumn("share", _R("share"))
+
+
+@query("""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS keyword, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events)
+    SELECT entity_id, 'first_event' AS feature_name, keyword, ts AS date, 'Yes' AS prediction FROM f WHERE n = 1""")
+def first_coded_records(spark, d):
+    e = _events(spark, d).withColumn("code", F.col("k").cast("string"))
+    return features.coded(e, "user_id", "ts", "code", "event_type", "first_event").select("entity_id", "feature_name", "keyword", "date", "prediction")
+
+
+@query("""SELECT 'EMPI:' || CAST(user_id AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def id_export(spark, d):
+    return tables.id_lines(_t(spark, d, "events"), "user_id")
+
+
+@query("""SELECT source AS entity_id, doc_id AS note_id, length(text) AS n, 'documents' AS source_table FROM documents UNION ALL SELECT role, conv_id * 1000 + turn, length(text), 'conversations' FROM conversations""")
+def united_notes(spark, d):
+    a = _t(spark, d, "documents").withColumn("n", F.length("text"))
+    b = _t(spark, d, "conversations").withColumns({"n": F.length("text"), "note": F.col("conv_id") * 1000 + F.col("turn")})
+    return tables.union_aliased([(a, {"entity_id": "source", "note_id": "doc_id", "n": "n"}, "documents"), (b, {"entity_id": "role", "note_id": "note", "n": "n"}, "conversations")])
+
+
+@query("""WITH m AS (SELECT event_type, user_id % 5 AS method, avg(value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2) SELECT event_type, round(avg(v), 6) AS mean, max(v) - min(v) > 5 AS disagree, count(DISTINCT method) AS methods FROM m GROUP BY 1""")
+def method_consensus(spark, d):
+    m = _t(spark, d, "events").where("value is not null").groupBy("event_type", (F.col("user_id") % 5).alias("method")).agg(F.avg("value").alias("v"))
+    return history.consensus(m, "event_type", "method", "v", 5).withColumn("mean", _R("mean"))
+
+
+@query(f"""WITH {_LAB}, c AS (SELECT lang, doc_id % 3 = 0 AS syn, CAST(quality = pred AS INT) AS hit FROM lab)
+    SELECT lang, count(*) AS n, round(avg(hit), 6) AS combined, round(avg(hit) FILTER (WHERE NOT syn), 6) AS natural, round(avg(hit) FILTER (WHERE syn), 6) AS synthetic FROM c GROUP BY 1""")
+def evaluation_job(spark, d):
+    from tidemark.plans import jobs
+
+    out = jobs.evaluate(_lab(spark, d).withColumn("syn", F.col("doc_id") % 3 == 0), ["lang"], "quality", "pred", "syn")
+    return out.withColumns({c: _R(c) for c in ("combined", "natural", "synthetic")})
+
+
+@query(f"""WITH k AS (SELECT source, doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE {_HIT('text', 'the')}), s AS (SELECT source, doc_id, w, unnest(range(0, greatest(len(w) - 20, 1), 180)) AS s FROM k),
+    c AS (SELECT source, doc_id, s // 180 AS chunk_index, array_to_string(w[s + 1 : s + 200], ' ') AS chunk FROM s)
+    SELECT source, min(doc_id) AS doc_id FROM c WHERE {_HIT('chunk', 'the')} GROUP BY 1""")
+def validation_set(spark, d):
+    from tidemark.plans import jobs
+
+    docs = _t(spark, d, "documents").select("source", "doc_id", "text")
+    return jobs.validation_set(docs, "source", "doc_id", "text", ["the"], ["doc_id", "chunk_index"], 1_000_000).select("source", "doc_id")
+
+
+@query("""SELECT doc_id, 'Judge the text.' || chr(10) || chr(10) || text AS content, CAST(quality AS VARCHAR) AS ground_truth, 'train' AS split FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""")
+def training_rows(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "text").join(_t(spark, d, "labels"), "doc_id")
+    out = tables.training_rows(rows.withColumn("tagged", F.concat_ws("|", F.col("doc_id").cast("string"), "text")), "Judge the text.", "tagged", "quality", "train")
+    content = F.get("prompt", F.lit(0))["content"]
+    tail = F.substring_index(content, "\n\n", 1)
+    body = F.substr(content, F.length(tail) + 3)
+    return out.select(F.substring_index(body, "|", 1).cast("bigint").alias("doc_id"), F.concat(tail, F.lit("\n\n"), F.substr(body, F.locate("|", body) + 1)).alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"), F.col("extra_info.split").alias("split"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""")
+def priced_summary(spark, d):
+    l = _t(spark, d, "lineitem").where("l_shipdate <= date '1998-09-02'")
+    return l.groupBy("l_returnflag", "l_linestatus").agg(_R(F.sum("l_quantity"), 2).alias("sum_qty"), _R(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_LAB} SELECT lang, doc_id FROM lab WHERE quality IS DISTINCT FROM pred ORDER BY doc_id LIMIT 25""")
+def error_listing(spark, d):
+    return evalm.errors(_lab(spark, d), "quality", "pred", ["doc_id"], 25).select("lang", "doc_id")
