@@ -146,7 +146,7 @@ def test_near_duplicates(spark, docs, monkeypatch):
     some = [(k, t) for k, t in rows_of(docs) if k is not None]
     base = some[3][1].split(" ")
     some += [(5000 + i, " ".join([*base[:i], "zzq", *base[i + 1 :]])) for i in range(60)]  # a tight group of near copies
-    monkeypatch.setattr(simhash, "BUCKET", 20)
+    monkeypatch.setattr(simhash, "PIVOT", 5)
     got = dict(simhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).distinct().collect())
     s = {k: sets(t) for k, t in some}
     texts = dict(some)

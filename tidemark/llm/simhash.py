@@ -25,6 +25,8 @@ from .common import components, discard, materialise
 SEED = 42
 #: Members of a bucket up to which its pairs are made directly.
 BUCKET = 64
+#: The same where links are verified by texts: beyond it, members of a bucket are compared with one of them first.
+PIVOT = 16
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -168,9 +170,10 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     Jaccard similarity of their shingle sets. Sets whose sizes differ by more than the similarity
     allows cannot pass, so a text is filed under its own length class and the next.
 
-    In a bucket with more than ``BUCKET`` members each member is first compared with one of them,
-    the pivot. Members that link to it are connected already; only those that do not are compared
-    with all members. So components are exact and a tight group makes no pairs within itself.
+    In a bucket with more than ``PIVOT`` members each member is first compared with one of them,
+    the pivot. Members that these links connect with it need no more pairs with each other; only those
+    that they do not are compared with members of other components. So components are exact and a tight group makes no
+    pairs within itself.
     """
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -187,19 +190,23 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).where("n > 1")
     keyed = materialise(keyed.join(sizes, "key"), "blocks")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
-    few = keyed.where(F.col("n") <= BUCKET).select("id", "bits", "key")
-    many = keyed.where(F.col("n") > BUCKET)
+    few = keyed.where(F.col("n") <= PIVOT).select("id", "bits", "key")
+    many = keyed.where(F.col("n") > PIVOT)
     direct = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id").where(near(F.col("x.bits"), F.col("y.bits"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     star = many.where("id <> pivot.id").where(near(F.col("bits"), F.col("pivot.bits"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     pairs = materialise(direct.union(star).distinct(), "pairs")
     sets = materialise(sets_of(pairs), "sets")
     links = materialise(_verified(pairs, sets, similarity), "links")
     discard(sets)
-    tied = links.select(F.col("a").alias("p"), F.col("b").alias("id"))
-    rest = many.where("id <> pivot.id").select("id", "bits", "key", F.col("pivot.id").alias("p")).join(tied, ["p", "id"], "left_anti")
-    all_of = many.where("id <> pivot.id").select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), "key")
+    ends = components(links)
+    of = lambda c, name: ends.select(F.col("node").alias(c), F.col("component").alias(name))
+    part = F.coalesce("own", "id")
+    placed = many.select("id", "bits", "key", F.col("pivot.id").alias("p")).join(of("id", "own"), "id", "left").join(of("p", "top"), "p", "left")
+    placed = placed.select("id", "bits", "key", part.alias("own"), F.coalesce("top", "p").alias("top"))
+    rest = placed.where("own <> top")
+    all_of = placed.select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), F.col("own").alias("other_own"), "key")
     late = (
-        rest.join(all_of, "key").where("id <> other").where(near(F.col("bits"), F.col("other_bits")))
+        rest.join(all_of, "key").where("own <> other_own").where(near(F.col("bits"), F.col("other_bits")))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     )
     late = materialise(late.join(pairs, ["a", "b"], "left_anti"), "late")
