@@ -160,6 +160,33 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert kept.count() == len(set(got.values()))
 
 
+def test_near_duplicates_by_band(spark):
+    """Every pair of distinct texts at a similarity of 0.8 or more, in each band, on the real table and on texts with replaced words."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rng = np.random.default_rng(8)
+    for i in range(0, 400):
+        ws = rows[i][1].split()
+        for j in rng.integers(0, len(ws), max(1, round(len(ws) * rng.uniform(0.005, 0.025)))):
+            ws[j] = f"zq{i}x{j}"
+        rows.append((10**6 + i, " ".join(ws)))
+    got = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sets, where = {}, defaultdict(list)
+    for k, t in rows:
+        ws = t.lower().split()
+        sets[k] = {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+        for s in sets[k]:
+            where[s].append(k)
+    common = Counter((a, b) for ids in where.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    bands, edges = defaultdict(list), []
+    for (a, b), c in common.items():
+        s = c / (len(sets[a]) + len(sets[b]) - c)
+        if s >= 0.8:
+            bands[int(s * 20)].append(got[a] == got[b])
+            edges.append((a, b))
+    assert set(bands) >= {16, 17, 18, 19} and all(all(v) for v in bands.values()), {k: np.mean(v) for k, v in bands.items()}
+    assert got == labels(edges, sorted(sets))
+
+
 def test_language(spark, docs, empty):
     got = langid.identify(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)

@@ -27,6 +27,8 @@ SEED = 42
 BUCKET = 64
 #: The same where links are verified by texts: beyond it, members of a bucket are compared with one of them first.
 PIVOT = 16
+#: Shingles that the order of prefixes puts last, at most (their number does not depend on the corpus).
+FREQUENT = 1 << 16
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -160,6 +162,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def _frequent(texts: DataFrame, size: int) -> dict[int, int]:
+    """Up to ``FREQUENT`` shingles that many texts share, with a rank: the more texts, the higher.
+
+    Tasks report what occurs three times within a batch. Any choice gives the same links; this one keeps buckets small.
+    """
+
+    def count(batches):
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(x, size)) for x in pdf["text"]]
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            top = np.argsort(-n, kind="stable")[: min(FREQUENT, int((n > 2).sum()))]
+            yield pd.DataFrame({"shingle": h[top].view(np.int64), "n": n[top]})
+
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "shingle long, n long")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > PIVOT).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    return {r["shingle"]: len(top) - i for i, r in enumerate(top)}
+
+
+def prefix(hashes: np.ndarray, ranks: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's ascending hashes, those in ``frequent`` (ascending) last and by rank: similar sets share one of them."""
+    least = int(np.ceil(similarity * len(hashes) - 1e-9))
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, ranks[at], 0), kind="stable")]
+    return hashes[: len(hashes) - least + 1]
+
+
+def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different components of ``own`` (node, component): every pair that is similar enough is among them.
+
+    Two sets of Jaccard similarity s share more than they lose, so in any common order of shingles the first
+    n - ceil(s n) + 1 of each have one in common (prefix filter). Rare shingles come first. A pair must also share
+    so many of these that its similarity can be reached. Pairs within the largest component of a bucket are not made.
+    """
+    ranked = _frequent(texts, size)
+    keys = np.array(sorted(ranked, key=lambda k: k & (1 << 64) - 1), np.int64)
+    box = texts.sparkSession.sparkContext.broadcast((keys.view(np.uint64), np.array([ranked[int(k)] for k in keys], np.int64)))  # at most 1 MB
+
+    def cut(batches):
+        frequent, ranks = box.value
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(x, size)) for x in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(h) for h in sets], "keys": [prefix(h, ranks, frequent, similarity).view(np.int64) for h in sets]})
+
+    # prefixes are cut where the texts are read, so no text moves
+    cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInPandas(cut, "id long, n long, keys array<long>")
+    cuts = cuts.join(rows.select("id").distinct(), "id", "left_semi").join(own.withColumnRenamed("node", "id"), "id", "left")
+    keyed = cuts.select("id", "n", F.coalesce("component", "id").alias("own"), F.explode("keys").alias("key")).repartition("key")
+    parts = keyed.groupBy("key", "own").agg(F.count("*").alias("members"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("own", F.struct("members", "own")).alias("top")).where("parts > 1").drop("parts")
+    placed = materialise(keyed.join(mixed, "key"), "prefixes")
+    x, y = placed.where("own <> top").alias("x"), placed.alias("y")
+    meet = x.join(y, "key").where("x.own <> y.own and (y.own = y.top or x.id < y.id)")
+    meet = meet.where((F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
+    rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
+    shared = meet.select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"),
+        rest(F.greatest("x.n", "y.n")).alias("beyond"),
+    ).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("both").alias("both"), F.max("beyond").alias("beyond"))
+    out = materialise(shared.where(F.col("common") + F.col("beyond") >= similarity / (1 + similarity) * F.col("both") - 1e-6).select("a", "b"), "across")
+    discard(placed)
+    return out
+
+
 def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 8, agree: int = 2) -> DataFrame:
     """Links (a, b) between different texts whose sets of ``size``-word shingles are similar.
 
@@ -172,8 +238,11 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
 
     In a bucket with more than ``PIVOT`` members each member is first compared with one of them,
     the pivot. Members that these links connect with it need no more pairs with each other; only those
-    that they do not are compared with members of other components. So components are exact and a tight group makes no
+    that they do not are compared with members of other components. So a tight group makes no
     pairs within itself.
+
+    Pairs that fingerprints miss are found by an exact join on rare shingles between the components so far (:func:`_across`),
+    so the components of all links are those of all pairs that are similar enough.
     """
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -212,9 +281,13 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     late = materialise(late.join(pairs, ["a", "b"], "left_anti"), "late")
     discard(keyed)
     discard(pairs)
-    if not late.take(1):
+    if late.take(1):
+        links = materialise(links.union(_verified(late, materialise(sets_of(late), "sets"), similarity)), "links")
+        ends = components(links)
+    more = _across(rows, texts, ends, size, similarity)
+    if not more.take(1):
         return links
-    return links.union(_verified(late, materialise(sets_of(late), "sets"), similarity))
+    return links.union(_verified(more, materialise(sets_of(more), "sets"), similarity))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, **how) -> DataFrame:
