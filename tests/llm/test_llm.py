@@ -300,6 +300,20 @@ def test_passages(spark, docs, empty):
     assert substring.repeated_passages(empty).count() == 0 and substring.remove_passages(docs, substring.repeated_passages(docs)).columns == docs.columns
 
 
+def test_passages_of_frequent_lines(spark):
+    """Documents share four lines that others, before and between them, hold one at a time."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    rows, pairs = [], set()
+    for g in range(0, 2400, 100):
+        lines = [text(20) for _ in range(3)]
+        whole = lambda: " ".join(text(60) + [w for line in lines for w in [*line, *text(2)]] + text(60))  # noqa: E731, B023
+        rows += [(g + at + i, " ".join(text(50) + line + text(50))) for at in (1, 20)[: 1 + g // 100 % 2] for i, line in enumerate(lines)] + [(g + 10, whole()), (g + 30, whole())]
+        pairs.add((g + 30, g + 10))
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pairs, pairs - got
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(5)
     for _ in range(60):
