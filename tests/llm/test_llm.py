@@ -314,6 +314,11 @@ def test_passages_of_frequent_lines(spark):
     assert got == pairs, pairs - got
 
 
+def test_single_seeds_are_kept():
+    pdf = substring.pd.DataFrame({"doc": [5, 5], "source": [1, 1], "pos": [100, 900], "src_pos": [700, 40]})
+    assert sorted(c for out in substring._chain_batches([pdf]) for c in out["pos"]) == [[100], [900]]
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(5)
     for _ in range(60):
