@@ -319,6 +319,16 @@ def test_single_seeds_are_kept():
     assert sorted(c for out in substring._chain_batches([pdf]) for c in out["pos"]) == [[100], [900]]
 
 
+def test_best_run_of_parts():
+    a = [f"s{i}" for i in range(55)]
+    b = a[:27] + [f"in{i}" for i in range(8)] + a[27:]
+    a, b = a + [f"x{i}" for i in range(35)] + a[:5], b + [f"y{i}" for i in range(35)] + a[:5]
+    sides = dict(enumerate(a)), dict(enumerate(b))
+    assert substring.align(*sides, [10, 40], [10, 48]) == [(0, 55, 0, 63, 55)]
+    assert substring.align(*sides, [10, 40, 90], [10, 48, 98]) == [(0, 55, 0, 63, 55)]
+    assert substring.align(*sides, [90], [98]) == []
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(5)
     for _ in range(60):
