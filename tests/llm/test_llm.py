@@ -329,6 +329,20 @@ def test_best_run_of_parts():
     assert substring.align(*sides, [90], [98]) == []
 
 
+def test_seeds_meet_at_the_least_similarity():
+    rng = np.random.default_rng(10)
+    words = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n, changed in ((50, 8), (50, 10), (60, 12)):
+        met = 0
+        for _ in range(300):
+            p = words(n)
+            q = p.copy()
+            q[rng.choice(n, changed, replace=False)] = words(changed)
+            one, two = (substring.seeds(np.concatenate([words(60), x, words(60)]))[0] for x in (p, q))
+            met += bool(len(np.intersect1d(one, two)))
+        assert met >= 297, (n, changed, met)
+
+
 def test_chain_is_best():
     rng = np.random.default_rng(5)
     for _ in range(60):
