@@ -374,6 +374,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_of_every_length(spark):
+    """Exact and paraphrased items of each length class, put into documents of the real table."""
+    rng = np.random.default_rng(11)
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text.split() for r in documents.collect()}
+    hosts = [k for k, ws in texts.items() if len(ws) > 120]
+    items, rows, want = [], [], defaultdict(set)
+    for i in range(400):
+        n, changed = int(rng.integers(8, 90)), (0, 0.15, 0.2)[i % 3]
+        ws = texts[hosts[i]][20 : 20 + n]
+        items.append((i, " ".join(ws)))
+        put = list(ws)
+        for j in rng.choice(len(ws), int(changed * len(ws)), replace=False):
+            put[j] = f"zq{i}"
+        at = int(rng.integers(0, 100))
+        host = texts[hosts[-1 - i]]
+        rows.append((10**6 + i, " ".join([*host[:at], *put, *host[at:]])))
+        want[changed, "short" if n < 21 else "middle" if n < 33 else "long"].add((10**6 + i, i))
+    docs = documents.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {k: round(len(v & found) / len(v), 3) for k, v in want.items()}
+    assert len(recall) == 9 and set(recall.values()) == {1.0}, recall
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(40):

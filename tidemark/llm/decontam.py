@@ -7,7 +7,10 @@
    matrices (terms x sketch) on the driver. Their size depends on the hashed vocabulary, not on the corpus.
 3. Every passage is projected on the basis, scaled by the singular values, and compared by cosine with
    the projections of all passages of the benchmark, in blocks: these are a stated query set.
-4. Candidates are verified: longest common subsequence of words with the item's passage, and where the benchmark has
+4. Passages of fixed length miss short and much changed items, so pairs are also found exactly: a stretch can't hold
+   more of an item in order than it holds of its words at all, so items of which a block of the document has enough words are candidates
+   wherever they may start.
+5. Candidates are verified: longest common subsequence of words with the item's passage, and where the benchmark has
    answers, the answer's words within the matching document.
 """
 
@@ -231,6 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf_, basis_, items_ = box.value
         q, owner, _ = _passages([_terms(ws) for _, ws, _ in items_], idf_, basis_)
+        every = Items([ws for _, ws, _ in items_], common)
         for batch in batches:
             out, ids, column = [], batch.column("doc_id").to_pylist(), batch.column("words")
             for begin in range(0, len(ids), 128):
@@ -243,12 +247,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     hits = np.flatnonzero((rows_[k : k + 8192] @ q.T).ravel() >= cosine)
                     for p, c in zip((k + hits // len(q)).tolist(), (hits % len(q)).tolist()):
                         near.setdefault((int(doc[p]), int(owner[c])), set()).add(int(first[p]))
+                for d, (_, numbers_) in enumerate(some):
+                    for item in every.candidates(numbers_):
+                        near.setdefault((d, item), set()).add(-1)  # anywhere
                 for (d, item), places in near.items():
-                    (ident, iw, answer), (k, ws) = items_[item], some[d]
-                    ws = ws.tolist()
+                    (ident, iw, answer), (k, numbers_) = items_[item], some[d]
+                    ws = numbers_.tolist()
                     if answer and not _has(ws, answer):
                         continue
-                    best = max(_common_near(iw.tolist(), ws, p, common) for p in places)
+                    best = max(_common_anywhere(iw, numbers_, common) if p < 0 else _common_near(iw.tolist(), ws, p, common) for p in places)
                     if best >= common * len(iw):
                         out.append((ids[k], ident, best, len(iw), best / len(iw)))
             columns = list(zip(*out)) or [()] * 5
@@ -258,6 +265,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.mapInArrow(search, schema)
 
 
+class Items:
+    """The words of all items, numbered, to find the items of which a stretch of words holds enough."""
+
+    def __init__(self, items: list[np.ndarray], common: float, block: int = 1024):
+        self.sizes = np.array([len(w) for w in items])
+        self.vocabulary, self.at = np.unique(np.concatenate(items), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.least, self.block, self.over = common * self.sizes, block, int((self.sizes + self.sizes // 4).max())
+
+    def candidates(self, ws: np.ndarray) -> list[int]:
+        """Items whose words, counted as often as they come, are present to the least share within a block; blocks overlap by the longest stretch."""
+        hit = np.zeros(len(self.sizes), bool)
+        for a in range(0, max(1, len(ws) - self.over), self.block):
+            part = ws[a : a + self.block + self.over]
+            place = np.minimum(np.searchsorted(self.vocabulary, part), len(self.vocabulary) - 1)
+            present = np.zeros(len(self.vocabulary), np.int8)
+            present[place[self.vocabulary[place] == part]] = 1
+            hit |= np.add.reduceat(present[self.at], self.starts, dtype=np.int64) >= self.least
+        return np.flatnonzero(hit).tolist()
+
+
+def _common_anywhere(item: np.ndarray, ws: np.ndarray, common: float) -> int:
+    """Longest common subsequence of the item with any stretch of 1.25 times its length that has enough of its words; starts a quarter of it apart."""
+    n = len(item)
+    count = np.concatenate([[0], np.cumsum(np.isin(ws, item))])
+    begin = np.arange(0, len(ws), max(1, n // 4))
+    held = count[np.minimum(begin + n + n // 4, len(ws))] - count[begin]
+    words_ = item.tolist()
+    return max((common_subsequence(words_, ws[a : a + n + n // 4].tolist()) for a in begin[held >= common * n].tolist()), default=0)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
