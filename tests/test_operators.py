@@ -215,3 +215,30 @@ def test_no_cartesian_plans(spark):
 
     for name in ("interval_pairs", "longest_prefix", "boundary_prefix", "span_overlap", "context_expand", "code_set_flags"):
         assert "CartesianProduct" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_matching_keeps_a_band():
+    """A dense run of 2,000 cases and 8,000 controls; the whole table of it would be 16 million cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    cases, controls = (sorted(rng.uniform(0, 2000, n).tolist()) for n in (2000, 8000))
+    tracemalloc.start()
+    found = cohort.match_sorted(cases, controls, 5.0)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and len({j for _, j in found}) == 2000 and top < 20 << 20
+    assert all(abs(cases[i] - controls[j]) <= 5 for i, j in found)
+
+
+def test_matching_is_best_by_brute_force():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        cases, controls = (sorted(rng.integers(0, 30, rng.integers(0, 9)).tolist()) for _ in range(2))
+        best = [[(0, 0)] * (len(controls) + 1) for _ in range(len(cases) + 1)]
+        for i, x in enumerate(cases):
+            for j, y in enumerate(controls):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], (best[i][j][0] + 1, best[i][j][1] - abs(x - y)) if abs(x - y) <= 3 else (0, 0))
+        found = cohort.match_sorted(cases, controls, 3)
+        assert (len(found), -sum(abs(cases[i] - controls[j]) for i, j in found)) == best[-1][-1]
+        assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(abs(cases[i] - controls[j]) <= 3 for i, j in found)

@@ -38,25 +38,37 @@ def coverage_filter(index: DataFrame, notes: Sequence[DataFrame], key: str, date
 def match_sorted(cases: list[float], controls: list[float], caliper: float) -> list[tuple[int, int]]:
     """Most pairs within the caliper, then least total distance; both lists ascending. Optimal pairs never cross.
 
-    A band of the table of best (pairs, -distance) is kept: controls further than the caliper can't pair.
+    Of the table of best (pairs, -distance) each row is kept for controls within the caliper of its case only: before them it
+    equals the row above, behind them it stays as it is. Two rows are held, and of the others a byte a cell for the way back.
     """
-    n, m = len(cases), len(controls)
-    best = [[(0, 0.0)] * (m + 1)]
-    for i in range(1, n + 1):
-        row = [(0, 0.0)] * (m + 1)
-        for j in range(1, m + 1):
-            top = max(best[i - 1][j], row[j - 1])
-            gap = abs(cases[i - 1] - controls[j - 1])
-            if gap <= caliper:
-                k, d = best[i - 1][j - 1]
-                top = max(top, (k + 1, d - gap))
-            row[j] = top
-        best.append(row)
-    out, i, j = [], n, m
+    m = len(controls)
+    low, high, above, first, ways = 0, 0, [(0, 0.0)], 0, []  # above: the last row from column `first` on
+    for x in cases:
+        while low < m and x - controls[low] > caliper:
+            low += 1
+        high = max(high, low)
+        while high < m and controls[high] - x <= caliper:
+            high += 1
+        last = len(above) - 1
+        over = above[min(low - first, last)]  # columns beyond the last row's end repeat it
+        row, way = [over], bytearray(1)
+        for j in range(low + 1, high + 1):
+            diagonal, over = over, above[min(j - first, last)]
+            top = max(over, row[-1])
+            gap = abs(x - controls[j - 1])
+            top = max(top, (diagonal[0] + 1, diagonal[1] - gap))
+            way.append(0 if top == over else 1 if top == row[-1] else 2)
+            row.append(top)
+        ways.append((low, way))
+        above, first = row, low
+    out, i, j = [], len(cases), m
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        begin, way = ways[i - 1]
+        j = min(j, begin + len(way) - 1)
+        step = way[j - begin] if j > begin else 0
+        if step == 0:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif step == 1:
             j -= 1
         else:
             out.append((i - 1, j - 1))
