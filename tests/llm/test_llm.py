@@ -200,6 +200,17 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_long_and_rare_rows(spark):
+    """Heads in another language, nearly 200 languages, and one machine for each pair of a family."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"{a}{b}", f"{a}{b}{a} {b}{a}{a} " * 40) for a in letters[:15] for b in letters[:14] if a != b]
+    rows += [(lang, "zz zz zz " * 460 + f"{word} {i} " * 2000) for lang, word in (("en", "the"), ("de", "der"), ("nl", "het")) for i in range(25)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.within["germanic"].pairs) >= 3 and sum(len(m.names) for m in model.within.values()) == len({r[0] for r in rows}) > 195
+    texts = [b"the " * 50, b"der " * 50, b"het " * 50]
+    assert [lang for lang, _ in model.predict(texts)] == ["en", "de", "nl"]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, top in ((1, 0), (1, 5), (3, 0), (1000, 3), (5000, 10**9), (700, 511)):

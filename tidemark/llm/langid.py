@@ -2,7 +2,7 @@
 
 Features are counts of hashed byte 1- to 3-grams of the letters of a text, lower-cased, as square roots scaled to
 length one. One multi-class level picks the language family by one-versus-rest linear support
-vector machines; within the family another set of one-versus-rest machines separates the languages. The
+vector machines; within the family one machine for each pair of languages votes for one of them. The
 machines are trained here, by a deterministic sub-gradient method on a bounded sample of labelled
 rows; the sample is picked by the hash of the text, and prediction reads every row whole.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
     "turkic": ("tr", "az", "kk", "uz"),
 }
-#: Hashed features, labelled rows that training reads at most, and bytes of each of them at most.
-BINS, TRAIN_ROWS, TRAIN_BYTES = 1 << 13, 6000, 4096
+#: Hashed features, labelled rows that training reads at most (more where 20 of each language are more).
+BINS, TRAIN_ROWS = 1 << 13, 6000
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = np.zeros(256, np.uint8)  # ASCII letters lowered, bytes of other characters as they are, all else 0
 _KEEP[128:] = np.arange(128, 256)
@@ -84,12 +85,46 @@ def train_machines(x: np.ndarray, y: list[str], rounds: int = 60, rate: float =
     return Machines(names, w, b)
 
 
+@dataclass
+class PairMachines:
+    """One-versus-one linear machines of the languages of a family: (first, second) by index, weights (pairs x bins), intercepts, names."""
+
+    names: list[str]
+    pairs: list[tuple[int, int]]
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Share of the pairs that a language wins, plus its mean margin in them (at most one, so it parts equal votes and grades the score)."""
+        out = np.zeros((len(x), len(self.names)), np.float32)
+        if not self.pairs:
+            return out + 1
+        pair = np.clip(x @ self.weights.T + self.bias, -1, 1)
+        for k, (a, b) in enumerate(self.pairs):
+            won = np.where(pair[:, k] >= 0, 1.0, -1.0)
+            out[:, a] += won + pair[:, k] / len(self.pairs)
+            out[:, b] -= won + pair[:, k] / len(self.pairs)
+        return out / (len(self.names) - 1)
+
+
+def train_pairs(x: np.ndarray, y: list[str]) -> PairMachines:
+    """A machine for each pair of languages, on the rows of these two only."""
+    names = sorted(set(y))
+    of, pairs = np.array(y), list(combinations(range(len(names)), 2))
+    weights, bias = np.zeros((len(pairs), x.shape[1]), np.float32), np.zeros(len(pairs), np.float32)
+    for k, (a, b) in enumerate(pairs):
+        pick = np.flatnonzero((of == names[a]) | (of == names[b]))
+        both = train_machines(x[pick], of[pick].tolist())  # names in order: the first is a
+        weights[k], bias[k] = (both.weights[0] - both.weights[1]) / 2, (both.bias[0] - both.bias[1]) / 2
+    return PairMachines(names, pairs, weights, bias)
+
+
 @dataclass
 class LanguageModel:
     """Machines over families and, for each family with several languages, machines within it."""
 
     families: Machines
-    within: dict[str, Machines]
+    within: dict[str, PairMachines]
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         """(language, score between 0 and 1); ``und`` and 0 for a null text or one without a letter."""
@@ -114,28 +149,35 @@ def _best(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return top, (e / e.sum(axis=1, keepdims=True))[np.arange(len(top)), top]
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [features(x).tobytes() for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.binary())], ["lang", "h", "x"])
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, families: dict = FAMILIES) -> LanguageModel | None:
     """Fit on at most ``rows`` rows with text and language, an even share for each language; None without any row.
 
     Equal texts with equal labels count once, so that copies don't crowd the sample.
     """
-    head = F.substring(F.col(text_col).cast("binary"), 1, TRAIN_BYTES)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), head.alias("head"))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).select("lang").collect()]
+    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").select("lang").collect()]
     if not langs:
         return None
     each = max(20, rows // len(langs))
     got = []
     for lang in langs:
-        got += sorted(sample_by_hash(usable.where(F.col("lang") == lang), F.col("h"), each).collect())
-    x, y = np.stack([features(bytes(r["head"])) for r in got]), [r["lang"] for r in got]
+        # whole texts become features where they are read, 32 KB a row
+        some = sample_by_hash(usable.where(F.col("lang") == lang), F.col("h"), each)
+        got += sorted(some.mapInArrow(_feature_rows, "lang string, h long, x binary").collect())
+    x, y = np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got]
     family = {lang: name for name, members in families.items() for lang in members}
     of = [family.get(lang, lang) for lang in y]
     within = {}
     for name in sorted(set(of)):
         pick = [i for i, f in enumerate(of) if f == name]
-        within[name] = train_machines(x[pick], [y[i] for i in pick])
+        within[name] = train_pairs(x[pick], [y[i] for i in pick])
     return LanguageModel(train_machines(x, of), within)
 
 
