@@ -1,16 +1,14 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words.
 
-1. Documents are dealt into chunks of bounded text; each chunk lists its distinct words (matches of the
-   pattern) once, and Spark groups them over all chunks.
-2. For each distinct word, ``aggregate`` folds the merges over its array of byte ids: ``transform``
-   looks up the rank of each adjacent pair, the lowest (leftmost of equals) is merged, until none is left.
-   The rank map is a literal: a hash table of two arrays, since a literal ``map`` is searched from end to
-   end. The word's ids, their decimal text and the binary pieces they decode to come from the same plan.
-3. The words go back to the chunks that hold them, where each document is put together.
-
-The words' rows are a small part of the text, and a word that every document holds is one row per
-chunk. Words beyond ``LONG`` bytes, for which the fold would take quadratic time, are merged with a heap
-in the chunk by the same rule.
+1. Documents are packed into chunks of bounded text. A chunk lists its distinct words (matches of the pattern), dealt to
+   ranges by hash, and keeps each document as numbers of these words; both are written compressed, so no text is shuffled.
+2. The words of a range meet in one task, each distinct one once. ``aggregate`` folds the merges over its array of byte
+   ids: each element holds its id and the rank of the pair with the next one, the lowest rank (leftmost of equals)
+   is merged, until none is left. The rank map is a literal array in which every first id of a pair has its own offset.
+3. The ids go back to the chunks that hold the word, where each document's ids are put together and decoded: the
+   binary pieces of its ids, concatenated.
+
+Words beyond ``LONG`` bytes, for which the fold would take quadratic time, are merged with a heap in the chunk by the same rule.
 """
 
 from __future__ import annotations
@@ -18,21 +16,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .units import units, words
 
-#: Above any rank << 8 | place.
-NONE = 1 << 40
-#: Bytes up to which a word is folded; bytes of text to a chunk, about; chunks that one row may name.
-LONG, CHUNK_BYTES, NAMED = 48, 16 << 20, 4096
+#: Above any id; an element of the fold is rank << BITS | id.
+BITS = 20
+NONE = 1 << BITS
+#: Bytes up to which a word is folded; bytes of text to a chunk, about, and to a range of words.
+LONG, CHUNK_BYTES, RANGE_BYTES = 48, 32 << 20, 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,28 +88,28 @@ class Ranks:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x, on in zip(ids, alive) if on]
 
-    def table(self) -> list[int]:
-        """An open hash table of the pairs in which each has two possible places: (a << 20 | b) << 20 | id, or -1."""
-        size = 1 << max(4, (2 * len(self.pairs)).bit_length())
-        table = [-1] * size
+    def table(self) -> tuple[list[int], list[int]]:
+        """Entries (first id << BITS | merged id) and, for each first id, an offset: the entry of a pair is at offset + second id.
+
+        Offsets are drawn until no two rows of the table meet, the longest row first; a free place matches no id.
+        """
+        rows: dict[int, list[tuple[int, int]]] = {}
         for (a, b), rank in self.pairs.items():
-            entry, at = (a << 20 | b) << 20 | rank, None
-            for _ in range(2000):
-                first, second = _places(entry >> 20, size)
-                if table[first] == -1 or table[second] == -1:
-                    table[first if table[first] == -1 else second] = entry
+            rows.setdefault(a, []).append((b, rank))
+        size = 1 << max(8, (4 * len(self.pairs)).bit_length(), len(self.pieces).bit_length())
+        entries, free, rng = np.full(size, 1 << 61, np.int64), np.ones(size, bool), np.random.default_rng(1)
+        offsets = np.zeros(len(self.pieces), np.int64)
+        for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            second = np.array([b for b, _ in row])
+            while True:
+                drawn = rng.integers(-int(second.min()), size - int(second.max()), 64 if len(row) < 200 else 4)
+                fits = np.flatnonzero(free[second[:, None] + drawn].all(axis=0))
+                if len(fits):
                     break
-                at = second if at == first else first
-                entry, table[at] = table[at], entry
-            else:
-                raise ValueError("the pairs do not fit the table")
-        return table
-
-
-def _places(key: int, size: int) -> tuple[int, int]:
-    """The low bits of the two halves of Spark's ``xxhash64`` of a long."""
-    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-    return h & (size - 1), h >> 32 & (size - 1)
+            at = second + drawn[fits[0]]
+            free[at], offsets[a] = False, drawn[fits[0]]
+            entries[at] = a << BITS | np.array([rank for _, rank in row])
+        return entries.tolist(), offsets.tolist()
 
 
 def _numbers(values: list[int], kind: str) -> Column:
@@ -115,139 +117,265 @@ def _numbers(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def encode_words(table: DataFrame, path: str, word: str = "word") -> DataFrame:
-    """Adds ``ids`` (array<int>), ``ids_text`` and ``decoded`` (binary) to a table of words of at most a few dozen bytes.
+def _with(value: Column, f) -> Column:
+    """``f(value)`` with the value taken once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-    Built-in functions only. A null word stays null; an empty one has no ids.
-    """
-    ranks = Ranks.of(path)
-    table_of_pairs = ranks.table()
-    size = len(table_of_pairs)
-    none = F.lit(NONE).cast("long")
-
-    def step(t: Column, s: Column) -> Column:
-        ids = s["ids"]
-
-        def rank_and_place(a: Column, i: Column) -> Column:
-            key = F.shiftleft(a.cast("long"), 20).bitwiseOR(F.get(ids, i + 1).cast("long"))
-            h = F.xxhash64(key)
-            first = F.get(t["pairs"], h.bitwiseAND(F.lit(size - 1)).cast("int"))
-            second = F.get(t["pairs"], F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)).cast("int"))
-            place = lambda entry: F.shiftleft(entry.bitwiseAND(F.lit((1 << 20) - 1)), 8).bitwiseOR(i.cast("long"))
-            return F.when(F.shiftright(first, 20) == key, place(first)).when(F.shiftright(second, 20) == key, place(second)).otherwise(none)
-
-        def merged(low: Column) -> Column:
-            best, at = F.shiftright(low, 8).cast("int"), low.bitwiseAND(F.lit(255)).cast("int")
-            shorter = F.concat(F.slice(ids, F.lit(1), at), F.array(best), F.slice(ids, at + 3, F.lit(256)))
-            return F.when(low < none, F.struct(shorter.alias("ids"), F.lit(False).alias("done"))).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))
-
-        lowest = F.array(F.array_min(F.transform(ids, rank_and_place)))
-        return F.when(s["done"], s).otherwise(F.get(F.transform(lowest, merged), 0))
-
-    def folded(t: Column, start: Column) -> Column:
-        begin = F.struct(start.alias("ids"), F.lit(False).alias("done"))
-        return F.aggregate(start, begin, lambda s, _: step(t, s), lambda s: s["ids"])  # one merge a byte at most
 
-    text = F.hex(F.encode(F.col(word), "UTF-8"))
-    at_byte = lambda t, i: F.get(t["bytes"], F.conv(F.substr(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    constants = F.struct(
-        _numbers(table_of_pairs, "bigint").alias("pairs"), _numbers(ranks.byte_ids, "int").alias("bytes")
-    )
-    empty = F.array().cast("array<int>")
-    ids = F.when(F.length(word) == 0, empty).otherwise(
-        F.get(
-            F.transform(
-                F.array(constants), lambda t: F.get(F.transform(F.array(F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: at_byte(t, i))), lambda start: folded(t, start)), 0)
-            ), 0,
-        )
-    )
-    pieces = F.split(F.lit(",".join(p.hex() for p in ranks.pieces)), ",")
-    done = table.withColumn("ids", ids)
-    pieces_of = F.get(F.transform(F.array(pieces), lambda p: F.transform("ids", lambda i: F.get(p, i))), 0)
-    return done.withColumns({"ids_text": F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), "decoded": F.unhex(F.array_join(pieces_of, ""))})
-
-
-def packed(ids: Column) -> Column:
-    """An array of ids as four big-endian bytes each."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
-
-
-def merge_words(table: DataFrame, path: str) -> DataFrame:
-    """(word, chunks, ids): the ids of each word as four big-endian bytes each, merged by a heap in Arrow batches.
-
-    The folded form (:func:`encode_words`) costs several times the CPU seconds (figures in the README), so documents are
-    encoded through this one.
-    """
+def fold(start: Column, path: str) -> Column:
+    """The ids (array<bigint>) that the byte ids of one word merge to; null stays null. Built-in functions only."""
+    entries, offsets = Ranks.of(path).table()
+    low_bits = F.lit(NONE - 1)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks.of(path)
-        for batch in batches:
-            ids = [np.array(ranks.merge(w.encode()), ">u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("chunks"), pa.array(ids, pa.binary())], ["word", "chunks", "ids"])
+    def element(t: Column, o: Column, a: Column, b: Column) -> Column:
+        """rank << BITS | a, where the pair (a, b) has a rank; the largest rank is none."""
+        merged = F.get(t, (F.get(o, a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, BITS))
+        return F.shiftleft(F.least(merged, F.lit(NONE).cast("long")), BITS).bitwiseOR(a)
 
-    return table.mapInArrow(merge, "word string, chunks array<long>, ids binary")
+    def step(t: Column, o: Column, s: Column) -> Column:
+        def at(low: Column) -> Column:
+            def merged(p: Column) -> Column:  # the pair is at p and p + 1; its neighbours' ranks change
+                before, behind = F.get(s, p - 2).bitwiseAND(low_bits), F.get(s, p + 1).bitwiseAND(low_bits)
+                fresh = F.array(element(t, o, before, low), element(t, o, low, behind))
+                return F.concat(F.slice(s, F.lit(1), p - 2), fresh, F.slice(s, p + 2, F.lit(1 << 20)))
 
+            place = F.array_position(F.transform(s, lambda e: F.shiftright(e, BITS)), low).cast("int")
+            return F.when(low < NONE, _with(place, merged)).otherwise(s)
 
-def decode_ids(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the binary pieces of an array of ids, concatenated. An id outside the vocabulary adds nothing."""
+        return _with(F.shiftright(F.array_min(s), BITS), at)
+
+    def folded(t: Column, o: Column, ids: Column) -> Column:
+        begin = F.transform(ids, lambda a, i: element(t, o, a, F.get(ids, i + 1)))
+        return F.aggregate(ids, begin, lambda s, _: step(t, o, s), lambda s: F.transform(F.slice(s, F.lit(2), F.lit(1 << 20)), lambda e: e.bitwiseAND(low_bits)))
+
+    ids = F.concat(F.array(low_bits.cast("long")), start.cast("array<bigint>"))  # a first id that is in no pair, so every pair has a neighbour before it
+    return _with(_numbers(entries, "bigint"), lambda t: _with(_numbers(offsets, "bigint"), lambda o: _with(ids, lambda i: folded(t, o, i))))
+
+
+def _pieces_of(ids: Column, path: str) -> Column:
+    """The binary pieces of an array of ids, concatenated; an id outside the vocabulary adds nothing."""
     pieces = F.split(F.lit(",".join(p.hex() for p in Ranks.of(path).pieces)), ",")
-    named = F.get(F.transform(F.array(pieces), lambda p: F.transform(ids, lambda i: F.get(p, i))), 0)
-    return table.withColumn("decoded", F.unhex(F.array_join(named, "")))
+    return F.unhex(F.array_join(_with(pieces, lambda p: F.transform(ids, lambda i: F.get(p, i.cast("int")))), ""))
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, set[str]] = {}  # of the chunks of one partition, each of bounded text
-    for batch in batches:
-        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist()):
-            if text:
-                seen.setdefault(chunk, set()).update(units(text))
-    for chunk in list(seen):
-        split = {w for unit in seen.pop(chunk) for w in words(unit) if len(w.encode()) <= LONG}
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(split), pa.int64()), pa.array(list(split), pa.string())], ["chunk", "word"])
+def encode_words(table: DataFrame, path: str, word: str = "word") -> DataFrame:
+    """Adds ``ids`` (array<bigint>), ``ids_text`` and ``decoded`` (binary) to a table of words of at most a few dozen bytes.
+
+    Built-in functions only. A null word stays null; an empty one has no ids.
+    """
+    text = F.hex(F.encode(F.col(word), "UTF-8"))
+    places = F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.octet_length(word)))
+    start = _with(_numbers(Ranks.of(path).byte_ids, "bigint"), lambda t: F.transform(places, lambda i: F.get(t, F.conv(F.substr(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))))
+    done = table.withColumn("ids", fold(start, path))
+    return done.withColumns({"ids_text": F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), "decoded": _pieces_of(F.col("ids"), path)})
 
 
-def _assembler(path: str):
-    def assemble(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+def decode_ids(table: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Adds ``decoded``: the binary pieces of an array of ids, concatenated. An id outside the vocabulary adds nothing."""
+    return table.withColumn("decoded", _pieces_of(F.col(ids), path))
+
+
+def _squeezed(*arrays) -> bytes:
+    """Arrays of integers and other values as compressed bytes; the bytes of equal weight of all numbers lie together."""
+    planes = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()) if isinstance(x, np.ndarray) and len(x) else x for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, protocol=5))
+
+
+def _unsqueezed(data: bytes) -> list:
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return [np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(np.dtype(x[0]).itemsize, -1).T).view(x[0]).ravel() if isinstance(x, tuple) else x for x in planes]
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``flat``, laid end to end; ``lengths`` are those of all runs."""
+    starts, n = (np.cumsum(lengths) - lengths)[which], lengths[which]
+    return flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+class _Chunk:
+    """Documents as numbers of units, and units as numbers of words; words are numbered by (range, word) when the chunk is closed."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.size = ranges, 0
+        self.index: dict[str, int] = {}
+        self.rows: list[int | None] = []
+        self.docs: list[np.ndarray] = []
+
+    def add(self, row: int | None, text: str | None) -> None:
+        us, index = units(text) if text else [], self.index
+        for u in dict.fromkeys(us):
+            if u not in index:
+                index[u] = len(index)
+        self.rows.append(row)
+        self.docs.append(np.fromiter(map(index.__getitem__, us), np.uint32, len(us)))
+        self.size += len(text or "")
+
+    def close(self) -> Iterator[tuple[int, bytes]]:
+        """(range, distinct words), ascending, then (-1, the documents)."""
+        split = [words(u) for u in self.index]
+        self.index.clear()
+        dealt: dict[int, list[bytes]] = {}
+        long_words = []
+        for w in {w for ws in split for w in ws}:
+            b = w.encode()
+            if len(b) > LONG:
+                long_words.append(b)
+            else:
+                dealt.setdefault(xxhash.xxh3_64_intdigest(b) % self.ranges, []).append(b)
+        number: dict[str, int] = {}
+        for part in sorted(dealt):
+            for w in sorted(dealt[part]):
+                number[w.decode()] = len(number)
+            yield part, zstandard.compress(b"\xff".join(sorted(dealt[part])))
+        for w in long_words:
+            number[w.decode()] = len(number)
+        of_unit = np.array([len(ws) for ws in split], np.uint32)
+        flat = np.fromiter((number[w] for ws in split for w in ws), np.uint32, int(of_unit.sum()))
+        in_doc = np.array([len(d) for d in self.docs], np.uint32)
+        yield -1, _squeezed(self.rows, in_doc, np.concatenate(self.docs), of_unit, flat, long_words)
+
+
+def _packed(ranges: int, chunk_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = TaskContext.get().partitionId() << 32, _Chunk(ranges)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for part, data in chunk.close():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["chunk", "part", "data"])
+
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                chunk.add(row, text)
+                if chunk.size >= chunk_bytes:
+                    yield from closed()
+                    number, chunk = number + 1, _Chunk(ranges)
+        if chunk.rows:
+            yield from closed()
+
+    return pack
+
+
+def _distinct(path: str):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each range: its distinct words in order, as byte ids, with the chunks that hold them."""
+        byte_ids = np.array(Ranks.of(path).byte_ids, np.int64)
+
+        def met(part: int, holders: dict[bytes, list[int]]) -> Iterator[pa.RecordBatch]:
+            ws = sorted(holders)
+            for at in range(0, len(ws), 8192):
+                some = ws[at : at + 8192]
+                named = [holders.pop(w) for w in some]
+                runs = lambda xs: pa.array(np.cumsum([0, *map(len, xs)]), pa.int32())
+                start = pa.ListArray.from_arrays(runs(some), pa.array(byte_ids[np.frombuffer(b"".join(some), np.uint8)]))
+                chunks = pa.ListArray.from_arrays(runs(named), pa.array([c for cs in named for c in cs], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), start, chunks], ["part", "start", "chunks"])
+
+        last, holders = None, {}
+        for batch in batches:
+            for part, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "data"))):
+                if part != last:
+                    yield from met(last, holders)
+                    last, holders = part, {}
+                for w in zstandard.decompress(data).split(b"\xff"):
+                    holders.setdefault(w, []).append(chunk)
+        yield from met(last, holders)
+
+    return meet
+
+
+def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range and chunk: the ids of the chunk's words of that range, in order."""
+
+    def sent(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        n_chunks, chunks, n_ids, ids = (np.concatenate(x) for x in zip(*held))
+        word = np.repeat(np.arange(len(n_chunks)), n_chunks)
+        order = np.argsort(chunks, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(chunks[order]) != 0])).tolist()
+        for a, b in zip(cut, [*cut[1:], len(order)]):
+            own = word[order[a:b]]
+            data = _squeezed(n_ids[own].astype(np.uint8), _gather(ids, n_ids, own).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunks[order[a]])]), pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["chunk", "part", "data"])
+
+    last, held = None, []
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for a, b in zip(cut, cut[1:]):
+            if a == b:
+                continue
+            if parts[a] != last and held:
+                yield from sent(last, held)
+                held = []
+            last, rows = int(parts[a]), batch.slice(a, b - a)
+            lists = [rows.column(c) for c in ("chunks", "ids")]
+            held.append(tuple(x for c in lists for x in (np.diff(c.offsets.to_numpy()), c.flatten().to_numpy())))
+    if held:
+        yield from sent(last, held)
+
+
+def _assembler(path: str, with_ids: bool):
+    def assembled(docs: bytes, known: list[bytes]) -> list[tuple]:
         ranks = Ranks.of(path)
-        known = dict(zip(table["word"], table["ids"]))
-        texts: dict[str, str] = {}  # of units: their ids in decimal, and the pieces that the ids stand for
-        decoded: dict[str, bytes] = {}
-
-        def ids_of(word: str) -> list[int]:
-            return np.frombuffer(known[word], ">u4").tolist() if word in known else ranks.merge(word.encode())
-
-        rows = []
-        for row, text in zip(docs["row"], docs["text"]):
-            us = units(text) if text else []
-            for u in set(us).difference(texts):
-                ids = ids_of(u) if u in known else [i for w in words(u) for i in ids_of(w)]
-                texts[u] = ",".join(map(str, ids))
-                decoded[u] = b"".join([ranks.pieces[i] for i in ids])
-            ids_text = ",".join(map(texts.__getitem__, us))
+        rows, in_doc, doc_units, of_unit, unit_words, long_words = _unsqueezed(docs)
+        runs = [_unsqueezed(x) for x in known]
+        merged = [ranks.merge(w) for w in long_words]
+        n_ids = np.concatenate([np.asarray(n, np.int64) for n, _ in runs] + [np.array([len(m) for m in merged], np.int64)])
+        ids = np.concatenate([np.asarray(i, np.int64) for _, i in runs] + [np.array([i for m in merged for i in m], np.int64)])
+        of_unit = np.asarray(of_unit, np.int64)
+        unit_ids = _gather(ids, n_ids, np.asarray(unit_words, np.int64)).tolist()
+        ends = np.cumsum(np.add.reduceat(n_ids[unit_words], np.cumsum(of_unit) - of_unit) if len(of_unit) else np.empty(0, np.int64)).tolist()
+        name = list(map(str, range(len(ranks.pieces))))
+        texts, decoded, begin = [], [], 0
+        for end in ends:  # of units: their ids in decimal, and the pieces that the ids stand for
+            own = unit_ids[begin:end]
+            texts.append(",".join(map(name.__getitem__, own)))
+            decoded.append(b"".join(map(ranks.pieces.__getitem__, own)))
+            begin = end
+        out, begin = [], 0
+        for row, n in zip(rows, np.asarray(in_doc, np.int64).tolist()):
+            us = doc_units[begin : begin + n].tolist() if n else []
+            begin += n
+            text = ",".join(map(texts.__getitem__, us))
             whole = b"".join(map(decoded.__getitem__, us))
-            rows.append((row, ids_text.count(",") + 1 if us else 0, hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), ids_text))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_text"])
+            out.append((row, text.count(",") + 1 if us else 0, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), text)[: 4 + with_ids])
+        return out
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk: its documents first, then the ids of its words by range."""
+
+        def done(docs: bytes | None, known: list[bytes]) -> pa.RecordBatch:
+            columns = list(zip(*assembled(docs, known))) if docs else []
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: 4 + with_ids]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns or [()] * len(kinds), kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_text"][: 4 + with_ids])
+
+        docs, known = None, []
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+                if part < 0:
+                    yield done(docs, known)
+                    docs, known = data, []
+                else:
+                    known.append(data)
+        yield done(docs, known)
 
     return assemble
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, with_ids: bool = False, native: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids_text]) of every row.
 
     A null or empty text has no ids (digests of the empty string). Repeated rows and null ids keep a row
-    each. ``ids_text`` is the decimal ids joined by commas. ``native`` folds the merges of each distinct word
-    with built-in functions (:func:`encode_words`). Other columns are not read.
+    each. ``ids_text`` is the decimal ids joined by commas. A chunk ends with the document that fills it, so a very long
+    text is one chunk. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
-    chunks = max(-(-total // chunk_bytes), 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row", "text"), F.lit(chunks)).cast("long")).repartition(int(chunks), "chunk")
-    held = dealt.mapInArrow(_chunk_words, "chunk long, word string")
-    distinct = held.groupBy("word", F.floor(F.col("chunk") / NAMED).alias("range")).agg(F.collect_list("chunk").alias("chunks"))
-    encoded = encode_words(distinct, path).withColumn("ids", packed(F.col("ids"))) if native else merge_words(distinct.select("word", "chunks"), path)
-    table = encoded.select(F.explode("chunks").alias("chunk"), "word", "ids").repartition(int(chunks), "chunk")
+    at_once = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    ranges, chunks = max(-(-total // RANGE_BYTES), at_once), max(-(-total // chunk_bytes), at_once)
+    packed = materialise(rows.mapInArrow(_packed(ranges, chunk_bytes), "chunk long, part long, data binary"), "chunks")
+    of_range = packed.where("part >= 0").select("part", "chunk", "data").repartition(ranges, "part").sortWithinPartitions("part", "chunk")
+    encoded = of_range.mapInArrow(_distinct(path), "part long, start array<bigint>, chunks array<bigint>").select("part", "chunks", fold(F.col("start"), path).alias("ids"))
+    ids = encoded.mapInArrow(_back, "chunk long, part long, data binary")
+    whole = packed.where("part < 0").union(ids).repartition(chunks, "chunk").sortWithinPartitions("chunk", "part")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids_text string" * with_ids
-    assemble = _assembler(path)
-    whole = assemble if with_ids else lambda d, t: assemble(d, t).drop(columns="ids_text")
-    out = dealt.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInPandas(whole, schema)
-    return out.withColumnRenamed("doc_id", id_col)
+    return whole.mapInArrow(_assembler(path, with_ids), schema).withColumnRenamed("doc_id", id_col)
