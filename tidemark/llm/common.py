@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,19 +35,59 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors.
+
+    What the write shuffled is not needed again; Spark deletes it as soon as the driver collects its own garbage, so that
+    is done here.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    release(spark)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialise` that nothing needs any more."""
-    spark, path = df.sparkSession, df._scratch_path
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+#: Tables that operators have written, by application, and that nobody has discarded.
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by the file system that its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing needs any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._scratch_path
+        delete(spark, path)
+        known = _written.get(spark.sparkContext.applicationId, [])
+        if path in known:
+            known.remove(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that operators have written in this session: only where all their results have been written elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+    release(spark)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as no column of ``df`` has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def sample_by_hash(df: DataFrame, hashed, n: int) -> DataFrame:
