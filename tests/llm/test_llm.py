@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -329,7 +330,34 @@ def test_passages_of_frequent_lines(spark):
 
 def test_single_seeds_are_kept():
     pdf = substring.pd.DataFrame({"doc": [5, 5], "source": [1, 1], "pos": [100, 900], "src_pos": [700, 40]})
-    assert sorted(c for out in substring._chain_batches([pdf]) for c in out["pos"]) == [[100], [900]]
+    batch = pa.RecordBatch.from_pandas(pdf)
+    assert sorted(c for out in substring._chain_batches([batch]) for c in out.column("pos").to_pylist()) == [[100], [900]]
+
+
+def test_ordered_chains_are_the_same():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        pos, src = np.cumsum(rng.integers(1, 90, n)), np.cumsum(rng.integers(1, 90, n))
+        cut = substring._ordered_chains(np.arange(n) == 0, pos, src).tolist()
+        assert sorted(substring.chain(pos.tolist(), src.tolist())) == [list(range(a, b)) for a, b in zip(cut, [*cut[1:], n])]
+
+
+def test_reach_is_where_alignment_ends():
+    rng = np.random.default_rng(13)
+    known = 0
+    for _ in range(2000):
+        a = rng.integers(1, 4 if rng.random() < 0.3 else 200, substring.CONTEXT).astype(np.uint8)
+        b = a.copy()
+        keep = int(rng.integers(0, 15))
+        b[keep:] = rng.integers(1, 200, substring.CONTEXT - keep)
+        b[: keep] = a[: keep]
+        got = int(substring.reach(a[None], b[None])[0])
+        more = lambda x: dict(enumerate([999, *x.tolist(), *rng.integers(1000, 10**6, 40).tolist()]))
+        i, _, _ = substring._run(more(a), more(b), 0, 0, 1)
+        known += got >= 0
+        assert got < 0 or i == got
+    assert known > 500
 
 
 def test_best_run_of_parts():
