@@ -31,38 +31,29 @@ from .common import materialise
 PASSAGE, STRIDE, TERMS, RANK, EXTRA = 32, 16, 1 << 13, 40, 8
 #: Cosine of a candidate, share of the item's passage in the longest common subsequence, seed.
 COSINE, COMMON, SEED = 0.6, 0.8, 7
+#: Bytes of the benchmark that are searched at a time.
+PART_BYTES = 16 << 20
 #: ASCII letters lowered, digits and bytes beyond ASCII kept, all else a space.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
 
 def words(text: bytes | None) -> list[bytes]:
     """Lower-cased runs of letters and digits (any byte beyond ASCII counts as a letter)."""
-    return (text or b"").translate(_PLAIN).split()
+    return bytes(text or b"").translate(_PLAIN).split()
 
 
-class Numbers:
-    """32-bit hashes of words, remembered for a bounded number of different words; a word's term is its hash modulo ``TERMS``."""
-
-    def __init__(self, limit: int = 300_000):
-        self.memo: dict[bytes, int] = {}
-        self.limit = limit
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        for w in set(ws).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
-        return np.fromiter(map(memo.__getitem__, ws), np.uint32, len(ws))
+def numbers(text: bytes | None) -> np.ndarray:
+    """32-bit hashes of the words of a text; a word's term is its hash modulo ``TERMS``."""
+    ws = words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws)).astype(np.uint32)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, words): each text as its words' hashes, four bytes a word, so that later passes need not split it again."""
-    memo = Numbers()
     for batch in batches:
         texts = batch.column("text")
         for at in range(0, len(texts), 512):
-            found = [memo.of(words(x)).tobytes() for x in texts.slice(at, 512).to_pylist()]
+            found = [numbers(x).tobytes() for x in texts.slice(at, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 512), pa.array(found, pa.binary())], ["doc_id", "words"])
 
 
@@ -74,21 +65,19 @@ def _pieces(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(lengths) - lengths)[doc] + within * size, doc
 
 
-def _sums_of(terms: np.ndarray, at: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each piece: its TF-IDF row (not written out) times the basis, and the sum of squared weights."""
-    weighted = basis[terms]
-    weighted *= idf[terms, None]
-    return np.add.reduceat(weighted, at, axis=0), np.add.reduceat(idf[terms] ** 2, at)
+def _sums_of(terms: np.ndarray, at: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Of each piece: its TF-IDF row (not written out) times a basis whose rows are multiplied by the term's weight already."""
+    return np.add.reduceat(weighted[terms], at, axis=0)
 
 
-def _passages(terms: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(terms: list[np.ndarray], weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projected unit rows of all passages of some documents, with their document and first word.
 
     A passage is two successive strides of words; a document of one stride is one passage.
     """
     lengths = np.array([len(t) for t in terms])
     at, doc = _pieces(lengths, STRIDE)
-    x, _ = _sums_of(np.concatenate(terms), at, idf, basis)
+    x = _sums_of(np.concatenate(terms), at, weighted)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     single = np.flatnonzero(lengths[doc] <= STRIDE)
     rows = np.concatenate([x[pair] + x[pair + 1], x[single]])
@@ -101,7 +90,7 @@ def _terms(numbers: np.ndarray) -> np.ndarray:
     return (numbers % TERMS).astype(np.int64)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], some: int = 256) -> Iterator[list[np.ndarray]]:
+def _documents(batches: Iterator[pa.RecordBatch], some: int = 64) -> Iterator[list[np.ndarray]]:
     """Term numbers of a few documents at a time; documents without a word are left out."""
     for batch in batches:
         column = batch.column("words")
@@ -135,15 +124,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[np.ndarray]:
+            total = np.zeros((TERMS, 2))
             for terms in _documents(batches):
                 at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
                 ts = np.concatenate(terms)
                 number = np.zeros(len(ts), np.int64)
                 number[at[1:]] = 1
-                once = np.unique(np.cumsum(number) * TERMS + ts) % TERMS
-                total = np.zeros((TERMS, 2))
-                total[:, 0] = np.bincount(once, minlength=TERMS)
-                total[0, 1] = len(at)
+                key = np.cumsum(number) * TERMS + ts
+                key.sort()
+                once = key[np.concatenate([[True], key[1:] != key[:-1]])] % TERMS
+                total[:, 0] += np.bincount(once, minlength=TERMS)
+                total[0, 1] += len(at)
+            if total[0, 1]:
                 yield total
 
         return _sums(parts(), 2)
@@ -164,19 +156,22 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf_, w = box.value
 
+        weighted, total = idf_[:, None] * w, np.zeros((TERMS, w.shape[1]))
+
         def parts() -> Iterator[np.ndarray]:
+            seen = False
             for terms in _documents(batches):
+                seen = True
                 at, _ = _pieces(np.array([len(t) for t in terms]), PASSAGE)
                 ts = np.concatenate(terms)
-                y, squares = _sums_of(ts, at, idf_, w)
-                y /= np.maximum(squares, 1e-12)[:, None]  # rows have length one, on both sides of the product
-                back = np.repeat(y, np.diff(np.append(at, len(ts))), axis=0)
-                back *= idf_[ts, None]
+                y = _sums_of(ts, at, weighted)
+                y /= np.maximum(np.add.reduceat(idf_[ts] ** 2, at), 1e-12)[:, None]  # rows have length one, on both sides of the product
+                piece = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ts))))
                 order = np.argsort(ts.astype(np.int16), kind="stable")
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(ts[order]) != 0]))
-                total = np.zeros((TERMS, w.shape[1]))
-                total[ts[order][cut]] = np.add.reduceat(back[order], cut, axis=0)
-                yield total
+                total[ts[order][cut]] += np.add.reduceat(y[piece[order]], cut, axis=0)
+            if seen:
+                yield total * idf_[:, None]
 
         return _sums(parts(), w.shape[1])
 
@@ -205,53 +200,56 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, common: float = COMMON) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, cosine: float = COSINE, common: float = COMMON, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, common_words, item_words, similarity): documents that hold an item or a paraphrase of it.
 
     ``similarity`` is the share of the item's words in the longest common subsequence with the stretch of the document
     around a candidate passage. With ``answer_col`` a pair also needs the words of a non-null, non-empty answer in the
     document. Items without a word and documents with null or empty text match nothing; a null doc_id or item_id is
-    returned as it is. The benchmark (a query set, read by every task) must fit in memory; its bound is
-    checked. Repeated rows of a document give repeated pairs only as often as the document comes.
+    returned as it is. The benchmark is a query set: parts of at most about ``part_bytes`` are read by every task, one
+    after the other. Repeated rows of a document give repeated pairs only as often as the document comes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    columns = [F.col(item_col).cast("long"), F.col(item_text).cast("binary"), (F.col(answer_col) if answer_col else F.lit(None)).cast("binary")]
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > 256 << 20:
-        raise ValueError(f"the benchmark has {size} bytes; search it in parts of at most 256 MB")
+    answer = (F.col(answer_col) if answer_col else F.lit(None)).cast("binary")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("binary").alias("text"), answer.alias("answer")).where("text is not null").distinct()
+    size = items.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     schema = "doc_id long, item_id long, common_words long, item_words long, similarity double"
-    memo = Numbers()
-    numbers = lambda x: memo.of(words(bytes(x) if x else None))
-    items = [(r[0], w, numbers(r[2]).tolist()) for r in benchmark.select(*columns).dropDuplicates().collect() if len(w := numbers(r[1]))]
-    if not items:
+    if not size:
         return spark.createDataFrame([], schema)
     rows = materialise(rows.mapInArrow(_numbered, "doc_id long, words binary"), "words")
     idf = inverse_frequencies(rows)
-    basis = randomised_svd(rows, idf)
-    box = spark.sparkContext.broadcast((idf.astype(np.float32), basis, items))
-
+    basis = (idf[:, None] * randomised_svd(rows, idf)).astype(np.float32)
+    out, parts = None, -(-size // part_bytes)
+    for part in range(parts):
+        some = items.where(F.pmod(F.xxhash64("item", "text", "answer"), F.lit(parts)) == part).collect()
+        query = [(r[0], w, numbers(r[2]).tolist()) for r in some if len(w := numbers(r[1]))]
+        if query:
+            found = rows.mapInArrow(_search(spark.sparkContext.broadcast((basis, query)), cosine, common), schema)
+            out = found if out is None else out.union(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _search(box, cosine: float, common: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf_, basis_, items_ = box.value
-        q, owner, _ = _passages([_terms(ws) for _, ws, _ in items_], idf_, basis_)
-        every = Items([ws for _, ws, _ in items_], common)
+        basis, items = box.value
+        q, owner, _ = _passages([_terms(ws) for _, ws, _ in items], basis)
+        every = Items([ws for _, ws, _ in items], common)
         for batch in batches:
             out, ids, column = [], batch.column("doc_id").to_pylist(), batch.column("words")
-            for begin in range(0, len(ids), 128):
-                some = [(k, np.frombuffer(x, np.uint32)) for k, x in enumerate(column.slice(begin, 128).to_pylist(), begin) if x]
+            for begin in range(0, len(ids), 64):
+                some = [(k, np.frombuffer(x, np.uint32)) for k, x in enumerate(column.slice(begin, 64).to_pylist(), begin) if x]
                 if not some:
                     continue
-                rows_, doc, first = _passages([_terms(ws) for _, ws in some], idf_, basis_)
-                near: dict[tuple[int, int], set[int]] = {}
-                for k in range(0, len(rows_), 8192):
-                    hits = np.flatnonzero((rows_[k : k + 8192] @ q.T).ravel() >= cosine)
-                    for p, c in zip((k + hits // len(q)).tolist(), (hits % len(q)).tolist()):
-                        near.setdefault((int(doc[p]), int(owner[c])), set()).add(int(first[p]))
-                for d, (_, numbers_) in enumerate(some):
-                    for item in every.candidates(numbers_):
-                        near.setdefault((d, item), set()).add(-1)  # anywhere
+                rows, doc, first = _passages([_terms(ws) for _, ws in some], basis)
+                enough = [every.candidates(ws) for _, ws in some]  # no other pair has enough words in common
+                near: dict[tuple[int, int], set[int]] = {(d, item): {-1} for d, found in enumerate(enough) for item in found}  # anywhere
+                for c, r in _close(rows, q, cosine):
+                    for d, item, place in zip(doc[r].tolist(), owner[c].tolist(), first[r].tolist()):
+                        if (d, item) in near:
+                            near[d, item].add(place)
                 for (d, item), places in near.items():
-                    (ident, iw, answer), (k, numbers_) = items_[item], some[d]
+                    (ident, iw, answer), (k, numbers_) = items[item], some[d]
                     ws = numbers_.tolist()
                     if answer and not _has(ws, answer):
                         continue
@@ -262,7 +260,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             kinds = [pa.int64()] * 4 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "common_words", "item_words", "similarity"])
 
-    return rows.mapInArrow(search, schema)
+    return search
+
+
+def _close(rows: np.ndarray, q: np.ndarray, cosine: float, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) numbers of all pairs of unit rows within the cosine, from products of at most ``cells`` cells."""
+    for a in range(0, len(q), 4096):
+        part = q[a : a + 4096]
+        step = max(1, cells // len(part))
+        for k in range(0, len(rows), step):
+            hits = np.flatnonzero((part @ rows[k : k + step].T >= cosine).ravel())
+            wide = min(step, len(rows) - k)
+            yield a + hits // wide, k + hits % wide
 
 
 class Items:
