@@ -16,11 +16,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import sample_by_hash
+from .common import free_name
 
 #: Language codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -31,7 +31,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
 }
 #: Hashed features, labelled rows that training reads at most (more where 20 of each language are more).
-BINS, TRAIN_ROWS = 1 << 13, 6000
+BINS, TRAIN_ROWS = 1 << 13, 3000
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = np.zeros(256, np.uint8)  # ASCII letters lowered, bytes of other characters as they are, all else 0
 _KEEP[128:] = np.arange(128, 256)
@@ -43,7 +43,7 @@ def features(text: bytes) -> np.ndarray:
     """The feature vector of a text's bytes; all zeros where nothing is left of it."""
     counts = np.zeros(BINS, np.float32)
     for at in range(0, len(text), 1 << 20):  # bounded memory for very long texts
-        b = _KEEP[np.frombuffer(text[at : at + (1 << 20) + 2], np.uint8)].astype(np.int32)
+        b = _KEEP[np.frombuffer(text[at : at + (1 << 20)], np.uint8)].astype(np.int32)  # strings over a cut are left out
         if len(b) > 1:  # one gap for a run of other characters
             b = b[np.concatenate([[True], (b[1:] != 0) | (b[:-1] != 0)])]
         pairs = b[:-1] * 251 + b[1:] * 7919
@@ -150,9 +150,24 @@ def _best(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each row that aren't zero: their places (two bytes each), then their values."""
     for batch in batches:
-        found = [features(x).tobytes() for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.binary())], ["lang", "h", "x"])
+        found = [features(x) for x in batch.column("text").to_pylist()]
+        places = [np.flatnonzero(x).astype(np.uint16) for x in found]
+        packed = [at.tobytes() + x[at].tobytes() for at, x in zip(places, found)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(packed, pa.binary())], ["lang", "h", "x"])
+
+
+def _sample(usable: DataFrame, each: int, counts: DataFrame) -> DataFrame:
+    """At most ``each`` rows of each language, those of smallest hash; equal texts with equal labels count once.
+
+    Rows beyond the hash that half as many again would need leave where they are read, so one pass serves all languages.
+    """
+    share = F.least(F.lit(1.0), (F.lit(1.5 * each + 30)) / F.greatest(F.col("n"), F.lit(1)))
+    near = usable.join(counts.withColumn("share", share), "lang").where((F.col("h") / F.lit(float(1 << 64)) + F.lit(0.5)) <= F.col("share"))
+    once = near.select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("place", place).where(F.col("place") <= each).select("lang", "h", "text")
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, families: dict = FAMILIES) -> LanguageModel | None:
@@ -162,16 +177,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").select("lang").collect()]
-    if not langs:
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    if not counted:
         return None
-    each = max(20, rows // len(langs))
-    got = []
-    for lang in langs:
-        # whole texts become features where they are read, 32 KB a row
-        some = sample_by_hash(usable.where(F.col("lang") == lang), F.col("h"), each)
-        got += sorted(some.mapInArrow(_feature_rows, "lang string, h long, x binary").collect())
-    x, y = np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got]
+    each = max(20, rows // len(counted))
+    counts = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
+    # whole texts become features before they reach the driver, six bytes for each that isn't zero
+    got = sorted(_sample(usable, each, counts).mapInArrow(_feature_rows, "lang string, h long, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    x, y = np.zeros((len(got), BINS), np.float32), [r["lang"] for r in got]
+    for k, r in enumerate(got):
+        n = len(r["x"]) // 6
+        x[k, np.frombuffer(r["x"], np.uint16, n)] = np.frombuffer(r["x"][2 * n :], np.float32)
+    del got
     family = {lang: name for name, members in families.items() for lang in members}
     of = [family.get(lang, lang) for lang in y]
     within = {}
@@ -182,20 +199,21 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the two columns of a prediction added; without a model every text is ``und``."""
+    """``docs`` with the two columns of a prediction added, in place of columns of these names; without a model every text is ``und``."""
 
+    body = free_name(docs, "text")
     schema = StructType([StructField(out[0], StringType()), StructField(out[1], DoubleType())])
     box = docs.sparkSession.sparkContext.broadcast(model)  # bins x languages, at most a few MB
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(body).to_pylist()
             pairs = box.value.predict(texts) if box.value else [("und", 0.0)] * len(texts)
-            columns = [batch.column(n) for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], [*(n for n in batch.schema.names if n != "_text"), *out])
+            columns = [batch.column(n) for n in batch.schema.names if n != body]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], [*(n for n in batch.schema.names if n != body), *out])
 
     kept = [c for c in docs.columns if c not in out]
-    wide = docs.select(*kept).withColumn("_text", F.col(text_col).cast("binary"))
+    wide = docs.select(*kept).withColumn(body, F.col(text_col).cast("binary"))
     full = StructType([f for f in docs.schema.fields if f.name in kept] + schema.fields)
     return wide.mapInArrow(apply, full)
 
