@@ -144,6 +144,22 @@ def _sorted_shard(length: int):
     return work
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows, those that equal the one before or behind."""
+    held, held_twice = None, False  # the last row so far
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("window", "doc", "key", "start"))))
+        out = []
+        for row in rows:
+            same = held is not None and row[0] == held[0]
+            if held is not None and (held_twice or same):
+                out.append((*held[1:], 1))
+            held, held_twice = row, same
+        yield _marks(out)
+    if held is not None and held_twice:
+        yield _marks([(*held[1:], 1)])
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
@@ -185,9 +201,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 n = len(digests)
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], ["window", "doc", "key", "start"])
 
+    # equal windows are neighbours in one range of the sorted windows, however many share a hash
     dealt = pieces.where(F.col("d") > crowd).mapInArrow(windows, "window binary, doc long, key long, start long")
-    twice = dealt.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    crowd_marks = dealt.join(twice, "window").select("doc", "key", "start", F.lit(1).cast("long").alias("n"))
+    crowd_marks = dealt.repartitionByRange("window").sortWithinPartitions("window").mapInArrow(_neighbours, _MARK)
     marks = whole.union(sorted_marks).union(crowd_marks)
     spans = marks.groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans")).select(F.col("doc").alias("d"), F.col("key").alias("k"), "spans")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
