@@ -34,7 +34,7 @@ from .units import units, words
 BITS = 20
 NONE = 1 << BITS
 #: Bytes up to which a word is folded; bytes of text to a chunk, about, and to a range of words.
-LONG, CHUNK_BYTES, RANGE_BYTES = 48, 32 << 20, 16 << 20
+LONG, CHUNK_BYTES, RANGE_BYTES = 48, 16 << 20, 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
