@@ -179,6 +179,8 @@ def test_bow(spark):
     d = spark.createDataFrame([(i, "good fine day" if i % 2 else "bad sad night", float(i % 2)) for i in range(40)], "id int, text string, y double")
     model = scoring.train_bow(d, "text", ["y"])
     assert model.transform(d).where("y = y_hat").count() == 40
+    best = scoring.bow_thresholds(model, d, ["y"]).first()
+    assert best["label"] == "y" and best["f1"] == 1.0
 
 
 def test_sampling(spark):

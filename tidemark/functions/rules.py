@@ -113,10 +113,15 @@ def race(group: Column, ethnic: Column) -> Column:
 def drug_class(df: DataFrame, drug: str, dim: DataFrame) -> DataFrame:
     """Adds ``drug_class`` from ``dim`` (keyword, drug_class, order): exact, else a substring either way in table order, else the drug itself.
 
-    Distinct drugs meet the table once; the table is a code list and is broadcast only if Spark finds it small.
+    Substrings are matched by equality: every substring of a distinct drug name meets the keywords, and every substring of a
+    keyword meets the names.
     """
-    names = df.select(F.lower(F.trim(drug)).alias("_d")).where("_d is not null").distinct()
-    exact = names.join(dim.withColumn("keyword", F.lower("keyword")), F.col("_d") == F.col("keyword")).groupBy("_d").agg(F.min_by("drug_class", "order").alias("_exact"))
-    near = names.join(dim.withColumn("keyword", F.lower("keyword")), F.contains("_d", "keyword") | F.contains("keyword", "_d")).groupBy("_d").agg(F.min_by("drug_class", "order").alias("_near"))
+    parts = lambda c: f"array_distinct(flatten(transform(sequence(1, length({c})), i -> transform(sequence(1, length({c}) - i + 1), n -> substring({c}, i, n)))))"
+    names = df.select(F.lower(F.trim(drug)).alias("_d")).where("length(_d) > 0").distinct()
+    table = dim.select(F.lower("keyword").alias("_k"), "drug_class", "order").where("length(_k) > 0")
+    exact = names.join(table, F.col("_d") == F.col("_k")).groupBy("_d").agg(F.min_by("drug_class", "order").alias("_exact"))
+    holds = names.selectExpr("_d", f"explode({parts('_d')}) AS _k").join(table, "_k")
+    held = table.selectExpr(f"explode({parts('_k')}) AS _d", "drug_class", "order").join(names, "_d")
+    near = holds.select("_d", "drug_class", "order").union(held.select("_d", "drug_class", "order")).groupBy("_d").agg(F.min_by("drug_class", "order").alias("_near"))
     out = df.withColumn("_d", F.lower(F.trim(drug))).join(exact, "_d", "left").join(near, "_d", "left")
     return out.withColumn("drug_class", F.coalesce("_exact", "_near", drug)).drop("_d", "_exact", "_near")

@@ -39,15 +39,17 @@ def require_all(text: Column, groups: Sequence[Sequence[str]], mode: str = "word
     return F.coalesce(out, F.lit(False))
 
 
-#: Month names and their short forms.
-MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+#: Month names with their short forms, what may stand between numbers, and between a month and a number.
+MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+BETWEEN_NUMBERS, BESIDE_MONTHS = r"\s*[-/.]\s*", r"(?:\s+|[-/.,]\s*)"
 
 
 def contains_date(text: Column) -> Column:
-    """Numeric dates, month and day, day and month, month and year."""
-    day, year = r"(?:0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?", r"(?:19|20)\d{2}"
-    forms = [r"\b\d{1,4}[/-]\d{1,2}(?:[/-]\d{1,4})\b", r"\b\d{1,2}/\d{2,4}\b", rf"\b(?:{MONTHS})\.?\s+{day}\b", rf"\b{day}\s+(?:of\s+)?(?:{MONTHS})\b", rf"\b(?:{MONTHS})\.?,?\s+{year}\b"]
-    return text.rlike("(?i)" + "|".join(f"(?:{f})" for f in forms))
+    """Three numbers with separators between them, or a month by name beside a day or a year; numbers between blanks only are no date."""
+    month, day, gap = rf"\b(?:{MONTHS})\b", r"\d{1,2}(?:st|nd|rd|th)?", BESIDE_MONTHS
+    numeric = rf"\b\d{{1,4}}{BETWEEN_NUMBERS}\d{{1,2}}{BETWEEN_NUMBERS}\d{{2,4}}\b"
+    named = [rf"{month}{gap}{day}\b", rf"\b{day}{gap}{month}", rf"{month}{gap}'?\d{{2,4}}\b"]
+    return text.rlike("(?iU)" + "|".join(f"(?:{f})" for f in [numeric, *named]))
 
 
 def word_array(text: Column) -> Column:
@@ -127,13 +129,16 @@ def strip_control(text: Column) -> Column:
 
 
 def parse_answer(text: Column, kind: str) -> Column:
-    """A model's answer: ``date`` takes the last eight digits in a row, ``number`` the first integer or F, ``choice`` the first letter."""
+    """A model's answer: ``date`` takes the last eight digits in a row, ``number`` the first integer or F, ``choice`` a
+    capital letter that stands alone or before ``.``, ``)`` or ``:``, else the last one between other signs."""
     body = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     if kind == "date":
         return F.nullif(F.regexp_extract(body, r"(?s).*(?<!\d)(\d{8})(?!\d)", 1), F.lit(""))
     if kind == "number":
         return F.coalesce(F.nullif(F.regexp_extract(body, r"(\d+)", 1), F.lit("")), F.when(body.rlike(r"\bF\b"), "F"))
-    return F.nullif(F.regexp_extract(body, r"(?:^|[^A-Za-z])([A-Z])(?:[^A-Za-z]|$)", 1), F.lit(""))
+    marked = F.regexp_extract(body, r"(?:^|[^A-Za-z])([A-Z])(?:[.):]|\s*$)", 1)
+    loose = F.regexp_extract(body, r"(?s).*(?:^|[^A-Za-z])([A-Z])(?:[^A-Za-z]|$)", 1)
+    return F.coalesce(F.nullif(marked, F.lit("")), F.nullif(loose, F.lit("")))
 
 
 def normal_number(text: Column) -> Column:

@@ -8,20 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def span_overlap(tokens: DataFrame, spans: DataFrame, doc: str, keys: Sequence[str]) -> DataFrame:
-    """Tokens (doc, keys, start, end) with the set of types of the spans (doc, type, start, end) they overlap; ends are inclusive."""
-    s = spans.where("start is not null and end is not null").select(doc, F.col("type"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hits = tokens.join(s, doc).where("start <= _e and _s <= end").groupBy(doc, *keys).agg(F.array_sort(F.collect_set("type")).alias("types"))
+def span_overlap(tokens: DataFrame, spans: DataFrame, doc: str, keys: Sequence[str], width: int = 4096) -> DataFrame:
+    """Tokens (doc, keys, start, end) with the set of types of the spans (doc, type, start, end) they overlap; ends are inclusive.
+
+    Both sides are filed under the stretches of ``width`` positions that they touch, so a long document is no cross product.
+    """
+    stretches = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("_at")
+    s = spans.where("start <= end").select(doc, "type", F.col("start").alias("_s"), F.col("end").alias("_e")).select("*", stretches("_s", "_e"))
+    t = tokens.where("start <= end").select(doc, *keys, "start", "end", stretches("start", "end"))
+    hits = t.join(s, [doc, "_at"]).where("start <= _e and _s <= end").groupBy(doc, *keys).agg(F.array_sort(F.collect_set("type")).alias("types"))
     return tokens.join(hits, [doc, *keys], "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
 def expand_context(df: DataFrame, doc: str, order: str, boundary: Column, text: str, target: Column, joiner: str = " ") -> DataFrame:
-    """(doc, order, context): for each target row, the text from the nearest boundary row before it to the nearest after it, both included."""
-    w = Window.partitionBy(doc).orderBy(order)
-    b = df.withColumn("_b", F.when(F.coalesce(boundary, F.lit(False)), F.col(order)))
-    marked = b.withColumns({"_from": F.last("_b", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_to": F.first("_b", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    wanted = marked.where(target).select(doc, F.col(order).alias("_at"), "_from", "_to")
-    parts = wanted.join(df.select(doc, order, text), doc).where((F.col("_from").isNull() | (F.col(order) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(order) <= F.col("_to"))))
+    """(doc, order, context): for each target row, the text from the nearest boundary row before it to the nearest after it, both included.
+
+    Boundaries number the stretches of a document; a boundary row ends one and begins the next. Targets meet the rows of
+    their own stretch (a boundary target: of both), so the join makes what the contexts hold and no more.
+    """
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.coalesce(boundary, F.lit(False)).cast("int")
+    marked = df.withColumn("_edge", edge).withColumn("_k", F.sum("_edge").over(w))
+    stretches = F.explode(F.when(F.col("_edge") == 1, F.array(F.col("_k") - 1, "_k")).otherwise(F.array("_k"))).alias("_k")
+    wanted = marked.where(target).select(doc, F.col(order).alias("_at"), stretches)
+    parts = wanted.join(marked.select(doc, order, text, stretches), [doc, "_k"]).dropDuplicates([doc, "_at", order])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda r: r[text]), joiner)
     return parts.groupBy(doc, "_at").agg(joined.alias("context")).withColumnRenamed("_at", order)
 
@@ -46,3 +56,9 @@ def short_circuit(df: DataFrame, by: Sequence[str], order: str, conclusive: Colu
     """Rows of each group up to and with the first conclusive one; all rows where there is none."""
     first = F.min(F.when(F.coalesce(conclusive, F.lit(False)), F.col(order))).over(Window.partitionBy(*by))
     return df.withColumn("_stop", first).where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
+
+
+def sentence_at(asked: DataFrame, sentences: DataFrame, doc: str, order: str, text: str, place: str) -> DataFrame:
+    """``asked`` with the ``sentence`` at (document, place); rows that name no sentence leave."""
+    own = sentences.select(F.col(doc).alias("_doc"), F.col(order).alias("_place"), F.col(text).alias("sentence"))
+    return asked.join(own, (asked[doc] == F.col("_doc")) & (asked[place] == F.col("_place"))).drop("_doc", "_place")

@@ -22,13 +22,14 @@ def accuracy_by_source(df: DataFrame, gt: str, pred: str, synthetic: str) -> Dat
 
 
 def percent_error(gt: Column, pred: Column) -> Column:
-    """Percent error capped at 100; a truth of 0 allows only 0; text that isn't a number on either side is 100."""
-    a, b = gt.try_cast("double"), pred.try_cast("double")
+    """Percent error of whole numbers (decimals are cut off) capped at 100; a truth of 0 allows only 0; text that isn't a number on either side is 100."""
+    whole = lambda c: c.try_cast("double").try_cast("bigint").cast("double")
+    a, b = whole(gt), whole(pred)
     return F.when(a.isNull() | b.isNull(), 100.0).when(a == 0, F.when(b == 0, 0.0).otherwise(100.0)).otherwise(F.least(F.lit(100.0), F.abs(b - a) / F.abs(F.nullif(a, F.lit(0.0))) * 100))
 
 
 def numeric_error(df: DataFrame, gt: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    gap = F.abs(F.col(pred).try_cast("double") - F.col(gt).try_cast("double"))
+    gap = F.abs(F.col(pred).try_cast("double") - F.col(gt).try_cast("double"))  # decimals count here
     return df.groupBy(*by).agg(F.avg(percent_error(F.col(gt), F.col(pred))).alias("percent_error"), F.avg(gap).alias("absolute_error"))
 
 
@@ -133,6 +134,53 @@ def range_number(df: DataFrame, order: str, parts: int = 64) -> Column:
     return part
 
 
+def auc_macro_micro(df: DataFrame, label: str, y: str, score: str) -> DataFrame:
+    """One row: the mean of the areas of labels that have positives (and negatives), and the area over all rows together."""
+    macro = auc(df, y, score, [label]).agg(F.avg("auc").alias("auc_macro"))
+    return macro.join(auc(df, y, score).withColumnRenamed("auc", "auc_micro"))  # one row each
+
+
+def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, tp, fp, precision, recall) at every distinct score, predicting rows at or above it."""
+    keys = list(by)
+    c = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
+    up = running_total(c, keys, "threshold", "_p", True).withColumn("tp", F.col("_before") + F.col("_p")).drop("_before")
+    up = running_total(up, keys, "threshold", "_n", True).withColumn("fp", F.col("_before") + F.col("_n")).drop("_before")
+    totals = c.groupBy(*keys).agg(F.sum("_p").alias("_all"))
+    joined = up.join(totals, keys) if keys else up.join(totals)
+    return joined.select(*keys, "threshold", "tp", "fp", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("_all")).alias("recall"))
+
+
+def precision_at_recall_by_score(df: DataFrame, y: str, score: str, recall: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, precision): at the highest score that leaves at least this share of the positives at or above it."""
+    return pr_curve(df, y, score, by).where(F.col("recall") >= recall).groupBy(*by).agg(F.max_by("precision", "threshold").alias("precision"), F.max("threshold").alias("threshold"))
+
+
+def recall_at_precision_by_score(df: DataFrame, y: str, score: str, precision: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, recall): at the lowest score from which on the precision is at least this; none where no score gives it."""
+    return pr_curve(df, y, score, by).where(F.col("precision") >= precision).groupBy(*by).agg(F.min_by("recall", "threshold").alias("recall"), F.min("threshold").alias("threshold"))
+
+
+def size_summary(df: DataFrame, split: str, feature: str, synthetic: str) -> DataFrame:
+    """Rows of each (split, feature), natural and synthetic, with the natural share."""
+    s = F.col(synthetic)
+    return df.groupBy(split, feature).agg(F.count("*").alias("n"), F.count_if(~s).alias("natural"), F.count_if(s).alias("synthetic"), F.avg((~s).cast("double")).alias("natural_share"))
+
+
+def positive_scores(df: DataFrame, scores: str, threshold: float, order: Sequence[str], n: int) -> DataFrame:
+    """The n rows of highest best score among those where any label's score is above the threshold (n is the selection's size)."""
+    best = df.withColumn("best", F.array_max(scores)).where(F.col("best") > threshold)
+    return best.orderBy(F.desc("best"), *order).limit(n)
+
+
+def frequent_categories(df: DataFrame, category: str, top: int, least: int = 2) -> DataFrame:
+    """(category, n): the largest categories of at least ``least`` members; if there are none, the largest of all (top is the report's length)."""
+    counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n").alias("_most"))  # one row
+    fit = counts.join(most).where((F.col("n") >= least) | (F.col("_most") < least)).drop("_most")
+    return fit.orderBy(F.desc("n"), category).limit(top)
+
+
 def any_label(df: DataFrame, doc: str, y: str, score: str) -> DataFrame:
     """One row per document: any true label, the largest score."""
     return df.groupBy(doc).agg(F.max(y).alias(y), F.max(score).alias(score))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,3 +88,77 @@ def prevalence(df: DataFrame, feature: str, value: str, valid: DataFrame) -> Dat
 def summary(records: DataFrame, method: str, feature: str) -> DataFrame:
     """Records, entities and the share of structured rows per feature."""
     return records.groupBy(feature).agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"), F.avg((F.col(method) == "structured").cast("double")).alias("structured_share"))
+
+
+def last_activity(tables: Sequence[DataFrame], entity: str, date: str, deaths: DataFrame | None = None) -> DataFrame:
+    """(entity, last_activity[, death, deceased]): the latest date over all tables, and the earliest death. Tables are reduced before they are united."""
+    latest = None
+    for t in tables:
+        part = t.groupBy(entity).agg(F.max(date).alias("last_activity"))
+        latest = part if latest is None else latest.unionByName(part)
+    out = latest.groupBy(entity).agg(F.max("last_activity").alias("last_activity"))
+    if deaths is None:
+        return out
+    first = deaths.groupBy(entity).agg(F.min(date).alias("death"))
+    return out.join(first, entity, "left").withColumn("deceased", F.col("death").isNotNull())
+
+
+def activity_records(last: DataFrame, entity: str) -> DataFrame:
+    return _record(last, entity, F.lit("last_activity"), F.date_format("last_activity", "yyyy-MM-dd"), date=F.col("last_activity"))
+
+
+def structured_outcomes(facts: DataFrame, index: DataFrame, entity: str, date: str, code: str, dim: DataFrame, days: float) -> DataFrame:
+    """Earliest outcome-window record per (entity, label) of codes with a prefix in ``dim`` (prefix, label)."""
+    from tidemark.operators.codes import prefix_join
+
+    near = facts.join(index.select(entity, "index_date"), entity).where(days_between(F.col(date), F.col("index_date")) >= days)
+    return coded(prefix_join(near, dim, code, "prefix").where("label is not null"), entity, date, code, "label", "outcome")
+
+
+def outcome_notes(outcomes: DataFrame, notes: DataFrame, entity: str, date: str, body: str, keywords: Sequence[str], order: str, days: float) -> DataFrame:
+    """Of each outcome record: the note within ``days`` of its date with most keyword hits."""
+    from tidemark.operators.asof import within_days
+
+    cases = outcomes.select(F.col("entity_id").cast(notes.schema[entity].dataType).alias(entity), "keyword", F.col("date").alias("outcome_date"))
+    near = within_days(cases, notes, entity, "outcome_date", date, days, days)
+    case = near.withColumn("_case", F.struct(entity, "keyword")).drop(entity, "keyword")
+    best = best_record(case, "_case", body, keywords, order)
+    return best.select("_case.*", *[c for c in best.columns if c != "_case"])
+
+
+@dataclass(frozen=True)
+class Feature:
+    """What a feature asks and how its answers are pooled; the registry is a table of these by name."""
+
+    name: str
+    query: str
+    keywords: tuple[str, ...] = ()
+    options: tuple[str, ...] = ()
+    pooling: tuple[str, tuple] = ("mode", ())
+    mode: str = "word"
+
+
+class Registry:
+    """Features by name, with the tables that joins need of them."""
+
+    def __init__(self, features: Sequence[Feature]):
+        self.by_name = {f.name: f for f in features}
+        if len(self.by_name) != len(features):
+            raise ValueError("two features have one name")
+
+    def keywords(self, spark) -> DataFrame:
+        """(feature, keyword), a row for each keyword."""
+        return spark.createDataFrame([(f.name, k) for f in self.by_name.values() for k in f.keywords], "feature string, keyword string")
+
+    def options(self, spark) -> DataFrame:
+        """(feature, option), for :func:`prevalence`."""
+        return spark.createDataFrame([(f.name, o) for f in self.by_name.values() for o in f.options], "feature string, option string")
+
+    def pooling_spec(self) -> dict[str, tuple[str, Sequence]]:
+        """For :func:`tidemark.operators.pooling.pool`."""
+        return {f.name: f.pooling for f in self.by_name.values()}
+
+    def chunk_filter(self, name: str, body: str) -> Column:
+        """The predicate that a chunk must pass before it is scored for a feature; without keywords every chunk does."""
+        f = self.by_name[name]
+        return F.size(text.keywords(F.col(body), f.keywords, f.mode)) > 0 if f.keywords else F.col(body).isNotNull()

@@ -53,6 +53,7 @@ def course_count(date: Column, value: Column) -> Column:
 RULES = {
     "any": lambda v, p, _: any_equal(v), "max": lambda v, p, _: numeric_max(v), "ranked": lambda v, p, ranks: highest_ranked(v, p, ranks),
     "earliest": lambda v, p, _: earliest_date(v), "latest": lambda v, p, _: latest_date(v), "duration": lambda v, p, _: distinct_duration(v), "mode": lambda v, p, _: F.mode(v, True),
+    "known_mode": lambda v, p, how: known_mode(v, *how), "first_present": lambda v, p, how: first_present(v, *how),
 }
 
 
@@ -74,8 +75,13 @@ def condition_counts(long: DataFrame, dim: DataFrame, key: str, condition: str)
 
 
 def any_of(long: DataFrame, dim: DataFrame, key: str, condition: str) -> DataFrame:
-    """(key, applies_to, category, present) for every applicable pair of an entity."""
-    pairs = long.select(key).distinct().join(dim.select("applies_to", "category").distinct())
+    """(key, applies_to, category, present) for every applicable pair of an entity.
+
+    The pairs of the dimension come to the driver as one literal array, so every entity is exploded and nothing is joined for it.
+    """
+    known = [(r[0], r[1]) for r in dim.select("applies_to", "category").distinct().orderBy("applies_to", "category").collect()]
+    each = F.array(*[F.struct(F.lit(a).alias("applies_to"), F.lit(c).alias("category")) for a, c in known])
+    pairs = long.select(key).distinct().select(key, F.inline(each))
     hits = long.join(dim, condition).select(key, "applies_to", "category").distinct().withColumn("_hit", F.lit(True))
     return pairs.join(hits, [key, "applies_to", "category"], "left").select(key, "applies_to", "category", F.coalesce("_hit", F.lit(False)).alias("present"))
 
@@ -86,3 +92,35 @@ def dose_bins(days: Column, cuts: Sequence[int] = (1, 30, 90, 365)) -> Column:
     for a, b in zip(cuts, cuts[1:]):
         out = out.when(days < b, f"{a}-{b - 1}")
     return out.otherwise(f"{cuts[-1]}+")
+
+
+def known_mode(value: Column, known: Sequence[str], fallbacks: Sequence[str], otherwise: str) -> Column:
+    """The most frequent known answer (the first in order of equally frequent ones), else the first fallback that occurs."""
+    held = [F.bool_or(value == f) for f in fallbacks]
+    out = F.mode(F.when(value.isin(*known), value), True)
+    return F.coalesce(out, *[F.when(h, F.lit(f)) for h, f in zip(held, fallbacks)], F.lit(otherwise))
+
+
+def first_present(value: Column, order: Sequence[str], otherwise: str) -> Column:
+    """The first answer of ``order`` that any record gives: the highest letter or the longest range, as the list says."""
+    return F.coalesce(*[F.when(F.bool_or(value == v), F.lit(v)) for v in order], F.lit(otherwise))
+
+
+def modal_attributes(df: DataFrame, key: str, attributes: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
+    """One row per entity: the most frequent value of each attribute (the smallest of equally frequent ones) and the mean of each number."""
+    return df.groupBy(key).agg(*[F.mode(a, True).alias(a) for a in attributes], *[F.avg(F.col(n).try_cast("double")).alias(n) for n in numbers])
+
+
+def prior_groups(df: DataFrame, key: str, condition: str, groups: dict[str, Sequence[str]], other: str = "other") -> DataFrame:
+    """(key, one Yes/No column per named group, and one for conditions in no group)."""
+    yes = lambda test: F.when(F.coalesce(F.bool_or(test), F.lit(False)), "Yes").otherwise("No")
+    c = F.col(condition)
+    listed = [v for values in groups.values() for v in values]
+    return df.groupBy(key).agg(*[yes(c.isin(*values)).alias(name) for name, values in groups.items()], yes(~c.isin(*listed)).alias(other))
+
+
+def condition_counts_with(long: DataFrame, dim: DataFrame, key: str, condition: str, bonus: DataFrame, category: str) -> DataFrame:
+    """:func:`condition_counts`, and one more in ``category`` for the entities of ``bonus`` (key)."""
+    counted = condition_counts(long, dim, key, condition)
+    more = bonus.select(key).distinct().select(key, F.lit(category).alias("category"), F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(more).groupBy(key, "category").agg(F.sum("n").alias("n"))

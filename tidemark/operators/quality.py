@@ -49,3 +49,17 @@ def reconcile(stored: DataFrame, recomputed: DataFrame, key: str, value: str, ep
     both = stored.select(key, F.col(value).alias("_a")).join(recomputed.select(key, F.col(value).alias("_b")), key, "full")
     bad = F.coalesce(F.abs(F.col("_a") - F.col("_b")) > eps, ~F.col("_a").eqNullSafe(F.col("_b")))
     return both.agg(F.count_if(bad).alias("failures")).select(F.lit(f"reconcile:{value}").alias("check"), F.lit("hard").alias("severity"), "failures")
+
+
+def null_rows(df: DataFrame, feature: str, by: Sequence[str], examples: int) -> DataFrame:
+    """(by, n, examples): rows whose feature is null, counted by group, with how many of them the sample of ``examples`` a group shows."""
+    lacking = df.where(F.col(feature).isNull())
+    return lacking.groupBy(*by).agg(F.count("*").alias("n")).withColumn("examples", F.least("n", F.lit(examples).cast("long")))
+
+
+def null_examples(df: DataFrame, feature: str, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows whose feature is null (n is the sample's size); raises where there is none."""
+    out = df.where(F.col(feature).isNull()).orderBy(*order).limit(n)
+    if not out.take(1):
+        raise ValueError(f"no row lacks {feature}")
+    return out

@@ -73,3 +73,59 @@ def weighted_choice(groups: DataFrame, by: str, order: Sequence, weight: str, se
     picked = groups.withColumns({"_upto": upto, "_all": F.sum(weight).over(w)}).where(F.col("_upto") > draw(seed, by) * F.col("_all"))
     rest = [c for c in groups.columns if c != by]
     return picked.groupBy(by).agg(F.min_by(F.struct(*rest), "_upto").alias("_row")).select(by, "_row.*").select(*groups.columns)
+
+
+def hashed_page(df: DataFrame, key: str, n: int, offset: int = 0, tail: int = 5) -> DataFrame:
+    """A page of a pseudo-random order: by the last characters of the id, then the id (n and offset are the page)."""
+    text = F.col(key).cast("string")
+    return df.orderBy(F.substring(text, -tail, tail), text).offset(offset).limit(n)
+
+
+def swapped_sentences(df: DataFrame, doc: str, order: str, text: str, share: float, seed: int) -> DataFrame:
+    """Adds ``swapped`` text and its label: the drawn sentences of a document trade places in a circle, the others stay (label 0).
+
+    A document with a single drawn sentence keeps it.
+    """
+    drawn = df.withColumn("_u", draw(seed, doc, order)).where(F.col("_u") < share)
+    circle = Window.partitionBy(doc)
+    following = F.coalesce(F.lead(text).over(circle.orderBy("_u", order)), F.first(text).over(circle.orderBy("_u", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    moved = drawn.withColumns({"swapped": following, "_n": F.count("*").over(circle)}).where("_n > 1").select(doc, order, "swapped", F.lit(1).alias("label"))
+    return df.join(moved, [doc, order], "left").withColumns({"swapped": F.coalesce("swapped", text), "label": F.coalesce("label", F.lit(0))})
+
+
+def listed_split(df: DataFrame, key: str, splits: DataFrame, default: str | None = None) -> DataFrame:
+    """Adds ``split`` from id lists (key, split); ids in no list get the default. An id in several lists takes the first by name."""
+    one = splits.groupBy(key).agg(F.min("split").alias("split"))
+    out = df.join(one, key, "left")
+    return out.withColumn("split", F.coalesce("split", F.lit(default))) if default is not None else out
+
+
+def older_column(df: DataFrame, older: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` of an older snapshot where this one lacks it: the column, or its value in a row."""
+    past = older.groupBy(key).agg(F.first(column, ignorenulls=True).alias("_old"))
+    own = F.col(column) if column in df.columns else F.lit(None)
+    return df.join(past, key, "left").withColumn(column, F.coalesce(own, "_old")).drop("_old")
+
+
+def id_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, held): each id of either set once, as ``both``, ``first`` or ``second``."""
+    one = a.select(key).where(F.col(key).isNotNull()).select(key, F.lit(1).alias("_s")).union(b.select(key).where(F.col(key).isNotNull()).select(key, F.lit(2).alias("_s")))
+    s = one.groupBy(key).agg(F.bit_or("_s").alias("_s"))
+    return s.select(key, F.when(F.col("_s") == 3, "both").when(F.col("_s") == 1, "first").otherwise("second").alias("held"))
+
+
+def numbered(df: DataFrame, order: str, width: int = 2) -> DataFrame:
+    """Adds ``number``, from 0 in the order of a text column of distinct values; texts are ordered within their first characters, so no task sees them all."""
+    cut = df.withColumn("_head", F.substring(order, 1, width))
+    heads = cut.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each pair of characters
+    place = F.row_number().over(Window.partitionBy("_head").orderBy(order)) - 1
+    return cut.join(heads.select("_head", before.alias("_before")), "_head").withColumn("number", F.col("_before") + place).drop("_head", "_before")
+
+
+def vocabulary(df: DataFrame, tokens: str, unknown: str = "UNK") -> DataFrame:
+    """(token, n, id): the tokens of arrays with their counts and ids in order; the unknown token comes last, with count 0."""
+    counts = df.select(F.explode(tokens).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
+    known = numbered(counts, "token").withColumnRenamed("number", "id")
+    last = counts.agg(F.count("*").alias("id")).select(F.lit(unknown).alias("token"), F.lit(0).cast("long").alias("n"), "id")
+    return known.select("token", "n", "id").union(last)

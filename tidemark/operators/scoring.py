@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.tables import new_path
+
 
 def score(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
     """The scorer's columns for each row, batch by batch; it must return as many rows as it got, in order."""
@@ -46,8 +48,12 @@ def keyword_scorer(keyword: str, text: str = "text") -> Callable[[pd.DataFrame],
 
 
 def train_bow(train: DataFrame, text: str, labels: Sequence[str], vocabulary: int = 1 << 14, tf_idf: bool = True):
-    """A pipeline model of word counts (or TF-IDF) and one logistic regression per 0/1 label column."""
-    from pyspark.ml import Pipeline
+    """A pipeline model of word counts (or TF-IDF) and one logistic regression per 0/1 label column.
+
+    The fitted model is written to the shared folder and read again: what is returned holds weights only, not the
+    training summaries, which drag the session's plans into every task.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 
@@ -57,7 +63,26 @@ def train_bow(train: DataFrame, text: str, labels: Sequence[str], vocabulary: in
     x = "_x" if tf_idf else "_tf"
     for label in labels:
         stages.append(LogisticRegression(featuresCol=x, labelCol=label, predictionCol=f"{label}_hat", probabilityCol=f"{label}_prob", rawPredictionCol=f"{label}_raw", maxIter=20, regParam=0.01))
-    return Pipeline(stages=stages).fit(train)
+    path = new_path(train.sparkSession, "bow")
+    Pipeline(stages=stages).fit(train).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def bow_scores(model, df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``df`` with the probability of each label as ``{label}_score``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(df)
+    return out.select(*df.columns, *[F.get(vector_to_array(f"{label}_prob"), F.lit(1)).alias(f"{label}_score") for label in labels])
+
+
+def bow_thresholds(model, dev: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(label, threshold, f1): for each label the threshold of the best F1 on development rows."""
+    from .evalm import best_threshold, sweep
+
+    scored = bow_scores(model, dev, labels)
+    long = scored.select(F.inline(F.array(*[F.struct(F.lit(label).alias("label"), F.col(label).cast("int").alias("y"), F.col(f"{label}_score").alias("score")) for label in labels])))
+    return best_threshold(sweep(long, "y", "score", ["label"]), ["label"])
 
 
 def review_list(df: DataFrame, y: str, score_col: str, threshold: float, kind: str, order: Sequence, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .evalm import range_number, running_total
@@ -101,8 +101,9 @@ def chi2(df: DataFrame, arm: str, category: str, yates: bool = True) -> DataFram
     """One row: chi2 and df, from the table of counts; Yates' correction for 2 x 2."""
     c = contingency(df.where(F.col(arm).isNotNull() & F.col(category).isNotNull()), arm, category)
     rows, cols = c.groupBy(arm).agg(F.sum("n").alias("_r")), c.groupBy(category).agg(F.sum("n").alias("_c"))
-    dims = rows.agg(F.count("*").alias("_nr"), F.sum("_r").alias("_t")).crossJoin(cols.agg(F.count("*").alias("_nc")))
-    cells = rows.crossJoin(F.broadcast(cols)).join(c, [arm, category], "left").crossJoin(F.broadcast(dims))  # arms x categories rows
+    # one row holds the arms; each category is then laid out over them
+    arms = rows.agg(F.collect_list(F.struct(arm, "_r")).alias("_arms"), F.count("*").alias("_nr"), F.sum("_r").alias("_t")).join(cols.agg(F.count("*").alias("_nc")))
+    cells = cols.join(F.broadcast(arms)).select(category, "_c", "_nr", "_nc", "_t", F.inline("_arms")).join(c, [arm, category], "left")
     e = F.col("_r") * F.col("_c") / F.col("_t")
     gap = F.abs(F.coalesce("n", F.lit(0)) - e)
     small = (F.col("_nr") == 2) & (F.col("_nc") == 2) & F.lit(yates)
@@ -149,6 +150,14 @@ def kruskal(df: DataFrame, by: str, value: str) -> DataFrame:
     return h.select(((F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.nullif(1 - F.col("t") / (n**3 - n), F.lit(0.0))).alias("h"), "df")
 
 
+def moments_table(df: DataFrame, by: str, numbers: Sequence[str]) -> DataFrame:
+    """(variable, group, n, mean, sd, median, min, max) of each number by group, and over all rows (group ``overall``)."""
+    long = df.select(F.col(by).cast("string").alias("group"), F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in numbers])))
+    both = long.select("variable", "x", F.explode(F.array(F.struct("group", F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("group"), F.lit(True).alias("all")))).alias("g"))
+    out = both.groupBy("variable", "g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.select("variable", F.when(F.col("g.all"), "overall").otherwise(F.col("g.group")).alias("group"), "n", "mean", "sd", "median", "min", "max")
+
+
 def baseline_table(df: DataFrame, by: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """(variable, level, group, n, share, median, q1, q3): numbers by exact percentiles, categories by counts."""
     nulls = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
@@ -194,41 +203,64 @@ def logrank(df: DataFrame, time: str, event: str, arm: str) -> DataFrame:
 def bh(df: DataFrame, p: str, alpha: float = 0.05, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """Benjamini-Hochberg: adds ``q`` and ``significant``. The tests of a family meet in one window: one row each."""
     order = [F.col(p), *([F.col(tie)] if tie else [])]
-    family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    if not by:
+        return _bh_of_all(df, p, alpha, order)
+    family = Window.partitionBy(*by)
     k, m = F.row_number().over(family.orderBy(*order)), F.count(p).over(family)
     raw = df.where(F.col(p).isNotNull()).withColumn("_raw", F.col(p) * m / k).withColumn("_k", k)
     q = F.least(F.lit(1.0), F.min("_raw").over(family.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))
     return raw.withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("_raw", "_k")
 
 
+def _bh_of_all(df: DataFrame, p: str, alpha: float, order: list) -> DataFrame:
+    """One family of all rows: ranges of p-values are numbered and reduced first, so no task sees all tests."""
+    known = df.where(F.col(p).isNotNull())
+    ranged = known.withColumn("_part", range_number(known, p))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    all_parts = Window.orderBy("_part")  # one row a range
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(all_parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(all_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
+    raw = ranged.join(starts, "_part").withColumn("_k", F.col("_start") + F.row_number().over(inside)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_k"))
+    lows = raw.groupBy("_part").agg(F.min("_raw").alias("_low")).select("_part", F.min("_low").over(all_parts.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    behind = F.min("_raw").over(Window.partitionBy("_part").orderBy("_k").rowsBetween(0, Window.unboundedFollowing))
+    q = F.least(F.lit(1.0), behind, F.coalesce("_later", F.lit(1.0)))
+    return raw.join(lows, "_part").withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("_part", "_start", "_m", "_k", "_raw", "_later")
+
+
 def coxph(df: DataFrame, time: str, event: str, covariates: Sequence[str], rounds: int = 30, eps: float = 1e-9) -> list[dict]:
     """Cox proportional hazards by Newton-Raphson with Efron's ties: name, coef, hr, low, high, se, z, p, converged.
 
-    Rows are folded to (time, covariate pattern) once and cached on disk; each step aggregates the patterns of
-    each time, sums risk sets from the latest time by range partitions, and brings p + p*p + 1 sums to the driver.
+    Rows are folded to (time, covariate pattern), with the range of the time, once and cached on disk; each step aggregates
+    the patterns of each time, sums risk sets from the latest time by ranges, sums each time's ties within its row, and
+    brings p + p*p sums to the driver.
     """
     from pyspark import StorageLevel
 
     names, p = list(covariates), len(covariates)
     keep = df.select(F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
-    folded = keep.groupBy("_t", *[f"x{i}" for i in range(p)]).agg(F.count("*").alias("n"), F.sum("_e").alias("d")).persist(StorageLevel.DISK_ONLY_2)
+    if not p:
+        return []
+    cut = range_number(keep, "_t")
+    folded = keep.groupBy("_t", *[f"x{i}" for i in range(p)]).agg(F.count("*").alias("n"), F.sum("_e").alias("d")).withColumn("_part", cut).persist(StorageLevel.DISK_ONLY_2)
     beta, converged, info = np.zeros(p), False, np.eye(p)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     for _ in range(rounds):
         risk = F.exp(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
         terms = {"s": F.lit(1.0)} | {f"s{i}": F.col(f"x{i}") for i in range(p)} | {f"s{i}_{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}
-        per_time = folded.groupBy("_t").agg(
+        per_time = folded.groupBy("_t", "_part").agg(
             F.sum("d").alias("d"), *[F.sum(F.col("d") * F.col(f"x{i}")).alias(f"o{i}") for i in range(p)],
             *[F.sum(risk * F.col("n") * v).alias(f"r{k}") for k, v in terms.items()], *[F.sum(risk * F.col("d") * v).alias(f"e{k}") for k, v in terms.items()],
         )
         ranked = _suffix_sums(per_time, "_t", [f"r{k}" for k in terms])
-        tied = ranked.where("d > 0").withColumn("l", F.explode(F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))))
-        part = F.col("l") / F.col("d")
-        a = {k: F.col(f"r{k}") - part * F.col(f"e{k}") for k in terms}
-        first = (F.col("l") == 0).cast("int")
+
+        def of_ties(l: Column) -> Column:  # noqa: E741
+            a = {k: F.col(f"r{k}") - l / F.col("d") * F.col(f"e{k}") for k in terms}
+            return F.array(*[a[f"s{i}"] / a["s"] for i in range(p)], *[a[f"s{i}_{j}"] / a["s"] - a[f"s{i}"] * a[f"s{j}"] / (a["s"] * a["s"]) for i, j in pairs])
+
+        zero = F.array(*[F.lit(0.0)] * (p + len(pairs)))
+        tied = ranked.where("d > 0").withColumn("_sum", F.aggregate(F.sequence(F.lit(0), (F.col("d") - 1).cast("int")), zero, lambda s, l: F.zip_with(s, of_ties(l), lambda x, y: x + y)))
         row = tied.agg(
-            *[F.sum(first * F.col(f"o{i}") - a[f"s{i}"] / a["s"]).alias(f"u{i}") for i in range(p)],
-            *[F.sum(a[f"s{i}_{j}"] / a["s"] - a[f"s{i}"] * a[f"s{j}"] / (a["s"] * a["s"])).alias(f"h{i}_{j}") for i, j in pairs],
+            *[F.sum(F.col(f"o{i}") - F.get("_sum", F.lit(i))).alias(f"u{i}") for i in range(p)], *[F.sum(F.get("_sum", F.lit(p + k))).alias(f"h{i}_{j}") for k, (i, j) in enumerate(pairs)],
         ).first()
         if row[0] is None:
             break
@@ -251,9 +283,8 @@ def coxph(df: DataFrame, time: str, event: str, covariates: Sequence[str], round
     return out
 
 
-def _suffix_sums(df: DataFrame, order: str, columns: Sequence[str], parts: int = 64) -> DataFrame:
-    """The columns replaced by their sums over this and all later rows; ranges first, so no task sees all rows."""
-    ranged = df.withColumn("_part", range_number(df, order, parts))
+def _suffix_sums(ranged: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+    """The columns replaced by their sums over this and all later rows; ``_part`` is the row's range, so no task sees all rows."""
     sums = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", *[F.coalesce(F.sum(f"_{c}").over(later), F.lit(0.0)).alias(f"_{c}") for c in columns])

@@ -594,14 +594,11 @@ def validation_set(spark, d):
     return jobs.validation_set(docs, "source", "doc_id", "text", ["the"], ["doc_id", "chunk_index"], 1_000_000).select("source", "doc_id")
 
 
-@query("""SELECT doc_id, 'Judge the text.' || chr(10) || chr(10) || text AS content, CAST(quality AS VARCHAR) AS ground_truth, 'train' AS split FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""")
+@query("""SELECT 'Judge the text.' || chr(10) || chr(10) || text AS content, CAST(quality AS VARCHAR) AS ground_truth, 'train' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""")
 def training_rows(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", "text").join(_t(spark, d, "labels"), "doc_id")
-    out = tables.training_rows(rows.withColumn("tagged", F.concat_ws("|", F.col("doc_id").cast("string"), "text")), "Judge the text.", "tagged", "quality", "train")
-    content = F.get("prompt", F.lit(0))["content"]
-    tail = F.substring_index(content, "\n\n", 1)
-    body = F.substr(content, F.length(tail) + 3)
-    return out.select(F.substring_index(body, "|", 1).cast("bigint").alias("doc_id"), F.concat(tail, F.lit("\n\n"), F.substr(body, F.locate("|", body) + 1)).alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"), F.col("extra_info.split").alias("split"))
+    rows = _t(spark, d, "documents").select("doc_id", "text").join(_t(spark, d, "labels"), "doc_id").where("quality is not null")
+    out = tables.training_rows(tables.row_index(rows, "doc_id"), "Judge the text.", "text", "quality", "train")
+    return out.select(F.get("prompt", F.lit(0))["content"].alias("content"), "reward_model.ground_truth", "extra_info.split", "extra_info.index")
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""")
@@ -613,3 +610,6 @@ def priced_summary(spark, d):
 @query(f"""WITH {_LAB} SELECT lang, doc_id FROM lab WHERE quality IS DISTINCT FROM pred ORDER BY doc_id LIMIT 25""")
 def error_listing(spark, d):
     return evalm.errors(_lab(spark, d), "quality", "pred", ["doc_id"], 25).select("lang", "doc_id")
+
+
+from tidemark.plans import catalogue_study, catalogue_text  # noqa: E402, F401 - they add their queries

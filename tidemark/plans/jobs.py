@@ -73,3 +73,27 @@ def keyword_rates(notes: DataFrame, body: str, keywords: Sequence[str], positive
     """Share of texts with a keyword, and of positives among those."""
     hit = F.size(text.keywords(F.col(body), keywords)) > 0
     return notes.agg(F.avg(hit.cast("double")).alias("hit_rate"), F.avg(F.when(hit, positive.cast("double"))).alias("positive_rate"))
+
+
+def extract(families: Sequence[DataFrame]) -> DataFrame:
+    """Feature extraction: the records of all families as one long table."""
+    return features.united(*families)
+
+
+def study(facts: DataFrame, exposure: DataFrame, people: DataFrame, notes: Sequence[DataFrame], key: str, date: str, qualifies: Column, exposed_days: float, coverage_days: float, ages: tuple[float, float], age: str, exact: Sequence[str], caliper: float = 5.0) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """The cohort builder as a whole: (members with arms, matched pairs, balance of the matched people by feature)."""
+    from tidemark.operators import stats
+    from tidemark.sources.tables import written
+
+    members = build_cohort(facts, exposure, people, notes, key, date, qualifies, exposed_days, coverage_days, ages, age).where(~F.col("outside_only"))
+    members = written(members.withColumn("arm", F.col("exposed").cast("int")), "members")
+    pairs = written(cohort.match(members.select(key, "arm", *exact, age), key, "arm", exact, age, caliper), "pairs")
+    used = pairs.select(F.explode(F.array("case", "control")).alias(key)).distinct()
+    return members, pairs, stats.balance(members.join(used, key, "left_semi"), "arm", [age], exact)
+
+
+def structured_cases(facts: DataFrame, notes: DataFrame, index: DataFrame, entity: str, date: str, code: str, dim: DataFrame, body: str, keywords: Sequence[str], note: str, scorer, days: float = 730.0, around: float = 91.0) -> DataFrame:
+    """Outcome-window cases with the note around each that names most keywords, scored: (entity, keyword, note columns, prediction)."""
+    outcomes = features.structured_outcomes(facts, index, entity, date, code, dim, days)
+    best = features.outcome_notes(outcomes, notes, entity, "note_date", body, keywords, note, around)
+    return scoring.score(best, scorer, "prediction string")

@@ -16,12 +16,12 @@ def read_records(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", f"{end}\n" if end else "\n")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    lines = reader.text(list(path) if not isinstance(path, str) else path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    lines = reader.text(list(path) if not isinstance(path, str) else path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     header = sep.join(columns)
     body = F.when(F.startswith("value", F.lit(header)), F.substr("value", F.lit(len(header) + 1))).otherwise(F.col("value"))
     body = F.regexp_replace(body, r"^\r?\n|\r?\n$", "")
-    cells = lines.select("source_file", body.alias("value")).where("trim(value) <> ''").withColumn("cells", F.split("value", r"\|" if sep == "|" else sep, len(columns)))
-    named = cells.select("source_file", "value", F.size("cells").alias("width"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    cells = lines.select("source_file", "_block", "_line", body.alias("value")).where("trim(value) <> ''").withColumn("cells", F.split("value", r"\|" if sep == "|" else sep, len(columns)))
+    named = cells.select("source_file", F.struct("_block", "_line").alias("position"), "value", F.size("cells").alias("width"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)])
     named = named.withColumn(key, F.trim(key))
     fine = (F.col("width") == len(columns)) & (F.coalesce(F.col(key), F.lit("")) != "")
     good = named.where(fine).drop("value", "width")
@@ -39,9 +39,9 @@ def check_rejects(good: DataFrame, rejects: DataFrame, share: float = 0.01) -> N
 
 
 def profile_sources(good: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(source_file, column, sample): one record of each file, cell by cell."""
+    """(source_file, column, sample): the first record of each file, cell by cell."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("sample")) for c in columns])
-    one = good.groupBy("source_file").agg(F.min_by(pairs, F.struct(*columns)).alias("p"))
+    one = good.groupBy("source_file").agg(F.min_by(pairs, "position").alias("p"))
     return one.select("source_file", F.explode("p").alias("p")).select("source_file", "p.*")
 
 
@@ -55,7 +55,8 @@ def code_list(spark: SparkSession, path: str, include: str = "include") -> DataF
 def notes_csv(spark: SparkSession, path: str, names: dict[str, str], source: str, encoding: str = "UTF-8") -> DataFrame:
     """A foreign CSV of notes: quoted line breaks, columns renamed, a constant source."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
-    return rows.withColumnsRenamed(names).withColumn("source_table", F.lit(source))
+    known = {old.lower(): new for old, new in names.items()}  # headers differ in case from file to file
+    return rows.withColumnsRenamed({c: known.get(c.strip().lower(), c) for c in rows.columns}).withColumn("source_table", F.lit(source))
 
 
 def list_cells(df: DataFrame, *columns: str) -> DataFrame:

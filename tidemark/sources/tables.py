@@ -14,14 +14,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to a new folder and read back; by default under spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path in a folder; by default under spark.checkpoint.dir, which executors share."""
     base = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to a new folder and read back."""
+    spark = df.sparkSession
+    path = new_path(spark, name, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,15 +76,28 @@ def union_aliased(tables: Sequence[tuple[DataFrame, dict[str, str], str]]) -> Da
     return out
 
 
-def training_rows(df: DataFrame, instruction: str, text: str, answer: str, split: str) -> DataFrame:
-    """Nested rows for tuning: prompt messages, reward model and extra information."""
+def training_rows(df: DataFrame, instruction: str, text: str, answer: str, split: str, index: str = "index") -> DataFrame:
+    """Nested rows for tuning: prompt messages, reward model and extra information; ``index`` is a column such as :func:`row_index` adds."""
     message = F.struct(F.lit("user").alias("role"), F.concat_ws("\n\n", F.lit(instruction), F.col(text)).alias("content"))
     return df.where(F.col(answer).isNotNull()).select(
         F.array(message).alias("prompt"), F.struct(F.lit("rule").alias("style"), F.col(answer).cast("string").alias("ground_truth")).alias("reward_model"),
-        F.struct(F.lit(split).alias("split"), F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(text), F.lit(1024))).orderBy(text)).alias("index")).alias("extra_info"),
+        F.struct(F.lit(split).alias("split"), F.col(index).cast("long").alias("index")).alias("extra_info"),
     )
 
 
+def row_index(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ``index``, from 0 in the given order: rows are dealt by ranges, counted by range and numbered within each.
+
+    Equal rows are numbered in any order.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = written(placed, "indexed")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    starts = sizes.select("_part", before.alias("_before"), "_first")
+    return placed.join(starts, "_part").withColumn("index", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_before", "_first")
+
+
 def labelled_chunks(labels: DataFrame, remap: DataFrame, synthetic: DataFrame | None = None) -> DataFrame:
     """Labels under requested names: ``remap`` (feature, source_feature); nulls and DROP leave; ``is_synthetic`` tells the source."""
     rows = labels.withColumn("is_synthetic", F.lit(False))
