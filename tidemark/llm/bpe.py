@@ -17,7 +17,9 @@ import base64
 import hashlib
 import heapq
 import pickle
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +56,20 @@ class Ranks:
             raise ValueError(f"the rank file lacks the bytes {missing}")
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.pieces = [b""] * (max(ranks.values()) + 1)
-        self.pairs: dict[tuple[int, int], int] = {}
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The id that each pair of ids merges to; tasks without a long word don't need it."""
+        ranks = {piece: rank for rank, piece in enumerate(self.pieces) if piece}
+        out = {}
+        for piece, rank in ranks.items():
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
+                    out[a, b] = rank
+        return out
 
     @classmethod
     def of(cls, path: str) -> Ranks:
@@ -193,46 +202,50 @@ def _gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndar
 
 
 class _Chunk:
-    """Documents as numbers of units, and units as numbers of words; words are numbered by (range, word) when the chunk is closed."""
+    """Documents as numbers of units, and units as numbers of words; closed, words are numbered by (range, word)."""
 
     def __init__(self, ranges: int):
         self.ranges, self.size = ranges, 0
-        self.index: dict[str, int] = {}
+        self.units: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.of_unit, self.flat = array("I"), array("I")  # words in each unit, and which
         self.rows: list[int | None] = []
         self.docs: list[np.ndarray] = []
 
     def add(self, row: int | None, text: str | None) -> None:
-        us, index = units(text) if text else [], self.index
+        us, known = units(text) if text else [], self.units
         for u in dict.fromkeys(us):
-            if u not in index:
-                index[u] = len(index)
+            if u not in known:
+                known[u] = len(known)
+                ws = words(u)
+                self.of_unit.append(len(ws))
+                self.flat.extend([self.words.setdefault(w, len(self.words)) for w in (ws if len(ws) > 1 else (u,))])
         self.rows.append(row)
-        self.docs.append(np.fromiter(map(index.__getitem__, us), np.uint32, len(us)))
+        self.docs.append(np.fromiter(map(known.__getitem__, us), np.uint32, len(us)))
         self.size += len(text or "")
 
     def close(self) -> Iterator[tuple[int, bytes]]:
         """(range, distinct words), ascending, then (-1, the documents)."""
-        split = [words(u) for u in self.index]
-        self.index.clear()
-        dealt: dict[int, list[bytes]] = {}
+        self.units.clear()
+        dealt: dict[int, list[tuple[bytes, int]]] = {}
         long_words = []
-        for w in {w for ws in split for w in ws}:
+        for w, k in self.words.items():
             b = w.encode()
             if len(b) > LONG:
-                long_words.append(b)
+                long_words.append((b, k))
             else:
-                dealt.setdefault(xxhash.xxh3_64_intdigest(b) % self.ranges, []).append(b)
-        number: dict[str, int] = {}
+                dealt.setdefault(xxhash.xxh3_64_intdigest(b) % self.ranges, []).append((b, k))
+        number, n = np.empty(len(self.words), np.uint32), 0
+        self.words.clear()
         for part in sorted(dealt):
-            for w in sorted(dealt[part]):
-                number[w.decode()] = len(number)
-            yield part, zstandard.compress(b"\xff".join(sorted(dealt[part])))
-        for w in long_words:
-            number[w.decode()] = len(number)
-        of_unit = np.array([len(ws) for ws in split], np.uint32)
-        flat = np.fromiter((number[w] for ws in split for w in ws), np.uint32, int(of_unit.sum()))
+            own = sorted(dealt.pop(part))
+            number[[k for _, k in own]] = np.arange(n, n + len(own), dtype=np.uint32)
+            n += len(own)
+            yield part, zstandard.compress(b"\xff".join([b for b, _ in own]))
+        number[[k for _, k in long_words]] = np.arange(n, n + len(long_words), dtype=np.uint32)
         in_doc = np.array([len(d) for d in self.docs], np.uint32)
-        yield -1, _squeezed(self.rows, in_doc, np.concatenate(self.docs), of_unit, flat, long_words)
+        flat = number[np.frombuffer(self.flat, np.uint32)] if len(self.flat) else np.empty(0, np.uint32)
+        yield -1, _squeezed(self.rows, in_doc, np.concatenate(self.docs), np.array(self.of_unit, np.uint32), flat, [b for b, _ in long_words])
 
 
 def _packed(ranges: int, chunk_bytes: int):
@@ -322,12 +335,12 @@ def _assembler(path: str, with_ids: bool):
         n_ids = np.concatenate([np.asarray(n, np.int64) for n, _ in runs] + [np.array([len(m) for m in merged], np.int64)])
         ids = np.concatenate([np.asarray(i, np.int64) for _, i in runs] + [np.array([i for m in merged for i in m], np.int64)])
         of_unit = np.asarray(of_unit, np.int64)
-        unit_ids = _gather(ids, n_ids, np.asarray(unit_words, np.int64)).tolist()
+        unit_ids = _gather(ids, n_ids, np.asarray(unit_words, np.int64))
         ends = np.cumsum(np.add.reduceat(n_ids[unit_words], np.cumsum(of_unit) - of_unit) if len(of_unit) else np.empty(0, np.int64)).tolist()
         name = list(map(str, range(len(ranks.pieces))))
         texts, decoded, begin = [], [], 0
         for end in ends:  # of units: their ids in decimal, and the pieces that the ids stand for
-            own = unit_ids[begin:end]
+            own = unit_ids[begin:end].tolist()
             texts.append(",".join(map(name.__getitem__, own)))
             decoded.append(b"".join(map(ranks.pieces.__getitem__, own)))
             begin = end
