@@ -4,11 +4,10 @@
    32-byte strings in the window) is filed under that minimizer's hash. Equal windows have equal minimizers at
    equal offsets, so all starts of a repeated string meet under one hash; most hashes occur once and end there.
 2. Runs of equal content are counted: where there are two, every window of them is repeated.
-3. The other runs under a shared hash, one for each different content, are dealt to shards by that hash. A
-   shard sorts the suffixes at its window starts by eight bytes at a time and drops a suffix as soon as
-   its common prefix with every other one ends; those that still have company at ``length`` bytes are repeated. Spark sorts the
-   shard's rows on disk by hash, and a shard is worked through in blocks of bounded size, so it may exceed memory.
-   Under a hash with very many different contents the windows themselves are dealt out and counted.
+3. The other runs under a shared hash, one for each different content, are dealt to shards by that hash. Spark sorts a
+   shard's rows on disk by hash and it is worked through in blocks of bounded size, so it may exceed memory. The suffixes of a
+   block are sorted by induction with their common prefixes (:mod:`tidemark.llm.induced`); those that share ``length`` bytes with
+   a neighbour are repeated. Under a hash with very many different contents the windows themselves are dealt out and counted.
 4. The covered bytes are cut from each text.
 
 Spans are judged on the input; no string reaches over the end of a document.
@@ -25,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
+from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a shard's text to a block; different contents under one hash up to which they stay in one shard.
@@ -69,23 +69,6 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def repeated_suffixes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Those of the starts whose ``length`` bytes equal another's: suffixes sorted by words, singles dropped."""
-    group = np.zeros(len(starts), np.int64)
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        if not len(starts):
-            break
-        word = np.zeros(len(starts), np.uint64)
-        for j in range(8):
-            word = word << np.uint64(8) | text[starts + (at + j)]
-        order = np.lexsort((word, group))
-        g, w = group[order], word[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-        company = ~(new & np.append(new[1:], True))
-        starts, group = starts[order][company], (np.cumsum(new) - 1)[company]
-    return starts
-
-
 def _run_batches(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +102,7 @@ def _sorted_shard(length: int):
         begin = np.cumsum(sizes) - sizes
         counts = sizes - length + 1
         starts = np.concatenate([b + np.arange(c) for b, c in zip(begin, counts)])
-        hits = np.sort(repeated_suffixes(text, starts, length))
+        hits = np.sort(repeated_starts(text, starts, length))
         owner = np.searchsorted(begin, hits, side="right") - 1
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(owner) != 0)])) if len(hits) else np.empty(0, np.int64)
         rows = []
