@@ -226,22 +226,19 @@ def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, simila
     return out
 
 
-def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 8, agree: int = 2) -> DataFrame:
+def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, blocks: int = 8, agree: int = 3) -> DataFrame:
     """Links (a, b) between different texts whose sets of ``size``-word shingles are similar.
 
     ``prints`` (id: long, bits, n) has the fingerprint and the number of different shingles of each distinct text, ``texts``
     (id, text) the texts, of which only those of candidates are moved. Candidates agree in ``agree`` of
-    ``blocks`` fingerprint blocks (certain up to ``blocks - agree`` differing bits, likely beyond)
-    and in a length class, differ in at most ``max_bits`` bits, and are then verified by the exact
-    Jaccard similarity of their shingle sets. Sets whose sizes differ by more than the similarity
-    allows cannot pass, so a text is filed under its own length class and the next.
+    ``blocks`` fingerprint blocks (certain up to ``blocks - agree`` differing bits, likely beyond; 24 bits agree, so chance
+    brings few together), differ in at most ``max_bits`` bits, and are then verified by the exact Jaccard similarity of their
+    shingle sets.
 
-    In a bucket with more than ``PIVOT`` members each member is first compared with one of them,
-    the pivot. Members that these links connect with it need no more pairs with each other; only those
-    that they do not are compared with members of other components. So a tight group makes no
-    pairs within itself.
+    In a bucket with more than ``PIVOT`` members each member is compared with one of them only, the pivot, so a tight
+    group makes no pairs within itself.
 
-    Pairs that fingerprints miss are found by an exact join on rare shingles between the components so far (:func:`_across`),
+    Pairs that this leaves are found by an exact join on rare shingles between the components so far (:func:`_across`),
     so the components of all links are those of all pairs that are similar enough.
     """
 
@@ -250,12 +247,7 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
         return texts.join(ids, "id", "left_semi").select("id", _shingle_set(F.col("text").cast("binary"), F.lit(size)).alias("hashes"))
 
     rows = prints.where("n > 0")
-    step = float(np.log(1 / similarity))
-    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    keyed = rows.select("id", "bits", F.explode(F.array(level, level + 1)).alias("level"))
-    keyed = keyed.select("id", "bits", "level", F.explode(block_keys(F.col("bits"), blocks, agree)).alias("key")).select(
-        "id", "bits", F.xxhash64("level", "key.which", "key.part").alias("key")
-    )
+    keyed = rows.select("id", "bits", F.explode(block_keys(F.col("bits"), blocks, agree)).alias("key")).select("id", "bits", F.xxhash64("key.which", "key.part").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).where("n > 1")
     keyed = materialise(keyed.join(sizes, "key"), "blocks")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
@@ -268,26 +260,14 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     links = materialise(_verified(pairs, sets, similarity), "links")
     discard(sets)
     ends = components(links)
-    of = lambda c, name: ends.select(F.col("node").alias(c), F.col("component").alias(name))
-    part = F.coalesce("own", "id")
-    placed = many.select("id", "bits", "key", F.col("pivot.id").alias("p")).join(of("id", "own"), "id", "left").join(of("p", "top"), "p", "left")
-    placed = placed.select("id", "bits", "key", part.alias("own"), F.coalesce("top", "p").alias("top"))
-    rest = placed.where("own <> top")
-    all_of = placed.select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), F.col("own").alias("other_own"), "key")
-    late = (
-        rest.join(all_of, "key").where("own <> other_own").where(near(F.col("bits"), F.col("other_bits")))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    )
-    late = materialise(late.join(pairs, ["a", "b"], "left_anti"), "late")
-    discard(keyed)
-    discard(pairs)
-    if late.take(1):
-        links = materialise(links.union(_verified(late, materialise(sets_of(late), "sets"), similarity)), "links")
-        ends = components(links)
+    discard(keyed, pairs)
     more = _across(rows, texts, ends, size, similarity)
     if not more.take(1):
         return links
-    return links.union(_verified(more, materialise(sets_of(more), "sets"), similarity))
+    sets = materialise(sets_of(more), "sets")
+    links = materialise(links.union(_verified(more, sets, similarity)), "links")
+    discard(sets, more)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, **how) -> DataFrame:
