@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontam, ego, eliasfano, langid, simhash, substring, suffix, token_cache, warc
+from tidemark.llm import bpe, decontam, ego, eliasfano, induced, langid, simhash, substring, suffix, token_cache, warc
 from tidemark.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -273,6 +273,22 @@ def test_suffix(spark, docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_induced_order():
+    """Order and common prefixes of all suffixes against sorting them, with queues in memory and on disk."""
+    rng = np.random.default_rng(11)
+    for trial in range(400):
+        text = rng.integers(0, rng.integers(1, 6), rng.integers(1, 60)).astype(np.uint8)
+        text = np.tile(text, 3) if trial % 3 == 0 else text
+        text = text + np.uint8(250) if trial % 5 == 0 else text
+        cap, raw = int(rng.choice([3, 5, 20, 200])), text.tobytes()
+        order, shared = induced.suffix_order(text, cap, memory=int(rng.choice([1, 1000])))
+        assert sorted(order.tolist()) == list(range(len(raw)))
+        assert [raw[i : i + cap] for i in order] == [raw[i : i + cap] for i in sorted(range(len(raw)), key=lambda i: raw[i:])]
+        for k in range(1, len(raw)):
+            a, b = raw[order[k - 1] :][:cap], raw[order[k] :][:cap]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").limit(150).collect()]
@@ -292,6 +308,19 @@ def test_embeddings(spark):
     assert ego.link_vectors(frame.where("false")).count() == 0
 
 
+def test_block_pairs(spark):
+    """The joins of levels keep the pairs of the recursion in one process, and skip most of the possible ones."""
+    import pandas as pd
+
+    rng = np.random.default_rng(15)
+    low = np.sort(rng.uniform(0, 40, (120, 2)), axis=0)
+    boxes = pd.DataFrame({"label": 1, "block": np.arange(120) + (np.arange(120) // 50 << 20), "low": low.tolist(), "high": (low + rng.uniform(0, 1, (120, 2))).tolist()})
+    want = ego.interval_pairs(boxes, 0.5)
+    frame = spark.createDataFrame(boxes, "label int, block long, low array<double>, high array<double>")
+    got = [(r.i, r.j) for r in ego.block_pairs(frame, 0.5, 2, fan=2, levels=3).collect()]
+    assert sorted(got) == sorted(want) and len(want) < 0.2 * 120 * 121 / 2
+
+
 def test_passages(spark, docs, empty):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -4,7 +4,8 @@ Unit vectors are projected on a few leading principal directions and cut into gr
 epsilon, the distance that the cosine threshold allows. Within a label, rows are sorted by their cells
 (the epsilon grid order) and the sorted sequence is cut into blocks of bounded size. A pair of blocks is
 joined only if the boxes of their projections are within epsilon in every direction, which no pair of
-near vectors can violate; pairs of intervals are found by a recursive join that halves the sequence.
+near vectors can violate. Pairs of intervals are found by a recursive join: boxes of ever longer intervals are
+built, the longest meet first, and a pair of intervals that isn't too far apart is taken apart in a join with their parts.
 
 Equal vectors of a label are folded into one row with a count first. A pair of blocks returns, for each
 vector, how many vectors it links to and the edges of a spanning forest, never all its pairs.
@@ -24,6 +25,8 @@ from .common import components, materialise, sample_by_hash
 
 #: Leading directions, rows in the sample that they are fitted on, rows to a block, rows to a cell range.
 DIMENSIONS, SAMPLE, BLOCK = 8, 5000, 512
+#: An interval has 2^FAN parts; intervals are built LEVELS times over.
+FAN, LEVELS = 4, 3
 _VECTOR = "array<double>"
 
 
@@ -85,6 +88,33 @@ def interval_pairs(boxes: pd.DataFrame, epsilon: float) -> list[tuple[int, int]]
     return out
 
 
+def block_pairs(boxes: DataFrame, epsilon: float, dims: int, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """(label, i, j), i <= j: the blocks of one label whose boxes (label, block, low, high) are within epsilon in every direction.
+
+    Block numbers follow the sequence. The longest intervals of a label, one for 2^(fan * levels) blocks of a partition, are joined by
+    :func:`interval_pairs` in one task; below them each level is a join of the pairs with the parts of both intervals.
+    """
+    ends = lambda f, c: F.array(*[f(F.get(c, F.lit(k))) for k in range(dims)]).alias(c)
+    tree = [boxes.select("label", "block", "low", "high")]
+    for _ in range(levels):
+        tree.append(tree[-1].groupBy("label", F.shiftright("block", fan).alias("block")).agg(ends(F.min, "low"), ends(F.max, "high")))
+    kind = dict(boxes.dtypes)["label"]
+
+    def joined(top: pd.DataFrame) -> pd.DataFrame:
+        pairs = interval_pairs(top.sort_values("block").reset_index(drop=True), epsilon)
+        return pd.DataFrame(pairs, columns=["i", "j"]).assign(label=top["label"].iloc[0])[["label", "i", "j"]]
+
+    pairs = tree[-1].groupBy("label").applyInPandas(joined, f"label {kind}, i long, j long")
+    for level in tree[-2::-1]:
+        part = lambda k: level.select(F.col("label"), F.shiftright("block", fan).alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")])  # noqa: E731, B023
+        both = pairs.join(part("i"), ["label", "i"]).join(part("j"), ["label", "j"]).where("block_i <= block_j")
+        for k in range(dims):
+            of = lambda c: F.get(c, F.lit(k))  # noqa: E731, B023
+            both = both.where((of("low_i") - of("high_j") <= epsilon) & (of("low_j") - of("high_i") <= epsilon))
+        pairs = both.select("label", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    return pairs
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK, dims: int = DIMENSIONS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
@@ -96,18 +126,21 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     as other rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(_VECTOR).alias("v"), F.col(label_col).alias("label"))
+    plain = F.transform(F.col(vector_col).cast(_VECTOR), lambda x: x + F.lit(0.0))  # no negative zero
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), plain.alias("v"), F.col(label_col).alias("label"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     top = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("top", F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), top))
+    # rows are found again by 128 bits of their label and vector
+    usable = rows.where(F.col("top") > 0).withColumns({"h": F.xxhash64("label", "v", F.size("v")), "g": F.xxhash64(F.lit(7), F.size("v"), "v", "label")})
+    folded = usable.groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.first("h").alias("h"), F.first("g").alias("g"), F.first("top").alias("top"))
     scaled = F.transform("v", lambda x: x / F.col("top"))  # so that no square overflows or vanishes
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("top", F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), top))
-    usable = rows.where(F.col("top") > 0).withColumn("s", scaled).withColumn("n", norm).select("id", "label", F.transform("s", lambda x: x / F.col("n")).alias("unit"))
-    usable = usable.withColumn("node", F.xxhash64("label", "unit", F.size("unit")))
-    distinct = materialise(usable.groupBy("label", "unit").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.first("node").alias("node")), "vectors")
+    units = folded.withColumn("s", scaled).withColumn("n", norm).select("label", F.transform("s", lambda x: x / F.col("n")).alias("unit"), "copies", "low", "h", "g")
+    distinct = materialise(units.withColumn("node", F.monotonically_increasing_id()), "vectors")
     directions = principal_directions(distinct, dims)
     if directions is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
     width = directions.shape[1]
 
@@ -142,15 +175,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         return pd.DataFrame({"label": [g["label"].iloc[0]], "block": [number], "low": [p.min(0)], "high": [p.max(0)], "nodes": [g["node"].to_numpy()], "copies": [g["copies"].to_numpy()], "units": [[np.asarray(u) for u in g["unit"]]]})
 
     blocks = materialise(ordered.select("label", "p", "node", "copies", "unit").mapInPandas(cut, schema), "blocks")
-    boxes = blocks.select("label", "block", "low", "high")
-    label_type = dict(boxes.dtypes)["label"]
-
-    def joined(boxes: pd.DataFrame) -> pd.DataFrame:
-        pairs = interval_pairs(boxes.sort_values("block").reset_index(drop=True), epsilon)
-        return pd.DataFrame(pairs, columns=["i", "j"]).assign(label=boxes["label"].iloc[0])[["label", "i", "j"]]
-
-    # a label has one box for every `block` vectors: its boxes fit one task where its vectors would not
-    pairs = boxes.groupBy("label").applyInPandas(joined, f"label {label_type}, i long, j long").repartition(4 * parts)
+    pairs = block_pairs(blocks, epsilon, len(directions)).select("i", "j").repartition(4 * parts)
     side = lambda k: blocks.select(F.col("block").alias(k), F.col("nodes").alias(f"nodes_{k}"), F.col("copies").alias(f"copies_{k}"), F.col("units").alias(f"units_{k}"))
     both = pairs.join(side("i"), "i").join(side("j"), "j")
 
@@ -182,11 +207,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     found = materialise(both.select("i", "j", *(f"{n}_{k}" for k in "ij" for n in ("nodes", "copies", "units"))).mapInPandas(compare, "node long, n_links long, other long"), "links")
     ends = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    known = distinct.select("node", "copies", "low").join(counts, "node", "left").join(ends, F.col("node") == F.col("n"), "left").drop("n")
-    known = known.select("node", "low", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    known = distinct.select("node", "copies", "low", "h", "g").join(counts, "node", "left").join(ends, F.col("node") == F.col("n"), "left").drop("n")
+    known = known.select("h", "g", "low", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     least = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = known.join(least, "component").select("node", "n_links", "component_id")
-    linked = usable.select("id", "node").join(named, "node").select("id", "n_links", "component_id")
+    named = known.join(least, "component").select("h", "g", "n_links", "component_id")
+    linked = usable.select("id", "h", "g").join(named, ["h", "g"]).select("id", "n_links", "component_id")
     alone = rows.where("top is null or top <= 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
