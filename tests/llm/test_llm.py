@@ -479,12 +479,14 @@ def test_longest_common_subsequence():
         assert decontam.common_subsequence(a, b) == dp[-1][-1]
 
 
-def test_pipeline(spark, docs):
+def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, SF)
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) > 100 and "ids_sha256" in out.columns
     frame = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:  # odd rows and clashing columns
-        frame = stage(spark, frame, SF)
-        assert frame.columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:  # odd rows and clashing columns; each stage is written before the next
+        stage(spark, frame, SF).write.parquet(f"file://{tmp_path}/{name}")
+        frame = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert frame.columns == docs.columns or name == "encode"
         assert frame.where("doc_id = 0").count() == 1
+    assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

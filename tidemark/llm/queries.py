@@ -62,4 +62,21 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
         FROM m""",
+    "op9_suffix_dedup": """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, md5(h[2 * i - 1 : 2 * i + 398]) AS m FROM (SELECT doc_id, h, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+    t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1), s AS (SELECT doc_id, i, i - 199 > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 1 AS fresh FROM w SEMI JOIN t USING (m)),
+    g AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s), p AS (SELECT doc_id, k, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY 1, 2),
+    x AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+    y AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last FROM x GROUP BY 1),
+    z AS (SELECT x.doc_id, string_agg(h[2 * before + 1 : 2 * (a - 1)], '' ORDER BY a) AS kept FROM x JOIN d USING (doc_id) GROUP BY 1)
+    SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN y.doc_id IS NULL THEN h ELSE coalesce(kept, '') || h[2 * last + 1 :] END)) AS kept_sha256
+    FROM d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    "op10_embedding_links": """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    u AS (SELECT vec_id, label, x FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+    r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
 }
