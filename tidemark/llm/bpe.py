@@ -98,15 +98,15 @@ class Ranks:
         return [x for x, on in zip(ids, alive) if on]
 
     def table(self) -> tuple[list[int], list[int]]:
-        """Entries (first id << BITS | merged id) and, for each first id, an offset: the entry of a pair is at offset + second id.
+        """Entries (first id + 1 << BITS | merged id) and, for each first id, an offset: the entry of a pair is at offset + second id.
 
-        Offsets are drawn until no two rows of the table meet, the longest row first; a free place matches no id.
+        Offsets are drawn until no two rows of the table meet, the longest row first; a free place, 0, matches no id.
         """
         rows: dict[int, list[tuple[int, int]]] = {}
         for (a, b), rank in self.pairs.items():
             rows.setdefault(a, []).append((b, rank))
         size = 1 << max(8, (4 * len(self.pairs)).bit_length(), len(self.pieces).bit_length())
-        entries, free, rng = np.full(size, 1 << 61, np.int64), np.ones(size, bool), np.random.default_rng(1)
+        entries, free, rng = np.zeros(size, np.int64), np.ones(size, bool), np.random.default_rng(1)
         offsets = np.zeros(len(self.pieces), np.int64)
         for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             second = np.array([b for b, _ in row])
@@ -117,7 +117,7 @@ class Ranks:
                     break
             at = second + drawn[fits[0]]
             free[at], offsets[a] = False, drawn[fits[0]]
-            entries[at] = a << BITS | np.array([rank for _, rank in row])
+            entries[at] = a + 1 << BITS | np.array([rank for _, rank in row])
         return entries.tolist(), offsets.tolist()
 
 
@@ -138,7 +138,7 @@ def fold(start: Column, path: str) -> Column:
 
     def element(t: Column, o: Column, a: Column, b: Column) -> Column:
         """rank << BITS | a, where the pair (a, b) has a rank; the largest rank is none."""
-        merged = F.get(t, (F.get(o, a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, BITS))
+        merged = F.get(t, (F.get(o, a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a + 1, BITS))
         return F.shiftleft(F.least(merged, F.lit(NONE).cast("long")), BITS).bitwiseOR(a)
 
     def step(t: Column, o: Column, s: Column) -> Column:
