@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .units import units, words
 
+#: Buckets that a table of chunks has at most (Spark's own limit is 100,000).
+MOST_BUCKETS = 50_000
 #: Above any id; an element of the fold is rank << BITS | id.
 BITS = 20
 NONE = 1 << BITS
 #: Bytes up to which a word is folded; bytes of text to a chunk, about, and to a range of words.
-LONG, CHUNK_BYTES, RANGE_BYTES = 48, 16 << 20, 16 << 20
+LONG, CHUNK_BYTES, RANGE_BYTES = 48, 24 << 20, 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -217,7 +219,7 @@ class _Chunk:
         for u in dict.fromkeys(us):
             if u not in known:
                 known[u] = len(known)
-                ws = words(u)
+                ws = (u,) if u.isalpha() or u[0] == " " and u[1:].isalpha() else words(u)  # most units are a run of letters
                 self.of_unit.append(len(ws))
                 self.flat.extend([self.words.setdefault(w, len(self.words)) for w in (ws if len(ws) > 1 else (u,))])
         self.rows.append(row)
@@ -354,22 +356,13 @@ def _assembler(path: str, with_ids: bool):
         return out
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by chunk: its documents first, then the ids of its words by range."""
-
-        def done(docs: bytes | None, known: list[bytes]) -> pa.RecordBatch:
-            columns = list(zip(*assembled(docs, known))) if docs else []
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: 4 + with_ids]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns or [()] * len(kinds), kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_text"][: 4 + with_ids])
-
-        docs, known = None, []
+        """A row is a chunk: its documents, and the ids of its words by range."""
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: 4 + with_ids]
         for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-                if part < 0:
-                    yield done(docs, known)
-                    docs, known = data, []
-                else:
-                    known.append(data)
-        yield done(docs, known)
+            for k in range(len(batch.column("data"))):
+                known = batch.column("known")[k].as_py() or []
+                columns = list(zip(*assembled(batch.column("data")[k].as_py(), [x["data"] for x in known])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids_text"][: 4 + with_ids])
 
     return assemble
 
@@ -385,10 +378,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     total = rows.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
     at_once = 2 * docs.sparkSession.sparkContext.defaultParallelism
     ranges, chunks = max(-(-total // RANGE_BYTES), at_once), max(-(-total // chunk_bytes), at_once)
-    packed = materialise(rows.mapInArrow(_packed(ranges, chunk_bytes), "chunk long, part long, data binary"), "chunks")
-    of_range = packed.where("part >= 0").select("part", "chunk", "data").repartition(ranges, "part").sortWithinPartitions("part", "chunk")
+    # the chunks lie in buckets, so that only ids are moved to them
+    buckets = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = materialise(rows.mapInArrow(_packed(ranges, chunk_bytes), "chunk long, part long, data binary"), "chunks", bucket="chunk", buckets=min(int(buckets), MOST_BUCKETS))
+    of_range = packed.where("part >= 0").select("part", "chunk", "data").repartition(int(ranges), "part").sortWithinPartitions("part", "chunk")
     encoded = of_range.mapInArrow(_distinct(path), "part long, start array<bigint>, chunks array<bigint>").select("part", "chunks", fold(F.col("start"), path).alias("ids"))
-    ids = encoded.mapInArrow(_back, "chunk long, part long, data binary")
-    whole = packed.where("part < 0").union(ids).repartition(chunks, "chunk").sortWithinPartitions("chunk", "part")
+    ids = encoded.mapInArrow(_back, "chunk long, part long, data binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("known"))
+    whole = packed.where("part < 0").select("chunk", "data").join(ids, "chunk", "left").select("data", "known")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids_text string" * with_ids
     return whole.mapInArrow(_assembler(path, with_ids), schema).withColumnRenamed("doc_id", id_col)

@@ -34,15 +34,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, bucket: str | None = None, buckets: int = 0) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage, survives lost executors.
 
-    What the write shuffled is not needed again; Spark deletes it as soon as the driver collects its own garbage, so that
+    With ``bucket`` the rows lie in so many buckets of that column, so that a join on it does not move them. What the write shuffled is not needed again; Spark deletes it as soon as the driver collects its own garbage, so that
     is done here.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if bucket:
+        table_name = path.rsplit("/", 1)[1].replace("-", "_")
+        df.write.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(table_name)
+        out = spark.table(table_name)
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     release(spark)
