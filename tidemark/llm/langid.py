@@ -162,9 +162,10 @@ def _sample(usable: DataFrame, each: int, counts: DataFrame) -> DataFrame:
     """At most ``each`` rows of each language, those of smallest hash; equal texts with equal labels count once.
 
     Rows beyond the hash that half as many again would need leave where they are read, so one pass serves all languages.
+    ``counts`` has a row for each language, which the driver has held already, so it is broadcast.
     """
     share = F.least(F.lit(1.0), (F.lit(1.5 * each + 30)) / F.greatest(F.col("n"), F.lit(1)))
-    near = usable.join(counts.withColumn("share", share), "lang").where((F.col("h") / F.lit(float(1 << 64)) + F.lit(0.5)) <= F.col("share"))
+    near = usable.join(F.broadcast(counts.withColumn("share", share)), "lang").where((F.col("h") / F.lit(float(1 << 64)) + F.lit(0.5)) <= F.col("share"))
     once = near.select("lang", "h", "text").dropDuplicates(["lang", "h"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     return once.withColumn("place", place).where(F.col("place") <= each).select("lang", "h", "text")
