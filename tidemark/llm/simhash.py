@@ -11,10 +11,12 @@ not make all pairs: see :func:`near_fingerprints` and :func:`near_texts`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,9 +140,27 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.join(named, "bits").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shingle_set(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingle_hashes(x, int(n))).view(np.int64) for x, n in zip(texts, sizes)])
+#: Texts whose shingles a task holds at a time.
+TEXTS = 512
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch.column("id")), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, hashes): the different shingles of each text (id, text), ascending as unsigned numbers."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _some(batches):
+            found = [np.unique(shingle_hashes(x, size)).view(np.int64) for x in batch.column("text").to_pylist()]
+            runs = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            hashes = pa.ListArray.from_arrays(runs, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), hashes], ["id", "hashes"])
+
+    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(sets, "id long, hashes array<bigint>")
 
 
 @F.pandas_udf(T.StructType([T.StructField("bits", T.LongType()), T.StructField("n", T.IntegerType())]))
@@ -165,17 +185,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def _frequent(texts: DataFrame, size: int) -> dict[int, int]:
     """Up to ``FREQUENT`` shingles that many texts share, with a rank: the more texts, the higher.
 
-    Tasks report what occurs three times within a batch. Any choice gives the same links; this one keeps buckets small.
+    Tasks report what occurs three times within some thousand texts. Any choice gives the same links; this one keeps buckets small.
     """
 
-    def count(batches):
-        for pdf in batches:
-            sets = [np.unique(shingle_hashes(x, size)) for x in pdf["text"]]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            top = np.argsort(-n, kind="stable")[: min(FREQUENT, int((n > 2).sum()))]
-            yield pd.DataFrame({"shingle": h[top].view(np.int64), "n": n[top]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch.column("text")), 4 * TEXTS):
+                sets = [np.unique(shingle_hashes(x, size)) for x in batch.column("text").slice(at, 4 * TEXTS).to_pylist()]
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                top = np.argsort(-n, kind="stable")[: min(FREQUENT, int((n > 2).sum()))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["shingle", "n"])
 
-    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "shingle long, n long")
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "shingle long, n long")
     top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > PIVOT).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     return {r["shingle"]: len(top) - i for i, r in enumerate(top)}
 
@@ -200,14 +221,17 @@ def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, simila
     keys = np.array(sorted(ranked, key=lambda k: k & (1 << 64) - 1), np.int64)
     box = texts.sparkSession.sparkContext.broadcast((keys.view(np.uint64), np.array([ranked[int(k)] for k in keys], np.int64)))  # at most 1 MB
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, ranks = box.value
-        for pdf in batches:
-            sets = [np.unique(shingle_hashes(x, size)) for x in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(h) for h in sets], "keys": [prefix(h, ranks, frequent, similarity).view(np.int64) for h in sets]})
+        for batch in _some(batches):
+            sets = [np.unique(shingle_hashes(x, size)) for x in batch.column("text").to_pylist()]
+            heads = [prefix(h, ranks, frequent, similarity).view(np.int64) for h in sets]
+            runs = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
+            keys = pa.ListArray.from_arrays(runs, pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), keys], ["id", "n", "keys"])
 
     # prefixes are cut where the texts are read, so no text moves
-    cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInPandas(cut, "id long, n long, keys array<long>")
+    cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "id long, n long, keys array<long>")
     cuts = cuts.join(rows.select("id").distinct(), "id", "left_semi").join(own.withColumnRenamed("node", "id"), "id", "left")
     keyed = cuts.select("id", "n", F.coalesce("component", "id").alias("own"), F.explode("keys").alias("key")).repartition("key")
     parts = keyed.groupBy("key", "own").agg(F.count("*").alias("members"))
@@ -244,7 +268,7 @@ def near_texts(prints: DataFrame, texts: DataFrame, size: int = 5, similarity: f
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return texts.join(ids, "id", "left_semi").select("id", _shingle_set(F.col("text").cast("binary"), F.lit(size)).alias("hashes"))
+        return _shingle_sets(texts.join(ids, "id", "left_semi"), size)
 
     rows = prints.where("n > 0")
     keyed = rows.select("id", "bits", F.explode(block_keys(F.col("bits"), blocks, agree)).alias("key")).select("id", "bits", F.xxhash64("key.which", "key.part").alias("key"))
