@@ -154,8 +154,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     long_rows = rows.where(F.length("text") >= length)
     runs_of = long_rows.mapInArrow(_run_batches(length), "anchor long, doc long, key long, start long, n int, content long")
     # most minimizers occur once: their runs are found again rather than kept, and leave before anything else is grouped
-    often = runs_of.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    often = materialise(runs_of.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "often")  # written, so that Spark can split the join at a hot one
     found = materialise(runs_of.join(often, "anchor", "left_semi"), "runs")
+    discard(often)
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "start", "n")).alias("one"))
     contents = materialise(contents.withColumn("c", F.col("c").cast("int")), "contents")
     crowds = contents.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1")
