@@ -2,7 +2,8 @@
 
 Two Zstandard dictionaries of equal size are trained on pieces of good and of bad labelled texts. A text is compressed piece by
 piece with each, so that the dictionary and not the text's own past decides; the difference of the two sizes by the
-bytes of the text is its margin. Labelled texts that no dictionary has seen turn margins into probabilities by a logistic curve.
+bytes of the text is its margin, drawn to the labelled texts' mean margin where a text has few bytes. Labelled texts
+that no dictionary has seen turn margins into probabilities by a logistic curve.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class that training reads, pieces of each class that a dictionary is trained on: both are bounds of the sample.
 TRAIN_ROWS, TRAIN_PIECES = 20_000, 4_000
 #: Bytes of a piece (texts are compressed so) and of a dictionary.
-PIECE, DICTIONARY = 2048, 32 << 10
+PIECE, DICTIONARY = 1024, 112 << 10
 LEVEL = 3
-#: Margins are counted in steps of this width for the curve.
-STEP = 1 / 4096
+#: Bytes of a usual text that are counted to each text's own.
+PRIOR_BYTES = 32
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -43,9 +44,10 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 @dataclass
 class QualityModel:
-    """The dictionaries of bad and good texts, and the curve: probability = 1 / (1 + exp(-(slope * margin + offset)))."""
+    """The dictionaries of bad and good texts, the mean margin, and the curve: probability = 1 / (1 + exp(-(slope * margin + offset)))."""
 
     dictionaries: tuple[bytes, bytes]
+    mean: float = 0.0
     slope: float = 0.0
     offset: float = 0.0
 
@@ -53,12 +55,12 @@ class QualityModel:
         self._tools = None
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "slope": self.slope, "offset": self.offset, "_tools": None}
+        return self.__dict__ | {"_tools": None}
 
-    def margin(self, text: bytes | None) -> float:
-        """(size with the bad dictionary - size with the good one) / bytes; 0 for an empty or null text."""
+    def gain(self, text: bytes | None) -> int:
+        """Size with the bad dictionary less the size with the good one; 0 for an empty or null text."""
         if not text:
-            return 0.0
+            return 0
         if self._tools is None:
             self._tools = []
             for data in self.dictionaries:
@@ -67,14 +69,15 @@ class QualityModel:
                     made.precompute_compress(level=LEVEL)
                 self._tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_dict_id=False))
         bad, good = self._tools
-        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces(text)) / len(text)
+        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces(text))
 
-    def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
+    def margin(self, gain, size):
+        """Of numbers, arrays or columns."""
+        return (gain + PRIOR_BYTES * self.mean) / (size + PRIOR_BYTES)
 
 
 def fit_curve(margin: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve for counts of good and bad texts at each margin, by Newton steps.
+    """Slope and offset of a logistic curve for weights of good and bad at each margin, by Newton steps.
 
     The targets are drawn in by one text of each class, so classes that a margin parts have a finite curve too.
     """
@@ -114,36 +117,39 @@ def train(labelled: DataFrame, rows: DataFrame | None = None, id_col: str = "doc
 
     ``labelled`` has (id, label 0 or 1); other labels and null ids count for nothing. The picked ids, whose number is bounded,
     are broadcast to the texts. Half the texts, by a hash of the text so that copies stay together, go to the dictionaries (at most
-    ``TRAIN_PIECES`` pieces a class, of smallest hash), the others to the curve. Without a label of a class its dictionary is empty
+    ``TRAIN_PIECES`` pieces a class, of smallest hash), the others to the curve, one for each id. Without a label of a class its dictionary is empty
     and the curve is flat.
     """
     known = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("h"))
     picked = [known.where(F.col("label") == k).orderBy("h", "id").limit(bound) for k in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]).select("id", "label"))
-    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).join(ids, "id").select("label", "text")
+    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).join(ids, "id")
     half = F.crc32("text") % 2
     cut = texts.where(half == 0).mapInArrow(_cut, "label int, piece binary").withColumn("h", F.xxhash64("piece", F.lit(1)))
     samples = [[bytes(r["piece"]) for r in cut.where(F.col("label") == k).dropDuplicates(["h"]).orderBy("h").limit(TRAIN_PIECES).collect()] for k in (0, 1)]
     model = QualityModel((train_dictionary(samples[0]), train_dictionary(samples[1])))
-    counted = texts.where(half == 1).select("label", F.round(margins(model)("text") / STEP).cast("long").alias("bin")).groupBy("bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).collect()  # one row a step
-    at = np.array([[r["bin"] * STEP, r["good"], r["bad"]] for r in counted], float).reshape(-1, 3)
-    model.slope, model.offset = fit_curve(at[:, 0], at[:, 1], at[:, 2])
+    seen = texts.where(half == 1).select("id", "label", gains(model)("text").alias("gain"), F.octet_length("text").alias("size"))
+    one = seen.groupBy("id", "label").agg(F.min(F.struct("gain", "size")).alias("x")).select("label", "x.*").collect()  # a row for each picked id
+    at = np.array([[r["gain"], r["size"], r["label"]] for r in one], float).reshape(-1, 3)
+    model.mean = float((at[:, 0] / np.maximum(at[:, 1], 1)).mean()) if len(at) else 0.0
+    model.slope, model.offset = fit_curve(model.margin(at[:, 0], at[:, 1]), at[:, 2], 1 - at[:, 2])
     return model
 
 
-def margins(model: QualityModel):
-    """A column function: binary texts to margins."""
+def gains(model: QualityModel):
+    """A column function: binary texts to gains."""
 
-    @F.pandas_udf("double")
-    def margin(text: pd.Series) -> pd.Series:
-        return pd.Series([model.margin(x) for x in text], dtype="float64")
+    @F.pandas_udf("long")
+    def gain(text: pd.Series) -> pd.Series:
+        return pd.Series([model.gain(x) for x in text], dtype="int64")
 
-    return margin
+    return gain
 
 
 def predict(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Column:
-    """The probability that a text is good, as a column of ``docs``; null and empty texts have a margin of 0."""
-    margin = margins(model)(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    """The probability that a text is good, as a column of ``docs``; null and empty texts have the mean margin."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    margin = model.margin(gains(model)(text), F.octet_length(text))
     power = F.greatest(F.least(F.lit(model.slope) * margin + F.lit(model.offset), F.lit(30.0)), F.lit(-30.0))
     return 1 / (1 + F.exp(-power))
 
