@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rules, text
-from tidemark.operators import codes, cohort, evalm, features, history, pooling, quality, sampling, scoring, stats
+from tidemark.operators import codes, cohort, evalm, features, history, matching, pooling, quality, sampling, scoring, stats
 from tidemark.plans import jobs
 from tidemark.sources import records, tables
 from tidemark.streaming import arrivals
@@ -77,11 +77,23 @@ def brute_match(a, b, caliper):
     return best
 
 
+def walked(a, b, caliper):
+    """The pairs (case place, control place) that the two passes give, and the walk."""
+    line, way = matching.Line(caliper), matching.Way()
+    notes = [(*line.push(x, arm), line.at, arm) for x, arm in sorted([(x, 1) for x in a] + [(x, 0) for x in b])]
+    sides = ({}, {})
+    for rank, level, start, at, arm in reversed(notes):
+        if (of := way.push(at, level, start)) is not None:
+            sides[arm][rank - arm * of] = rank - 1
+    assert sides[0].keys() == sides[1].keys()
+    return sorted((sides[1][k], sides[0][k]) for k in sides[1]), line
+
+
 def test_matching(spark):
     rng = np.random.default_rng(0)
     for _ in range(60):
         a, b = (sorted(rng.integers(0, 25, rng.integers(0, 5)).tolist()) for _ in range(2))
-        got = cohort.match_sorted(a, b, 5)
+        got, _ = walked(a, b, 5)
         k, d = brute_match(a, b, 5)
         assert len(got) == k and abs(sum(abs(a[i] - b[j]) for i, j in got) - d) < 1e-9
     rows = [(i, int(i < 20), "f" if i % 2 else "m", float(rng.integers(20, 80))) for i in range(80)]
@@ -167,12 +179,15 @@ def test_scoring_memo(spark):
         import pandas as pd
 
         asked.add(len(pdf))
-        return pd.DataFrame({"prediction": ["Yes" if "a" in t else "No" for t in pdf["text"]]})
+        return pd.DataFrame({"prediction": ["Yes" if t and "a" in t else "No" for t in pdf["text"]]})
 
-    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, text string")
-    memo = spark.createDataFrame([("b", "Old")], "text string, prediction string")
-    out, _ = scoring.score_with_memo(d, memo, ["text"], scorer, "prediction string")
-    assert dict(out.select("id", "prediction").collect()) == {1: "Yes", 2: "Yes", 3: "Old"}
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "id int, text string")
+    memo = spark.createDataFrame([("b", "Old"), ("b", "Older")], "text string, prediction string")
+    out, fresh = scoring.score_with_memo(d, memo, ["text"], scorer, "prediction string")
+    assert dict(out.select("id", "prediction").collect()) == {1: "Yes", 2: "Yes", 3: "Old", 4: "No", 5: "No"}
+    assert out.columns == ["id", "text", "prediction"] and fresh.count() == 2
+    again, none = scoring.score_with_memo(d, memo.unionByName(fresh), ["text"], scorer, "prediction string")
+    assert again.count() == 5 and none.count() == 0
 
 
 def test_bow(spark):
@@ -219,18 +234,20 @@ def test_no_cartesian_plans(spark):
         assert "CartesianProduct" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
-def test_matching_keeps_a_band():
-    """A dense run of 2,000 cases and 8,000 controls; the whole table of it would be 16 million cells."""
+@pytest.mark.parametrize("sides", [(20_000, 80_000), (50_000, 50_000)])
+def test_matching_keeps_a_caliper_width(sides):
+    """A dense run of 100,000 people: what is held is a caliper's width of it, and the time does not grow with that width."""
     import tracemalloc
 
     rng = np.random.default_rng(12)
-    cases, controls = (sorted(rng.uniform(0, 2000, n).tolist()) for n in (2000, 8000))
+    people = sorted([(float(x), 1) for x in rng.uniform(0, 1000, sides[0])] + [(float(x), 0) for x in rng.uniform(0, 1000, sides[1])])
+    line = matching.Line(5.0)
     tracemalloc.start()
-    found = cohort.match_sorted(cases, controls, 5.0)
+    for x, arm in people:
+        line.push(x, arm)
     top = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(found) == 2000 and len({j for _, j in found}) == 2000 and top < 20 << 20
-    assert all(abs(cases[i] - controls[j]) <= 5 for i, j in found)
+    assert line.pairs > 0.99 * sides[0] and top < 2 << 20 and len(line.last) < 1500
 
 
 def test_matching_is_best_by_brute_force():
@@ -241,6 +258,27 @@ def test_matching_is_best_by_brute_force():
         for i, x in enumerate(cases):
             for j, y in enumerate(controls):
                 best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], (best[i][j][0] + 1, best[i][j][1] - abs(x - y)) if abs(x - y) <= 3 else (0, 0))
-        found = cohort.match_sorted(cases, controls, 3)
+        found, line = walked(cases, controls, 3)
+        assert len(found) == line.pairs
         assert (len(found), -sum(abs(cases[i] - controls[j]) for i, j in found)) == best[-1][-1]
         assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:])) and all(abs(cases[i] - controls[j]) <= 3 for i, j in found)
+
+
+def test_pairs_of_streams(spark):
+    """Many keys over many batches, people who can't take part, ties, and the best by brute force for every key."""
+    rng = np.random.default_rng(14)
+    rows = [(int(i), int(rng.random() < 0.3), int(rng.integers(0, 40)), float(rng.integers(0, 30))) for i in range(900)]
+    odd = [(None, 1, 1, 3.0), (9001, None, 1, 3.0), (9002, 2, 1, 3.0), (9003, 1, None, 3.0), (9004, 1, 1, None), (9005, 0, 1, float("nan")), (9006, 0, 1, float("inf"))]
+    people = spark.createDataFrame([(*r, "x", 5) for r in rows + odd], "id long, arm int, sex int, age double, key string, number int")
+    got = [tuple(r) for r in cohort.match_round(people, "id", "arm", ["sex"], "age", 2.0).collect()]
+    by = {r[0]: r for r in rows}
+    assert len({x for p in got for x in p}) == 2 * len(got)
+    for sex in range(40):
+        a, b = (sorted(r[3] for r in rows if r[2] == sex and r[1] == k) for k in (1, 0))
+        mine = [(by[c], by[d]) for c, d in got if by[c][2] == sex]
+        assert all(c[1] == 1 and d[1] == 0 and c[2] == d[2] and abs(c[3] - d[3]) <= 2 for c, d in mine)
+        want, line = walked(a, b, 2.0)
+        assert len(mine) == len(want) == line.pairs and abs(sum(abs(c[3] - d[3]) for c, d in mine) - sum(abs(a[i] - b[j]) for i, j in want)) < 1e-9
+    assert cohort.match_round(people.where("false"), "id", "arm", [], "age", 2.0).count() == 0
+    texts = people.where("id < 100").withColumn("id", F.col("id").cast("string"))
+    assert cohort.match_round(texts, "id", "arm", [], "age", 2.0).count() == walked(*(sorted(r[3] for r in rows if r[0] < 100 and r[1] == k) for k in (1, 0)), 2.0)[1].pairs

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import days_between
+from tidemark.operators.matching import nearest_pairs
+from tidemark.operators.ranks import ranked
 
 
 def index_dates(facts: DataFrame, key: str, date: str, qualifies: Column) -> DataFrame:
@@ -35,73 +36,19 @@ def coverage_filter(index: DataFrame, notes: Sequence[DataFrame], key: str, date
     return index.join(latest, key).where(days_between(F.col("_latest"), F.col("index_date")) > days).drop("_latest")
 
 
-def match_sorted(cases: list[float], controls: list[float], caliper: float) -> list[tuple[int, int]]:
-    """Most pairs within the caliper, then least total distance; both lists ascending. Optimal pairs never cross.
-
-    Of the table of best (pairs, -distance) each row is kept for controls within the caliper of its case only: before them it
-    equals the row above, behind them it stays as it is. Two rows are held, and of the others a byte a cell for the way back.
-    """
-    m = len(controls)
-    low, high, above, first, ways = 0, 0, [(0, 0.0)], 0, []  # above: the last row from column `first` on
-    for x in cases:
-        while low < m and x - controls[low] > caliper:
-            low += 1
-        high = max(high, low)
-        while high < m and controls[high] - x <= caliper:
-            high += 1
-        last = len(above) - 1
-        over = above[min(low - first, last)]  # columns beyond the last row's end repeat it
-        row, way = [over], bytearray(1)
-        for j in range(low + 1, high + 1):
-            diagonal, over = over, above[min(j - first, last)]
-            top = max(over, row[-1])
-            gap = abs(x - controls[j - 1])
-            top = max(top, (diagonal[0] + 1, diagonal[1] - gap))
-            way.append(0 if top == over else 1 if top == row[-1] else 2)
-            row.append(top)
-        ways.append((low, way))
-        above, first = row, low
-    out, i, j = [], len(cases), m
-    while i and j:
-        begin, way = ways[i - 1]
-        j = min(j, begin + len(way) - 1)
-        step = way[j - begin] if j > begin else 0
-        if step == 0:
-            i -= 1
-        elif step == 1:
-            j -= 1
-        else:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
 def match_round(people: DataFrame, key: str, arm: str, exact: Sequence[str], number: str | None, caliper: float) -> DataFrame:
     """(case, control) of one round: equal ``exact`` columns, |number| within the caliper, each person at most once.
 
-    Without ``number`` cases and controls of a key are numbered and zipped. With it, each key's people are sorted and
-    cut where no neighbour is within the caliper; such runs are independent, so the groups that a task matches are short.
+    Without ``number`` cases and controls of a key are numbered and zipped: any pair will do. With it, most pairs within the caliper
+    and then least total distance (:mod:`tidemark.operators.matching`).
     """
     exact = list(exact)
     rows = people.where(" and ".join(f"`{c}` is not null" for c in [*exact, key, arm] + ([number] if number else [])))
     if number is None:
-        w = Window.partitionBy(*exact, arm).orderBy(key)
-        numbered = rows.select(*exact, key, arm, F.row_number().over(w).alias("_n"))
+        numbered = ranked(rows.select(*exact, key, arm), [*exact, arm], [key], "_n")
         side = lambda k, name: numbered.where(F.col(arm) == k).select(*exact, "_n", F.col(key).alias(name))
         return side(1, "case").join(side(0, "control"), [*exact, "_n"]).select("case", "control")
-    w = Window.partitionBy(*exact).orderBy(number, key)
-    gap = F.col(number) - F.lag(number).over(w)
-    runs = rows.withColumn("_new", F.coalesce((gap > caliper).cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kind = dict(people.dtypes)[key]
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([number, key])
-        a, b = pdf[pdf[arm] == 1], pdf[pdf[arm] == 0]
-        found = match_sorted(a[number].tolist(), b[number].tolist(), caliper)
-        return pd.DataFrame({"case": a[key].iloc[[i for i, _ in found]].to_numpy(), "control": b[key].iloc[[j for _, j in found]].to_numpy()})
-
-    both = runs.groupBy(*exact, "_run").agg(F.count_if(F.col(arm) == 1).alias("_a"), F.count_if(F.col(arm) == 0).alias("_b")).where("_a > 0 and _b > 0")
-    return runs.join(both.select(*exact, "_run"), [*exact, "_run"], "left_semi").groupBy(*exact, "_run").applyInPandas(pair, f"case {kind}, control {kind}")
+    return nearest_pairs(rows, key, arm, exact, number, caliper)
 
 
 def match(people: DataFrame, key: str, arm: str, features: Sequence[str], number: str | None = None, caliper: float = 5.0, least: int | None = None, folder: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 THRESHOLDS = [i / 100 for i in range(1, 100)]
 
 
@@ -94,8 +96,7 @@ def recall_at_precision(swept: DataFrame, precision: float, by: Sequence[str] =
 def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; scores are folded to distinct values before any ordering.
 
-    Negatives below each score come from a running sum within the group; ``by`` keeps that distributed. Without
-    ``by`` the distinct scores are ordered by range partitions whose totals are added up first.
+    Negatives below each score come from a running sum over ranges of scores, so neither all rows nor a label's meet in a task.
     """
     keys = list(by)
     c = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
@@ -104,34 +105,9 @@ def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     return below.groupBy(*keys).agg((area / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auc"))
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, descending: bool = False, parts: int = 64) -> DataFrame:
-    """Adds ``_before``: the sum of ``value`` over rows that come earlier. Rows of a group have distinct ``order``.
-
-    Without groups: rows get a range number, ranges are summed (one row each) and the running sum within a
-    range starts from what lies before it, so no task sees all rows.
-    """
-    from pyspark.sql import Window
-
-    by = list(by)
-    key = F.col(order).desc() if descending else F.col(order)
-    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    if by:
-        return df.withColumn("_before", F.coalesce(F.sum(value).over(rows(Window.partitionBy(*by).orderBy(key))), F.lit(0)))
-    ranged = df.withColumn("_part", range_number(df, order, parts))
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    edge = F.col("_part").desc() if descending else F.col("_part")
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(rows(Window.orderBy(edge))), F.lit(0)).alias("_start"))
-    inner = ranged.withColumn("_in", F.coalesce(F.sum(value).over(rows(Window.partitionBy("_part").orderBy(key))), F.lit(0)))
-    return inner.join(starts, "_part").withColumn("_before", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
-
-
-def range_number(df: DataFrame, order: str, parts: int = 64) -> Column:
-    """Which of about ``parts`` ranges of similar size a value lies in; equal values lie in one."""
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(order) > F.lit(c)).cast("int")
-    return part
+def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, descending: bool = False) -> DataFrame:
+    """Adds ``_before``: the sum of ``value`` over rows of the group that come earlier (:func:`tidemark.operators.ranks.running`)."""
+    return running(df, by, [order], {"_before": ("sum", value)}, descending).drop("_before_all")
 
 
 def auc_macro_micro(df: DataFrame, label: str, y: str, score: str) -> DataFrame:
@@ -144,11 +120,9 @@ def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataF
     """(by, threshold, tp, fp, precision, recall) at every distinct score, predicting rows at or above it."""
     keys = list(by)
     c = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    up = running_total(c, keys, "threshold", "_p", True).withColumn("tp", F.col("_before") + F.col("_p")).drop("_before")
-    up = running_total(up, keys, "threshold", "_n", True).withColumn("fp", F.col("_before") + F.col("_n")).drop("_before")
-    totals = c.groupBy(*keys).agg(F.sum("_p").alias("_all"))
-    joined = up.join(totals, keys) if keys else up.join(totals)
-    return joined.select(*keys, "threshold", "tp", "fp", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("_all")).alias("recall"))
+    up = running(c, keys, ["threshold"], {"tp": ("sum", "_p"), "fp": ("sum", "_n")}, descending=True)
+    tp, fp = F.col("tp") + F.col("_p"), F.col("fp") + F.col("_n")
+    return up.select(*keys, "threshold", tp.alias("tp"), fp.alias("fp"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, F.col("tp_all")).alias("recall"))
 
 
 def precision_at_recall_by_score(df: DataFrame, y: str, score: str, recall: float, by: Sequence[str] = ()) -> DataFrame:

@@ -104,11 +104,8 @@ def indicators(df: DataFrame, column: str, levels: Sequence[str]) -> tuple[DataF
 
 
 def level_models(df: DataFrame, column: str, levels: Sequence[str], time: str, event: str, adjust: Sequence[str]) -> list[dict]:
-    """Cox models of the levels of an exposure, unadjusted and adjusted for the covariates with two levels or more."""
+    """Cox models of the levels of an exposure, unadjusted and adjusted for the covariates with two levels or more, fitted together."""
     wide, names = indicators(df, column, levels)
-    varied = wide.agg(*[F.count_distinct(c).alias(c) for c in adjust]).first() if adjust else {}
-    used = [c for c in adjust if varied[c] > 1]
-    out = []
-    for model, covariates in (("unadjusted", names), ("adjusted", [*names, *used])):
-        out += [{"exposure": column, "model": model} | r for r in stats.coxph(wide, time, event, covariates)]
-    return out
+    grid = [{"exposure": column, "model": "unadjusted", "covariates": names}, {"exposure": column, "model": "adjusted", "covariates": [*names, *adjust]}]
+    found = stats.ablate(df.sparkSession, wide, grid, time, event)
+    return [{k: v for k, v in r.items() if k != "covariates"} for r in found]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked, running
+
 
 def draw(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that depends on the keys and the seed only."""
@@ -33,10 +35,24 @@ def first_k_keys(df: DataFrame, key: str, order: Sequence, k: int) -> DataFrame:
 
 
 def head_split(df: DataFrame, stratum: str, order: Sequence, eval_fraction: float) -> DataFrame:
-    """Adds ``split``: the first rows of each stratum are eval, the rest train."""
-    w = Window.partitionBy(stratum)
-    n = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("split", F.when(n <= F.floor(F.count("*").over(w) * eval_fraction), "eval").otherwise("train"))
+    """Adds ``split``: the first rows of each stratum are eval, the rest train. A stratum may hold any share of the rows."""
+    placed = running(df, [stratum], order, {"_n": ("sum", F.lit(1).cast("long"))})
+    return placed.select(*df.columns, F.when(F.col("_n") < F.floor(F.col("_n_all") * eval_fraction), "eval").otherwise("train").alias("split"))
+
+
+def three_way_split(df: DataFrame, pool: str, order: Sequence, train: str = "train", halves: tuple[str, str] = ("train", "validation"), rest: str = "test", most: int | None = None) -> DataFrame:
+    """Adds ``split``: rows of the pool ``train`` are halved in the given order, the smaller half last; all other rows are ``rest``.
+
+    ``most`` keeps that many rows of each half, the first in order (the size of a training run); the rest is kept whole. A null pool is ``rest``.
+    """
+    placed = running(df, [pool], order, {"_n": ("sum", F.lit(1).cast("long"))})
+    first = F.col("_n") < F.ceil(F.col("_n_all") / 2)
+    split = F.when(F.col(pool) == train, F.when(first, halves[0]).otherwise(halves[1])).otherwise(rest)
+    place = F.when(first, F.col("_n")).otherwise(F.col("_n") - F.ceil(F.col("_n_all") / 2))
+    out = placed.withColumn("split", split)
+    if most is not None:
+        out = out.where((F.col("split") == rest) | (place < most))
+    return out.select(*df.columns, "split")
 
 
 def key_split(df: DataFrame, key: str, fractions: dict[str, float], seed: int = 0) -> DataFrame:
@@ -55,8 +71,7 @@ def downsample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 def stride(df: DataFrame, by: str, order: Sequence, step: int) -> DataFrame:
     """Every ``step``-th row of each group, from the first."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where((F.col("_n") - 1) % step == 0).drop("_n")
+    return ranked(df, [by], order, "_n").where((F.col("_n") - 1) % step == 0).drop("_n")
 
 
 def pack_budget(df: DataFrame, by: str, order: Sequence, cost: str, budget: float, separator: float = 0) -> DataFrame:
@@ -101,8 +116,8 @@ def listed_split(df: DataFrame, key: str, splits: DataFrame, default: str | None
 
 
 def older_column(df: DataFrame, older: DataFrame, key: str, column: str) -> DataFrame:
-    """``column`` of an older snapshot where this one lacks it: the column, or its value in a row."""
-    past = older.groupBy(key).agg(F.first(column, ignorenulls=True).alias("_old"))
+    """``column`` of an older snapshot where this one lacks it: the column, or its value in a row. Of several values of a key the least counts."""
+    past = older.groupBy(key).agg(F.min(column).alias("_old"))
     own = F.col(column) if column in df.columns else F.lit(None)
     return df.join(past, key, "left").withColumn(column, F.coalesce(own, "_old")).drop("_old")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,18 @@ def score(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
 
 def score_with_memo(df: DataFrame, memo: DataFrame | None, keys: Sequence[str], scorer, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(scored rows, new memo rows): each distinct question is asked once, and only if the memo lacks it."""
+    """(scored rows, new memo rows): each distinct question is asked once, and only if the memo lacks it; null questions are questions too.
+
+    Of several answers that the memo holds to one question the least counts.
+    """
     added = StructType.fromDDL(schema).names
     asked = df.select(*keys).distinct()
-    todo = asked.join(memo.select(*keys), list(keys), "left_anti") if memo is not None else asked
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    held = None if memo is None else memo.groupBy(*keys).agg(F.min(F.struct(*added)).alias("_answer")).select(*keys, "_answer.*")
+    todo = asked if held is None else asked.join(held, same(asked, held), "left_anti")
     fresh = score(todo, scorer, schema)
-    known = fresh if memo is None else memo.select(*keys, *added).unionByName(fresh)
-    return df.join(known, list(keys)), fresh
+    known = (fresh if held is None else held.unionByName(fresh)).select(*keys, *added)
+    return df.join(known, same(df, known)).select(df["*"], *[known[c] for c in added]), fresh
 
 
 def staged(took: Column, explicit_days: Column, pill_days: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Statistics over tables: balance, tests, survival curves, log-rank, Cox models, false-discovery control.
+"""Statistics over tables: balance, tests, baseline tables, survival curves, log-rank, false-discovery control; Cox models come from ``cox``.
 
 Spark folds the rows to counts or moments; the driver sees only tables whose size depends on
 the number of arms, categories or covariates. P-values come from scalar series and continued fractions.
@@ -10,15 +10,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evalm import range_number, running_total
-
-
-def normal_p(z: float) -> float:
-    """Two-sided."""
-    return math.erfc(abs(z) / math.sqrt(2))
+from .cox import ablate, cox_by_type, cox_models, coxph, normal_p  # noqa: F401
+from .ranks import quantiles, running
+from tidemark.sources.tables import written
 
 
 def gamma_q(a: float, x: float) -> float:
@@ -140,14 +138,24 @@ def balance(df: DataFrame, arm: str, numbers: Sequence[str], categories: Sequenc
 
 def kruskal(df: DataFrame, by: str, value: str) -> DataFrame:
     """One row: h (tie-corrected) and df, from average ranks of distinct values."""
-    c = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
-    values = c.groupBy("_v").agg(F.sum("_k").alias("_n"))
-    ranked = running_total(values, [], "_v", "_n").select("_v", "_n", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("_rank"))
-    groups = c.join(ranked, "_v").groupBy(by).agg(F.sum("_k").alias("g"), F.sum(F.col("_k") * F.col("_rank")).alias("r"))
-    ties = ranked.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") ** 3 - F.col("_n")).alias("t"))
-    h = groups.crossJoin(F.broadcast(ties)).groupBy("n", "t").agg(F.sum(F.col("r") ** 2 / F.col("g")).alias("s"), (F.count("*") - 1).alias("df"))
-    n = F.col("n").cast("double")
-    return h.select(((F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.nullif(1 - F.col("t") / (n**3 - n), F.lit(0.0))).alias("h"), "df")
+    return kruskal_many(_long(df, by, [value])).select("h", "df")
+
+
+def _long(df: DataFrame, by: str, numbers: Sequence[str]) -> DataFrame:
+    """(variable, group, x, k): how often each value of each number occurs in each group; null groups and values leave."""
+    each = F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in numbers]))
+    return df.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("group"), each).where("x is not null").groupBy("variable", "group", "x").agg(F.count("*").alias("k"))
+
+
+def kruskal_many(counts: DataFrame) -> DataFrame:
+    """(variable, h, df) from the counts of :func:`_long`; all variables are ranked together. h is null where all values are equal."""
+    values = counts.groupBy("variable", "x").agg(F.sum("k").alias("n"))
+    ranks = running(values, ["variable"], ["x"], {"before": ("sum", "n")}).select("variable", "x", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    groups = counts.join(ranks.drop("n"), ["variable", "x"]).groupBy("variable", "group").agg(F.sum("k").alias("g"), F.sum(F.col("k") * F.col("rank")).alias("r"))
+    ties = ranks.groupBy("variable").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("t"))
+    h = groups.groupBy("variable").agg(F.sum(F.col("r") ** 2 / F.col("g")).alias("s"), (F.count("*") - 1).alias("df")).join(ties, "variable")
+    n = F.col("n")
+    return h.select("variable", ((F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.nullif(1 - F.col("t") / (n**3 - n), F.lit(0.0))).alias("h"), "df")
 
 
 def moments_table(df: DataFrame, by: str, numbers: Sequence[str]) -> DataFrame:
@@ -158,21 +166,86 @@ def moments_table(df: DataFrame, by: str, numbers: Sequence[str]) -> DataFrame:
     return out.select("variable", F.when(F.col("g.all"), "overall").otherwise(F.col("g.group")).alias("group"), "n", "mean", "sd", "median", "min", "max")
 
 
+def chi2_tail(x: str, df: str) -> Column:
+    """p of a chi-square value in a table of a few rows; null for null."""
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or math.isnan(v) else chi2_p(v, int(n)) for v, n in zip(a, b)], dtype="float64")
+
+    return tail(x, df)
+
+
+def chi2_many(counts: DataFrame, yates: bool = True) -> DataFrame:
+    """(variable, chi2, df) from (variable, group, level, n), n > 0; empty cells need no row. Yates' correction for two by two."""
+    rows, cols = (counts.groupBy("variable", c).agg(F.sum("n").cast("double").alias(f"_{c}")) for c in ("group", "level"))
+    both = counts.join(rows, ["variable", "group"]).join(cols, ["variable", "level"])
+    s = both.groupBy("variable").agg(F.sum(F.col("n") ** 2 / (F.col("_group") * F.col("_level"))).alias("s"), F.sum("n").cast("double").alias("t"))
+    margin = lambda m, c: m.groupBy("variable").agg(F.count("*").alias(f"n_{c}"), F.sum(1 / F.col(f"_{c}")).alias(f"i_{c}"))
+    s = s.join(margin(rows, "group"), "variable").join(margin(cols, "level"), "variable")
+    plain = F.greatest(F.col("t") * (F.col("s") - 1), F.lit(0.0))
+    inverse = F.col("t") * F.col("i_group") * F.col("i_level")  # of the expected counts, summed
+    gap = F.sqrt(plain / inverse)  # two by two, all cells are equally far off
+    small = F.lit(yates) & (F.col("n_group") == 2) & (F.col("n_level") == 2)
+    return s.select("variable", F.when(small, (gap - F.least(F.lit(0.5), gap)) ** 2 * inverse).otherwise(plain).alias("chi2"), ((F.col("n_group") - 1) * (F.col("n_level") - 1)).alias("df"))
+
+
+def _smd_levels(frame: pd.DataFrame) -> pd.DataFrame:
+    """Mean over all pairs of groups of the standardised difference of level shares, of one variable's counts."""
+    table = frame.pivot_table(index="group", columns="level", values="n", aggfunc="sum", fill_value=0).sort_index()
+    shares = table.to_numpy(float) / table.to_numpy(float).sum(1, keepdims=True)
+    found = []
+    for i in range(len(shares)):
+        for j in range(i):
+            a, b = shares[i, 1:], shares[j, 1:]
+            spread = sum(np.diag(x) - np.outer(x, x) for x in (a, b)) / 2
+            found.append(float(np.sqrt(max(0.0, (a - b) @ np.linalg.pinv(spread) @ (a - b)))) if len(a) else 0.0)
+    return pd.DataFrame({"variable": [frame["variable"].iloc[0]], "smd": [float(np.mean(found)) if found else None]})
+
+
+def smd_many(long: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(variable, smd): the mean over all pairs of groups of the absolute standardised difference.
+
+    ``long`` has numbers as (variable, group, x, k), ``counts`` categories as (variable, group, level, n); a category's levels by groups
+    meet in one task, so name categories of which that table is small.
+    """
+    n, total = F.sum("k").cast("double"), F.sum(F.col("k") * F.col("x"))
+    m = long.groupBy("variable", "group").agg(n.alias("n"), (total / n).alias("mean"))
+    spread = long.join(m, ["variable", "group"]).groupBy("variable", "group", "n", "mean").agg((F.sum(F.col("k") * (F.col("x") - F.col("mean")) ** 2) / F.nullif(F.col("n") - 1, F.lit(0.0))).alias("var"))
+    other = spread.select("variable", *[F.col(c).alias(f"_{c}") for c in ("group", "mean", "var")])
+    pairs = spread.join(other, "variable").where("group > _group")  # groups of a study are few
+    out = pairs.groupBy("variable").agg(F.avg(F.abs(F.col("mean") - F.col("_mean")) / F.nullif(F.sqrt((F.col("var") + F.col("_var")) / 2), F.lit(0.0))).alias("smd"))
+    if counts is None:
+        return out
+    return out.unionByName(counts.groupBy("variable").applyInPandas(_smd_levels, "variable string, smd double"))
+
+
 def baseline_table(df: DataFrame, by: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
-    """(variable, level, group, n, share, median, q1, q3): numbers by exact percentiles, categories by counts."""
+    """(variable, level, group, n, share, median, q1, q3, test, statistic, df, p, smd), for each group and over all (group ``overall``).
+
+    Numbers have exact quartiles (:func:`tidemark.operators.ranks.quantiles`, all numbers at once) and a Kruskal-Wallis test, categories counts with shares
+    within the group and a chi-square test; both have the mean standardised difference over pairs of groups. Rows of a null group and null values
+    of a number leave, a null level is none. A variable without values has no row.
+    """
     nulls = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
-    parts = []
-    for v in numbers:
-        q = df.groupBy(F.col(by).cast("string").alias("group")).agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        parts.append(q.select(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"), "group", "n", *nulls("share"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3")))
-    for v in categories:
-        c = df.groupBy(F.col(by).cast("string").alias("group"), F.col(v).cast("string").alias("level")).agg(F.count("*").alias("n"))
-        share = F.col("n") / F.sum("n").over(Window.partitionBy("group"))
-        parts.append(c.select(F.lit(v).alias("variable"), "level", "group", "n", share.alias("share"), *nulls("median", "q1", "q3")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long = written(_long(df, by, numbers), "values") if numbers else None
+    each = F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in categories])) if categories else None
+    counts = written(df.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("group"), each).where("level is not null").groupBy("variable", "group", "level").agg(F.count("*").alias("n")), "levels") if categories else None
+    parts, tests = [], []
+    if numbers:
+        marked = long.select("variable", "group", F.lit(False).alias("_all"), "x", "k").unionByName(long.select("variable", F.lit("overall").alias("group"), F.lit(True).alias("_all"), "x", "k"))
+        q = quantiles(marked, ["variable", "group", "_all"], "x", [0.25, 0.5, 0.75], "k")
+        parts.append(q.select("variable", F.lit(None).cast("string").alias("level"), "group", "n", *nulls("share"), *[F.get("q", F.lit(i)).alias(c) for c, i in (("median", 1), ("q1", 0), ("q3", 2))]))
+        tests.append(kruskal_many(long).select("variable", F.lit("kruskal").alias("test"), F.col("h").alias("statistic"), "df"))
+    if categories:
+        both = counts.withColumn("_all", F.lit(False)).unionByName(counts.groupBy("variable", "level").agg(F.sum("n").alias("n")).withColumns({"group": F.lit("overall"), "_all": F.lit(True)}))
+        total = both.groupBy("variable", "group", "_all").agg(F.sum("n").alias("_n"))
+        parts.append(both.join(total, ["variable", "group", "_all"]).select("variable", "level", "group", "n", (F.col("n") / F.col("_n")).alias("share"), *nulls("median", "q1", "q3")))
+        tests.append(chi2_many(counts).select("variable", F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "df"))
+    one = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(xs[1])
+    empty = long if long is not None else counts.select("variable", "group", F.lit(0.0).alias("x"), F.col("n").alias("k")).where("false")
+    tested = one(tests).withColumn("p", chi2_tail("statistic", "df")).join(smd_many(empty, counts), "variable", "left")
+    return one(parts).join(tested, "variable", "left")
 
 
 def km(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
@@ -192,8 +265,7 @@ def logrank(df: DataFrame, time: str, event: str, arm: str) -> DataFrame:
     d = lambda k: F.count_if((F.col(arm) == k) & (F.col(event) == 1)).alias(f"d{k}")
     n = lambda k: F.count_if(F.col(arm) == k).alias(f"n{k}")
     t = df.groupBy(F.col(time).alias("time")).agg(d(1), d(0), n(1), n(0))
-    r = running_total(t, [], "time", "n1", True).withColumn("r1", F.col("_before") + F.col("n1")).drop("_before")
-    r = running_total(r, [], "time", "n0", True).withColumn("r0", F.col("_before") + F.col("n0")).drop("_before")
+    r = running(t, [], ["time"], {"r1": ("sum", "n1"), "r0": ("sum", "n0")}, descending=True).withColumns({"r1": F.col("r1") + F.col("n1"), "r0": F.col("r0") + F.col("n0")})
     at, dead = F.col("r1") + F.col("r0"), F.col("d1") + F.col("d0")
     variance = F.when(at > 1, dead * (F.col("r1") / at) * (F.col("r0") / at) * (at - dead) / (at - 1)).otherwise(0.0)
     s = r.where(dead > 0).agg(F.sum("d1").alias("observed"), F.sum(dead * F.col("r1") / at).alias("expected"), F.sum(variance).alias("variance"))
@@ -201,123 +273,10 @@ def logrank(df: DataFrame, time: str, event: str, arm: str) -> DataFrame:
 
 
 def bh(df: DataFrame, p: str, alpha: float = 0.05, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg: adds ``q`` and ``significant``. The tests of a family meet in one window: one row each."""
-    order = [F.col(p), *([F.col(tie)] if tie else [])]
-    if not by:
-        return _bh_of_all(df, p, alpha, order)
-    family = Window.partitionBy(*by)
-    k, m = F.row_number().over(family.orderBy(*order)), F.count(p).over(family)
-    raw = df.where(F.col(p).isNotNull()).withColumn("_raw", F.col(p) * m / k).withColumn("_k", k)
-    q = F.least(F.lit(1.0), F.min("_raw").over(family.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))
-    return raw.withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("_raw", "_k")
-
-
-def _bh_of_all(df: DataFrame, p: str, alpha: float, order: list) -> DataFrame:
-    """One family of all rows: ranges of p-values are numbered and reduced first, so no task sees all tests."""
-    known = df.where(F.col(p).isNotNull())
-    ranged = known.withColumn("_part", range_number(known, p))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    all_parts = Window.orderBy("_part")  # one row a range
-    starts = parts.select("_part", F.coalesce(F.sum("_n").over(all_parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(all_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
-    raw = ranged.join(starts, "_part").withColumn("_k", F.col("_start") + F.row_number().over(inside)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_k"))
-    lows = raw.groupBy("_part").agg(F.min("_raw").alias("_low")).select("_part", F.min("_low").over(all_parts.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    behind = F.min("_raw").over(Window.partitionBy("_part").orderBy("_k").rowsBetween(0, Window.unboundedFollowing))
-    q = F.least(F.lit(1.0), behind, F.coalesce("_later", F.lit(1.0)))
-    return raw.join(lows, "_part").withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("_part", "_start", "_m", "_k", "_raw", "_later")
-
-
-def coxph(df: DataFrame, time: str, event: str, covariates: Sequence[str], rounds: int = 30, eps: float = 1e-9) -> list[dict]:
-    """Cox proportional hazards by Newton-Raphson with Efron's ties: name, coef, hr, low, high, se, z, p, converged.
-
-    Rows are folded to (time, covariate pattern), with the range of the time, once and cached on disk; each step aggregates
-    the patterns of each time, sums risk sets from the latest time by ranges, sums each time's ties within its row, and
-    brings p + p*p sums to the driver.
-    """
-    from pyspark import StorageLevel
-
-    names, p = list(covariates), len(covariates)
-    keep = df.select(F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
-    if not p:
-        return []
-    cut = range_number(keep, "_t")
-    folded = keep.groupBy("_t", *[f"x{i}" for i in range(p)]).agg(F.count("*").alias("n"), F.sum("_e").alias("d")).withColumn("_part", cut).persist(StorageLevel.DISK_ONLY_2)
-    beta, converged, info = np.zeros(p), False, np.eye(p)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    for _ in range(rounds):
-        risk = F.exp(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
-        terms = {"s": F.lit(1.0)} | {f"s{i}": F.col(f"x{i}") for i in range(p)} | {f"s{i}_{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}
-        per_time = folded.groupBy("_t", "_part").agg(
-            F.sum("d").alias("d"), *[F.sum(F.col("d") * F.col(f"x{i}")).alias(f"o{i}") for i in range(p)],
-            *[F.sum(risk * F.col("n") * v).alias(f"r{k}") for k, v in terms.items()], *[F.sum(risk * F.col("d") * v).alias(f"e{k}") for k, v in terms.items()],
-        )
-        ranked = _suffix_sums(per_time, "_t", [f"r{k}" for k in terms])
-
-        def of_ties(l: Column) -> Column:  # noqa: E741
-            a = {k: F.col(f"r{k}") - l / F.col("d") * F.col(f"e{k}") for k in terms}
-            return F.array(*[a[f"s{i}"] / a["s"] for i in range(p)], *[a[f"s{i}_{j}"] / a["s"] - a[f"s{i}"] * a[f"s{j}"] / (a["s"] * a["s"]) for i, j in pairs])
-
-        zero = F.array(*[F.lit(0.0)] * (p + len(pairs)))
-        tied = ranked.where("d > 0").withColumn("_sum", F.aggregate(F.sequence(F.lit(0), (F.col("d") - 1).cast("int")), zero, lambda s, l: F.zip_with(s, of_ties(l), lambda x, y: x + y)))
-        row = tied.agg(
-            *[F.sum(F.col(f"o{i}") - F.get("_sum", F.lit(i))).alias(f"u{i}") for i in range(p)], *[F.sum(F.get("_sum", F.lit(p + k))).alias(f"h{i}_{j}") for k, (i, j) in enumerate(pairs)],
-        ).first()
-        if row[0] is None:
-            break
-        u, info = np.array([row[f"u{i}"] for i in range(p)]), np.zeros((p, p))
-        for i, j in pairs:
-            info[i, j] = info[j, i] = row[f"h{i}_{j}"]
-        step = np.linalg.pinv(info) @ u
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < eps:
-            converged = True
-            break
-        if np.abs(beta).max() > 25:
-            break  # separation
-    folded.unpersist()
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(info)), 0))
-    out = []
-    for c, b, e in zip(names, beta.tolist(), se.tolist()):
-        z = b / e if e else 0.0
-        out.append({"name": c, "coef": b, "hr": math.exp(min(b, 700)), "low": math.exp(min(b - 1.959964 * e, 700)), "high": math.exp(min(b + 1.959964 * e, 700)), "se": e, "z": z, "p": normal_p(z), "converged": converged})
-    return out
-
-
-def _suffix_sums(ranged: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their sums over this and all later rows; ``_part`` is the row's range, so no task sees all rows."""
-    sums = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_part", *[F.coalesce(F.sum(f"_{c}").over(later), F.lit(0.0)).alias(f"_{c}") for c in columns])
-    w = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    inner = ranged.withColumns({c: F.sum(c).over(w) for c in columns}).join(starts, "_part")
-    return inner.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_part", *[f"_{c}" for c in columns])
-
-
-def cox_by_type(df: DataFrame, by: str, time: str, event: str, covariates: Sequence[str], target: str, least_events: int = 10) -> list[dict]:
-    """A model for each stratum with enough events (one-level covariates dropped), with q-values of the target over strata."""
-    strata = [r[0] for r in df.groupBy(by).agg(F.count_if(F.col(event) == 1).alias("d")).where(F.col("d") >= least_events).orderBy(by).collect()]
-    out = []
-    for s in strata:
-        mine = df.where(F.col(by) == s)
-        levels = mine.agg(*[F.count_distinct(c).alias(c) for c in covariates]).first()
-        used = [c for c in covariates if levels[c] > 1]
-        if target in used:
-            out.append({by: s} | next(r for r in coxph(mine, time, event, used) if r["name"] == target))
-    for i, r in sorted(enumerate(out), key=lambda x: x[1]["p"], reverse=True):
-        rank = sum(o["p"] <= r["p"] for o in out)
-        r["_raw"] = r["p"] * len(out) / rank
-    for r in out:
-        r["q"] = min([1.0, *(o["_raw"] for o in out if o["p"] >= r["p"])])
-    return [{k: v for k, v in r.items() if k != "_raw"} for r in out]
-
-
-def ablate(spark: SparkSession, df: DataFrame, grid: Sequence[dict], time: str, event: str) -> list[dict]:
-    """Re-run a model over configurations {where, covariates}; identical ones once."""
-    seen: dict[tuple, list[dict]] = {}
-    out = []
-    for config in grid:
-        key = (config.get("where", "true"), tuple(config["covariates"]))
-        if key not in seen:
-            seen[key] = coxph(df.where(key[0]), time, event, key[1])
-        out += [dict(config) | r for r in seen[key]]
-    return out
+    """Benjamini-Hochberg: adds ``q`` and ``significant`` within each family ``by``; null p-values leave. No task sees a whole family."""
+    order = [p, *([tie] if tie else [])]
+    ranks = running(df.where(F.col(p).isNotNull()), by, order, {"_k": ("sum", F.lit(1).cast("long"))})
+    raw = ranks.withColumn("_raw", F.col(p) * F.col("_k_all") / (F.col("_k") + 1))
+    later = running(raw, by, ["_k"], {"_later": ("min", "_raw")}, descending=True)
+    q = F.least(F.lit(1.0), "_raw", "_later")
+    return later.select(*df.columns, q.alias("q"), (q <= alpha).alias("significant"))

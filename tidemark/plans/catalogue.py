@@ -101,6 +101,19 @@ def matched_pairs(spark, d):
     return cohort.match(people.select("c_custkey", "arm", "c_mktsegment", "c_nationkey", "balance"), "c_custkey", "arm", ["c_mktsegment", "c_nationkey"], "balance", 5.0, 1)
 
 
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS id, CAST(c_custkey % 5 = 0 AS INT) AS arm, c_mktsegment AS s, c_nationkey AS n, c_acctbal / 100 AS x FROM customer),
+    a AS (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY x, id) AS i FROM p WHERE arm = 1), b AS (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY x, id) AS j FROM p WHERE arm = 0),
+    o AS (SELECT s, n, j, x, id FROM b UNION ALL SELECT DISTINCT s, n, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM a),
+    r AS (SELECT DISTINCT s, n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, 0 AS pairs, CAST(0 AS DOUBLE) AS d, CAST([] AS STRUCT(c BIGINT, d BIGINT)[]) AS found FROM a
+        UNION ALL SELECT r.s, r.n, a.i, coalesce(o.j, r.j), r.pairs + CASE WHEN o.j IS NULL THEN 0 ELSE 1 END, r.d + coalesce(abs(a.x - o.x), 0), CASE WHEN o.j IS NULL THEN found ELSE list_append(found, {'c': a.id, 'd': o.id}) END
+        FROM r JOIN a ON a.s = r.s AND a.n = r.n AND a.i = r.i + 1 JOIN o ON o.s = r.s AND o.n = r.n AND (o.j IS NULL OR (o.j > r.j AND abs(a.x - o.x) <= 5))),
+    e AS (SELECT s, n, max(i) AS i FROM a GROUP BY 1, 2), best AS (SELECT arg_min(found, {'p': -pairs, 'd': d}) AS found FROM r JOIN e USING (s, n, i) GROUP BY s, n)
+    SELECT f.c AS case_id, f.d AS control_id FROM (SELECT unnest(found) AS f FROM best)""")
+def pairs_by_number(spark, d):
+    people = _t(spark, d, "customer").withColumn("arm", (F.col("c_custkey") % 5 == 0).cast("int")).withColumn("balance", F.col("c_acctbal") / 100)
+    return cohort.match_round(people, "c_custkey", "arm", ["c_mktsegment", "c_nationkey"], "balance", 5.0).select(F.col("case").alias("case_id"), F.col("control").alias("control_id"))
+
+
 # ---- as-of and interval joins ----------------------------------------------------------------------------------------
 
 @query(f"""WITH {_IDX} SELECT i.user_id, arg_max(e.value, (e.ts, e.event_id)) AS value FROM idx i JOIN events e USING (user_id)
