@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .units import PATTERN, _DOUBLED, _OTHER, _OTHER_ASCII, LibraryMemo
+from .units import _DOUBLED, _OTHER, _OTHER_ASCII, LibraryMemo, words
 
 #: Links that a task holds before it inverts them, and units that a memo holds (neither changes a result).
-HELD_LINKS, MEMO_UNITS = 1 << 22, 300_000
+HELD_LINKS, MEMO_UNITS = 1 << 22, 500_000
 #: Row numbers of a block and bytes of its plain bitmap; a list of places is shorter below this many.
 BLOCK_BITS, PLAIN = 16, 8192
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _INNER = [("row", pa.int64()), *[(c, pa.int64()) for c in _COUNTS], ("groups_sha256", pa.string()), ("pair", pa.int64()), ("block", pa.int64()), ("plane", pa.int32()), ("bits", pa.binary())]
 
 
-class SpacedMemo(LibraryMemo):
-    """Byte-level ids of a space and a text, special strings taken as plain text."""
+class WordMemo(LibraryMemo):
+    """Byte-level ids of pieces of text, special strings taken as plain text; what is held are words."""
 
-    _open: dict[str, SpacedMemo] = {}
+    _open: dict[str, WordMemo] = {}
 
     def __init__(self, path: str):
         super().__init__(path, MEMO_UNITS)
@@ -47,19 +46,15 @@ class SpacedMemo(LibraryMemo):
         for entry, i in vocabulary.items():
             self.bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
 
-    def encode(self, text: str) -> bytes:
-        spaced = " " + text
-        if not self.apart:
-            return self._whole(spaced)
-        odd = text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _DOUBLED) or any(x in text for x in (_OTHER_ASCII if text.isascii() else _OTHER))
-        cut = PATTERN.findall(spaced) if odd else spaced.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")[1:]
-        missing = {u for u in cut if u not in self.memo}
-        if len(self.memo) + len(missing) > self.limit:
+    def of_units(self, units: list[str]) -> list[bytes]:
+        split = [[u] if u[0] == " " and u[1:].isalpha() else words(u) for u in units]
+        if len(self.memo) > self.limit:
             self.memo.clear()
-            missing = set(cut)
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.memo.__getitem__, cut))
+        self._encode_words(list({w for ws in split for w in ws if w not in self.memo}))
+        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,71 +64,119 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class PieceMemo:
-    """Piece ids of a text; words behind a space are encoded apart where no piece holds a space behind another character."""
+class Pieces:
+    """A piece model with the bytes of its pieces.
+
+    Where no piece holds a space behind another character, nor a newline, a text may be cut in front of such a space and on both
+    sides of a newline. The model puts a space in front of what it is given; behind a newline of our own it is seen to be there.
+    """
 
-    _open: dict[str, PieceMemo] = {}
-    _WORDS = re.compile(" +[^ ]*")
+    _open: dict[str, Pieces] = {}
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(size)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode(" a  b ") == [i for x in (" a", " b", "") for i in self._word(x)]
-        self.memo: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> list[int]:
-        return self.model.encode(word) if word else [self.model.piece_to_id("▁")]
+        self.lead = self.model.encode("\n")
+        self.apart = len(self.lead) == 2 and all(self.bytes) and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.apart = self.apart and self.model.encode("a b\nc\nd") == [i for x in self.of_units([" a", " b", "\n", "c", "\n", "d"]) for i in x]
 
     @classmethod
-    def of(cls, path: str) -> PieceMemo:
+    def of(cls, path: str) -> Pieces:
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def encode(self, text: str) -> bytes:
-        if not self.apart:
-            return np.array(self.model.encode(text), "<u4").tobytes()
-        spaced = " " + text
-        cut = [w[1:] for w in self._WORDS.findall(spaced)] if "  " in spaced else spaced.split(" ")[1:]
-        missing = list({w for w in cut if w not in self.memo})
-        if len(self.memo) + len(missing) > MEMO_UNITS:
-            self.memo.clear()
-            missing = list(set(cut))
-        for at in range(0, len(missing), 4096):
-            words = missing[at : at + 4096]
-            ids = self.model.encode(words, num_threads=1)
-            self.memo.update((w, np.array(x if w else self._word(w), "<u4").tobytes()) for w, x in zip(words, ids))
-        return b"".join(map(self.memo.__getitem__, cut))
+    def of_units(self, units: list[str]) -> list[list[int]]:
+        got = self.model.encode([u[1:] if u[0] == " " else u if u == "\n" else "\n" + u for u in units], num_threads=1)
+        return [ids if u[0] == " " else ids[1:] if u == "\n" else ids[2:] for u, ids in zip(units, got)]
 
 
 class Aligner:
-    """Both tokenizers of a task, and the tables that alignment reads by id."""
+    """Both tokenizers of a task, and a bounded memo of how their tokens meet in a unit of text.
+
+    Tokens of both end wherever a text may be cut (:meth:`cut`), so groups, links and their listing are those of the units in
+    order. Texts that may not be cut so are aligned as a whole.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = SpacedMemo.of(path_a), PieceMemo.of(path_b)
+        self.a, self.b = WordMemo.of(path_a), Pieces.of(path_b)
         self.width = len(self.b.bytes)
         if len(self.a.bytes) * self.width >= 1 << 47:
             raise ValueError("the vocabularies have too many id pairs for 47 bits")
         self.size_a = np.array([len(x) for x in self.a.bytes], np.int64)
         self.size_b = np.array([len(x) for x in self.b.bytes], np.int64)
         self.shown = [b"%d%c" % (i, c) for i in range(len(self.a.bytes)) for c in b",|"] + [b"%d%c" % (i, c) for i in range(self.width) for c in b",;"]
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray]:
-        """(tokens of A, of B, groups, links, digest of the groups, id pair of every link)."""
-        nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64))
-        if not text or "▁" in text:
-            return nothing
-        body = b" " + text.encode()
-        a = np.frombuffer(self.a.encode(text), "<u4").astype(np.int64)
-        b = np.frombuffer(self.b.encode(text), "<u4").astype(np.int64)
-        if b"".join(map(self.a.bytes.__getitem__, a.tolist())) != body or b"".join(map(self.b.bytes.__getitem__, b.tolist())) != body:
-            return nothing
+        self.shown_size = np.array([len(x) for x in self.shown], np.int64)
+        self.apart = self.a.apart and self.b.apart
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.listed: list[bytes] = []  # of each known unit: its groups, its links, and its tokens of A and of B
+        self.links: list[bytes] = []
+        self.tokens = np.zeros((2, 0), np.int64)
+
+    def cut(self, text: str) -> list[str] | None:
+        """A space and the text cut in front of spaces and around newlines, or None where there is more white space than lone ones."""
+        if not self.apart or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _DOUBLED) or any(x in text for x in (_OTHER_ASCII if text.isascii() else _OTHER)):
+            return None
+        return (" " + text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")[1:]
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray]]:
+        """(tokens of A, of B, groups, links, digest of the groups, id pair of every link) of each text."""
+        cuts = [None if not t or "▁" in t else self.cut(t) for t in texts]
+        missing = {u for c in cuts if c for u in c if u not in self.known}
+        if len(self.known) + len(missing) > MEMO_UNITS:
+            self.forget()
+            missing = {u for c in cuts if c for u in c}
+        self._learn(list(missing))
+        return [self._sum(c) if c else self._whole(t) if t and "▁" not in t else _NOTHING for t, c in zip(texts, cuts)]
+
+    def _sum(self, cut: list[str]) -> tuple:
+        at = list(map(self.known.__getitem__, cut))
+        n_a, n_b = self.tokens[:, np.array(at)].sum(1).tolist()
+        pairs = np.frombuffer(b"".join(map(self.links.__getitem__, at)), np.int64)
+        digest = hashlib.sha256(b"".join(map(self.listed.__getitem__, at))[:-1]).hexdigest()
+        return n_a, n_b, len(pairs), len(pairs), digest, pairs  # a token of a unit has bytes, so a group has a link
+
+    def _learn(self, units: list[str]) -> None:
+        for k in range(0, len(units), 8192):
+            part = units[k : k + 8192]
+            got_a, got_b = self.a.of_units(part), self.b.of_units(part)
+            n_a, n_b = np.array([len(x) // 4 for x in got_a]), np.array([len(x) for x in got_b])
+            a = np.frombuffer(b"".join(got_a), "<u4").astype(np.int64)
+            b = np.fromiter((i for x in got_b for i in x), np.int64, int(n_b.sum()))
+            if not self._same("".join(part), a, b):
+                raise RuntimeError("a unit of text is not what its tokens join to")
+            cuts, pairs, code = self._groups(a, b)
+            shown, ends = b"".join(map(self.shown.__getitem__, code.tolist())), np.cumsum(self.shown_size[code])[np.cumsum(n_a + n_b) - 1].tolist()
+            sizes = np.cumsum(self.size_a[a])[np.cumsum(n_a) - 1]
+            last = (8 * np.searchsorted(cuts, sizes, "right")).tolist()
+            raw = pairs.tobytes()
+            at = len(self.listed)
+            self.listed += [shown[i:j] for i, j in zip([0, *ends], ends)]
+            self.links += [raw[i:j] for i, j in zip([0, *last], last)]
+            self.known.update(zip(part, range(at, at + len(part))))
+            self.tokens = np.concatenate([self.tokens, np.stack([n_a, n_b])], axis=1)
+
+    def _same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+        body = text.encode()
+        return b"".join(map(self.a.bytes.__getitem__, a.tolist())) == body and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == body
+
+    def _whole(self, text: str) -> tuple:
+        a, b = self.a.whole(" " + text), np.array(self.b.model.encode(text), np.int64)
+        if not self._same(" " + text, a, b):
+            return _NOTHING
+        cuts, pairs, code = self._groups(a, b)
+        return len(a), len(b), len(cuts), len(pairs), hashlib.sha256(b"".join(map(self.shown.__getitem__, code.tolist()))[:-1]).hexdigest(), pairs
+
+    def _groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places where tokens of both end, id pair of every link, places in ``shown`` of the listing) of tokens of the same bytes."""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        at_b = np.zeros(len(body) + 1, bool)
+        at_b = np.zeros(int(ends_b[-1]) + 1 if len(ends_b) else 1, bool)
         at_b[ends_b] = True
         hit = at_b[ends_a]
         common = ends_a[hit]
@@ -142,9 +185,7 @@ class Aligner:
         each = high - low  # more than one only where an entry has no bytes
         first = np.repeat(low - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
         pairs = np.repeat(a[hit], each) * self.width + b[first]
-        return len(a), len(b), len(cuts), len(pairs), self._digest(a, b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts)), pairs
-
-    def _digest(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int) -> str:
+        group_a, group_b, n = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts)
         upto_a, upto_b = np.cumsum(np.bincount(group_a, minlength=n)), np.cumsum(np.bincount(group_b, minlength=n))
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[upto_a - 1] = 1
@@ -152,7 +193,10 @@ class Aligner:
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = 2 * a + last_a
         code[np.arange(len(b)) + upto_a[group_b]] = 2 * (len(self.a.bytes) + b) + last_b
-        return hashlib.sha256(b"".join(map(self.shown.__getitem__, code.tolist()))[:-1]).hexdigest()
+        return cuts, pairs, code
+
+
+_NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64))
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -224,11 +268,11 @@ def _aligned(path_a: str, path_b: str, id_type: pa.DataType):
         keys, held, block = [], 0, row >> BLOCK_BITS
         for batch in batches:
             found = []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            for *counts, pairs in (x for k in range(0, len(texts), 256) for x in both.align(texts[k : k + 256])):
                 if row >> BLOCK_BITS != block or held >= HELD_LINKS:
                     yield from inverted(block, keys)
                     keys, held, block = [], 0, row >> BLOCK_BITS
-                *counts, pairs = both.align(text)
                 found.append((row, *counts))
                 keys.append(pairs << BLOCK_BITS | (row & 0xFFFF))
                 held += len(pairs)
@@ -300,7 +344,7 @@ class Alignment:
         kind = known.schema["id"].dataType
         id_type = known.limit(0).toArrow().schema.field("id").type
         schema = f"id {kind.simpleString()}, row long, {', '.join(c + ' long' for c in _COUNTS)}, groups_sha256 string, pair long, block long, plane int, bits binary"
-        self.id_col, self.width = id_col, len(PieceMemo.of(path_b).bytes)
+        self.id_col, self.width = id_col, len(Pieces.of(path_b).bytes)
         self._rows = materialise(known.mapInArrow(_aligned(path_a, path_b, id_type), schema), "aligned")
         parts = self._rows.where("pair is not null").groupBy("pair", "block").agg(F.collect_list(F.struct("plane", "bits")).alias("parts"))
         kept = "pair long, block long, parts array<struct<plane:int,bits:binary>>, n_docs long, n_links long"
