@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rules, text
-from tidemark.operators import codes, cohort, evalm, features, history, matching, pooling, quality, sampling, scoring, stats
+from tidemark.operators import codes, cohort, evalm, features, history, matching, pooling, quality, ranks, sampling, scoring, stats
 from tidemark.plans import jobs
 from tidemark.sources import records, tables
 from tidemark.streaming import arrivals
@@ -132,6 +132,81 @@ def test_cox(spark):
     assert all(abs(r["coef"] - b) < 1e-5 and abs(r["se"] - s) < 1e-5 and r["converged"] for r, b, s in zip(got, beta, se))
 
 
+def test_cox_models_together(spark):
+    """Many strata at once: each as brute force gives it, jobs that do not grow with them, constant covariates left out, q over strata."""
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for g in range(12):
+        x = np.column_stack([rng.integers(0, 2, 60), rng.normal(size=60) if g % 3 else np.ones(60)])
+        t, e = np.ceil(rng.exponential(6, 60)), (rng.random(60) < 0.6).astype(int)
+        rows += [(g if g else None, float(a), int(b), float(c), float(d)) for a, b, (c, d) in zip(t, e, x)]
+        want[g if g else None] = brute_cox(t, e, x if g % 3 else x[:, :1])
+    rows += [(99, 1.0, 0, 1.0, 2.0), (99, 2.0, 0, 0.0, 1.0), (5, None, 1, 1.0, 1.0), (5, 3.0, 1, None, 1.0)]
+    frame = spark.createDataFrame(rows, "g int, t double, e int, a double, b double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("cox", "cox")
+    got = stats.cox_models(frame, ["g"], "t", "e", ["a", "b"])
+    jobs_of_all = len(tracker.getJobIdsForGroup("cox"))
+    spark.sparkContext.setJobGroup("one", "one")
+    stats.cox_models(frame.where("g = 5"), ["g"], "t", "e", ["a", "b"])
+    jobs_of_one = len(tracker.getJobIdsForGroup("one"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs_of_all <= 2.5 * jobs_of_one
+    assert {r["g"] for r in got} == set(want)
+    for g, (beta, se) in want.items():
+        mine = [r for r in got if r["g"] == g]
+        assert [r["name"] for r in mine] == (["a", "b"] if (g or 0) % 3 else ["a"])
+        assert all(abs(r["coef"] - b) < 1e-5 and abs(r["se"] - s) < 1e-5 and r["converged"] for r, b, s in zip(mine, beta, se))
+    typed = stats.cox_by_type(frame, "g", "t", "e", ["a", "b"], "a")
+    ps = np.array([r["p"] for r in typed])
+    order = np.argsort(ps)
+    q = np.minimum.accumulate((ps[order] * len(ps) / np.arange(1, len(ps) + 1))[::-1])[::-1]
+    assert np.allclose([typed[i]["q"] for i in order], np.minimum(q, 1)) and len(typed) == 11
+    grid = [{"covariates": ["a"]}, {"where": "g > 3", "covariates": ["a", "b"]}, {"covariates": ["a"]}]
+    three = stats.ablate(spark, frame, grid, "t", "e")
+    alone = stats.coxph(frame.where("g > 3"), "t", "e", ["a", "b"])
+    assert len(three) == 4 and three[0] == three[3] and all(abs(x["coef"] - y["coef"]) < 1e-8 for x, y in zip(three[1:3], alone))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_running_and_quantiles(spark, partitions):
+    rng = np.random.default_rng(3)
+    rows = [(("hot" if rng.random() < 0.8 else None if rng.random() < 0.3 else f"g{rng.integers(0, 3)}"), int(rng.integers(0, 40)), i, float(rng.integers(1, 5))) for i in range(2500)]
+    frame = spark.createDataFrame(rows, "g string, o int, id int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for falling in (False, True):
+            got = {r.id: r for r in ranks.running(frame, ["g"], ["o", "id"], {"s": ("sum", "v"), "m": ("min", F.col("v") * -1)}, falling).collect()}
+            for g in {r[0] for r in rows}:
+                mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]), reverse=falling)
+                for k, r in enumerate(mine):
+                    x = got[r[2]]
+                    assert x.s == sum(q[3] for q in mine[:k]) and x.m == (min(-q[3] for q in mine[:k]) if k else None) and x.s_all == sum(q[3] for q in mine)
+        q = {r.g: r for r in ranks.quantiles(frame.withColumn("o", F.when(F.col("id") % 5 > 0, F.col("o"))), ["g"], "o", [0, 0.25, 0.5, 0.9, 1]).collect()}
+        for g in {r[0] for r in rows}:
+            values = [r[1] for r in rows if r[0] == g and r[2] % 5]
+            assert q[g].n == len(values) and np.allclose(q[g].q, np.quantile(values, [0, 0.25, 0.5, 0.9, 1]))
+        assert ranks.running(frame.where("false"), [], ["o"], {"s": ("sum", "v")}).count() == 0
+        split = {r.id: r.split for r in sampling.three_way_split(frame.withColumn("pool", F.when(F.col("id") % 3 == 0, "test").otherwise("train")), "pool", ["id"], most=100).collect()}
+        assert sum(v == "train" for v in split.values()) == sum(v == "validation" for v in split.values()) == 100 and sum(v == "test" for v in split.values()) == sum(i % 3 == 0 for i in range(2500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_level_differences(spark):
+    """The mean standardised difference over pairs of groups, of numbers and of a category of three levels, by numpy."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 3}", float(rng.normal() + i % 3), f"l{rng.integers(0, 3)}") for i in range(300)]
+    table = stats.baseline_table(spark.createDataFrame(rows, "g string, x double, l string"), "g", ["x"], ["l"])
+    got = {r.variable: r.smd for r in table.select("variable", "smd").distinct().collect()}
+    x = [np.array([r[1] for r in rows if r[0] == f"g{k}"]) for k in range(3)]
+    want = np.mean([abs(a.mean() - b.mean()) / np.sqrt((a.var(ddof=1) + b.var(ddof=1)) / 2) for a, b in itertools.combinations(x, 2)])
+    p = [np.array([np.mean([r[2] == f"l{j}" for r in rows if r[0] == f"g{k}"]) for j in (1, 2)]) for k in range(3)]
+    cat = np.mean([np.sqrt((a - b) @ np.linalg.inv((np.diag(a) - np.outer(a, a) + np.diag(b) - np.outer(b, b)) / 2) @ (a - b)) for a, b in itertools.combinations(p, 2)])
+    assert abs(got["x"] - want) < 1e-9 and abs(got["l"] - cat) < 1e-9
+
+
 def test_p_values():
     assert abs(stats.chi2_p(3.841459, 1) - 0.05) < 1e-6 and abs(stats.t_p(2.228139, 10) - 0.05) < 1e-6
     assert abs(stats.normal_p(1.959964) - 0.05) < 1e-6 and abs(stats.chi2_p(18.307, 10) - 0.05) < 1e-5

@@ -449,7 +449,7 @@ def logrank_test(spark, d):
 @query()
 def cox_model(spark, d):
     rows = stats.coxph(_surv(spark, d).withColumn("balance", F.col("c_acctbal") / 10000), "t", "e", ["arm", "balance"])
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "name string, coef double, hr double, low double, high double, se double, z double, p double, converged boolean")
+    return spark.createDataFrame(rows, "name string, coef double, hr double, low double, high double, se double, z double, p double, converged boolean")
 
 
 @query("""WITH s AS (SELECT avg(c_acctbal) FILTER (WHERE a = 1) AS m1, avg(c_acctbal) FILTER (WHERE a = 0) AS m0, var_samp(c_acctbal) FILTER (WHERE a = 1) AS v1, var_samp(c_acctbal) FILTER (WHERE a = 0) AS v0,
@@ -479,10 +479,50 @@ def kruskal_test(spark, d):
     return stats.kruskal(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal").select(_R("h", 5).alias("h"), F.col("df").cast("long").alias("df"))
 
 
+_TAIL = "exp(-statistic / 2) * list_sum(list_transform(range(0, df // 2), lambda i: exp(i * ln(statistic / 2) - lgamma(i + 1))))"  # of a chi-square value of even df
+
+
+@query(f"""WITH c AS (SELECT c_mktsegment AS g, CAST(c_acctbal AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS k, CASE WHEN c_custkey % 3 = 0 THEN 'third' ELSE 'other' END AS l, CAST(c_nationkey % 7 AS VARCHAR) AS m FROM customer),
+    v AS (SELECT 'a' AS variable, g, a AS x FROM c UNION ALL SELECT 'k', g, k FROM c), r AS (SELECT variable, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY variable ORDER BY x) - count(*) + (count(*) + 1) / 2.0 AS rk FROM v GROUP BY 1, 2),
+    s AS (SELECT variable, g, count(*) AS n, sum(rk) AS r, avg(x) AS mean, var_samp(x) AS var FROM v JOIN r USING (variable, x) GROUP BY 1, 2), t AS (SELECT variable, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(n AS DOUBLE) ** 3 - n) AS t FROM r GROUP BY 1),
+    h AS (SELECT s.variable, (12.0 / (t.n * (t.n + 1)) * sum(s.r * s.r / s.n) - 3 * (t.n + 1)) / (1 - t.t / (t.n ** 3 - t.n)) AS statistic, count(*) - 1 AS df FROM s JOIN t USING (variable) GROUP BY s.variable, t.n, t.t),
+    d AS (SELECT x.variable, avg(abs(x.mean - y.mean) / sqrt((x.var + y.var) / 2)) AS smd FROM s x JOIN s y ON x.variable = y.variable AND x.g > y.g GROUP BY 1),
+    w AS (SELECT 'l' AS variable, g, l AS lev FROM c UNION ALL SELECT 'm', g, m FROM c), o AS (SELECT variable, g, lev, count(*) AS n FROM w GROUP BY ALL), rg AS (SELECT variable, g, sum(n) AS r FROM o GROUP BY 1, 2), cl AS (SELECT variable, lev, sum(n) AS k FROM o GROUP BY 1, 2),
+    e AS (SELECT rg.variable, rg.g, cl.lev, rg.r * cl.k / (SELECT count(*) FROM c) AS e FROM rg JOIN cl USING (variable)), q AS (SELECT variable, sum((coalesce(n, 0) - e) ** 2 / e) AS statistic, (count(DISTINCT g) - 1) * (count(DISTINCT lev) - 1) AS df FROM e LEFT JOIN o USING (variable, g, lev) GROUP BY 1),
+    f AS (SELECT g, avg(CAST(l = 'third' AS INT)) AS p FROM c GROUP BY 1), z AS (SELECT avg(abs(x.p - y.p) / sqrt((x.p * (1 - x.p) + y.p * (1 - y.p)) / 2)) AS smd FROM f x JOIN f y ON x.g > y.g)
+    SELECT variable, test, round(statistic, 5) AS statistic, CAST(df AS BIGINT) AS df, round({_TAIL}, 6) AS p, round(smd, 6) AS smd FROM (
+        SELECT variable, 'kruskal' AS test, statistic, df, smd FROM h JOIN d USING (variable) UNION ALL SELECT variable, 'chi2', statistic, df, CASE WHEN variable = 'l' THEN (SELECT smd FROM z) END FROM q)""")
+def baseline_tests(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "third").otherwise("other").alias("l"), (F.col("c_nationkey") % 7).cast("string").alias("m"))
+    b = stats.baseline_table(c, "g", ["a", "k"], ["l", "m"]).select("variable", "test", "statistic", "df", "p", "smd").distinct()
+    # SQL has no inverse of a matrix, so the difference of the variable of seven levels is tested elsewhere
+    return b.select("variable", "test", _R("statistic", 5).alias("statistic"), F.col("df").cast("long").alias("df"), _R("p").alias("p"), F.when(F.col("variable") != "m", _R("smd")).alias("smd"))
+
+
+@query("""SELECT 'a' AS variable, g AS "group", count(a) AS n, round(quantile_cont(a, 0.25), 5) AS q1, round(quantile_cont(a, 0.5), 5) AS median, round(quantile_cont(a, 0.75), 5) AS q3 FROM (SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'other' END AS g, value AS a FROM events UNION ALL SELECT 'overall', value FROM events) GROUP BY g
+    UNION ALL SELECT 'b', g, count(b), round(quantile_cont(b, 0.25), 5), round(quantile_cont(b, 0.5), 5), round(quantile_cont(b, 0.75), 5) FROM (SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'other' END AS g, user_id % 13 AS b FROM events UNION ALL SELECT 'overall', user_id % 13 FROM events) GROUP BY g""")
+def baseline_quartiles(spark, d):
+    e = _t(spark, d, "events").select(F.when(F.col("event_type") == "view", "view").otherwise("other").alias("g"), F.col("value").alias("a"), (F.col("user_id") % 13).alias("b"))
+    q = stats.baseline_table(e, "g", ["a", "b"], [])
+    return q.select("variable", "group", "n", *[_R(c, 5).alias(c) for c in ("q1", "median", "q3")])
+
+
+@query(f"""WITH {_SURV}, x AS (SELECT c_mktsegment AS g, t, CAST(sum(e) AS BIGINT) AS d, sum(e * arm) AS d1, count(*) AS n, sum(arm) AS n1 FROM surv JOIN customer USING (c_custkey) GROUP BY 1, 2),
+    r AS (SELECT g, d, d1, sum(n) OVER w AS n, sum(n1) OVER w AS n1 FROM x WINDOW w AS (PARTITION BY g ORDER BY t DESC)), u AS (SELECT *, unnest(range(0, d)) AS l FROM r WHERE d > 0),
+    k AS (SELECT g, list({{'a': CAST(n1 - l * d1 / d AS DOUBLE), 'b': CAST(n - n1 - l * (d - d1) / d AS DOUBLE)}}) AS k FROM u GROUP BY g), s AS (SELECT g, CAST(sum(d1) AS DOUBLE) AS d1, sum(d) AS events FROM x GROUP BY g HAVING sum(d) >= 10),
+    b AS (SELECT g, events, k, list_reduce(CAST(range(0, 26) AS DOUBLE[]), lambda b, i: b + (d1 - list_sum(list_transform(k, lambda z: z.a * exp(b) / (z.a * exp(b) + z.b)))) / list_sum(list_transform(k, lambda z: z.a * exp(b) * z.b / (z.a * exp(b) + z.b) ** 2))) AS coef FROM s JOIN k USING (g)),
+    i AS (SELECT *, 1 / sqrt(list_sum(list_transform(k, lambda z: z.a * exp(coef) * z.b / (z.a * exp(coef) + z.b) ** 2))) AS se FROM b)
+    SELECT g AS stratum, CAST(events AS BIGINT) AS events, round(coef, 5) AS coef, round(se, 5) AS se, round(exp(coef), 4) AS hr, round(exp(coef - 1.959964 * se), 4) AS low, round(exp(coef + 1.959964 * se), 4) AS high FROM i""")
+def cox_by_type(spark, d):
+    found = stats.cox_by_type(_surv(spark, d), "c_mktsegment", "t", "e", ["arm"], "arm")
+    rows = spark.createDataFrame([r | {"stratum": r["c_mktsegment"]} for r in found], "stratum string, events long, coef double, se double, hr double, low double, high double")
+    return rows.withColumns({c: _R(c, 5) for c in ("coef", "se")} | {c: _R(c, 4) for c in ("hr", "low", "high")})
+
+
 @query("""SELECT 'c_acctbal' AS variable, NULL::VARCHAR AS level, c_mktsegment AS "group", count(c_acctbal) AS n, NULL::DOUBLE AS share, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(quantile_cont(c_acctbal, 0.75), 6) AS q3 FROM customer GROUP BY c_mktsegment
     UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), c_mktsegment, count(*), round(count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 6), NULL, NULL, NULL FROM customer GROUP BY c_mktsegment, c_nationkey""")
 def baseline_table(spark, d):
-    b = stats.baseline_table(_t(spark, d, "customer"), "c_mktsegment", ["c_acctbal"], ["c_nationkey"])
+    b = stats.baseline_table(_t(spark, d, "customer"), "c_mktsegment", ["c_acctbal"], ["c_nationkey"]).where("group <> 'overall'").drop("test", "statistic", "df", "p", "smd")
     return b.withColumns({c: _R(c) for c in ("share", "median", "q1", "q3")})
 
 

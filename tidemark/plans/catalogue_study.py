@@ -122,7 +122,7 @@ def course_levels(spark, d):
 def dose_response(spark, d):
     s = _surv(spark, d).withColumn("dose", exposure.dose_level(F.col("arm") == 1, F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 120)))
     rows = exposure.level_models(s.withColumn("balance", F.col("c_acctbal") / 10000), "dose", exposure.DOSE_LEVELS, "t", "e", ["balance"])
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "exposure string, model string, name string, coef double, hr double, low double, high double, se double, z double, p double, converged boolean")
+    return spark.createDataFrame(rows, "exposure string, model string, name string, coef double, hr double, low double, high double, se double, z double, p double, converged boolean")
 
 
 @query(f"""WITH {_SURV}, s AS (SELECT surv.*, c_mktsegment FROM surv JOIN customer USING (c_custkey)) SELECT c_mktsegment AS stratum, count(*) FILTER (WHERE e = 1) AS events FROM s GROUP BY 1 HAVING count(*) FILTER (WHERE e = 1) >= 10""")
@@ -140,11 +140,12 @@ def moments_table(spark, d):
     return m.withColumns({c: _R(c, 5) for c in ("mean", "sd", "median")})
 
 
-@query("""WITH c AS (SELECT c_nationkey % 2 AS a, c_mktsegment AS m, count(*) AS n FROM customer GROUP BY 1, 2), p AS (SELECT m, sum(n) FILTER (WHERE a = 1) / (SELECT sum(n) FROM c WHERE a = 1) AS p1, sum(n) FILTER (WHERE a = 0) / (SELECT sum(n) FROM c WHERE a = 0) AS p0 FROM c GROUP BY 1)
-    SELECT 'c_acctbal' AS variable UNION ALL SELECT 'c_mktsegment' FROM p GROUP BY 1""")
+@query("""WITH c AS (SELECT c_nationkey % 2 AS arm, c_acctbal AS x, CAST(c_custkey % 3 = 0 AS DOUBLE) AS y FROM customer), s AS (SELECT arm, avg(x) AS m, var_samp(x) AS v, avg(y) AS p FROM c GROUP BY 1),
+    d AS (SELECT (a.m - b.m) / sqrt((a.v + b.v) / 2) AS x, abs(a.p - b.p) / sqrt((a.p * (1 - a.p) + b.p * (1 - b.p)) / 2) AS y FROM s a, s b WHERE a.arm = 1 AND b.arm = 0)
+    SELECT 'c_acctbal' AS variable, round(x, 6) AS smd, abs(x) < 0.1 AS balanced FROM d UNION ALL SELECT 'third', round(y, 6), y < 0.1 FROM d""")
 def balance_report(spark, d):
-    rows = stats.balance(_surv(spark, d), "arm", ["c_acctbal"], ["c_mktsegment"])
-    return spark.createDataFrame([(r["variable"],) for r in rows], "variable string")
+    rows = stats.balance(_surv(spark, d).withColumn("third", F.col("c_custkey") % 3 == 0), "arm", ["c_acctbal"], ["third"])
+    return spark.createDataFrame(rows, "variable string, smd double, balanced boolean").withColumn("smd", F.round("smd", 6))
 
 
 # ---- pooled answers --------------------------------------------------------------------------------------------------
