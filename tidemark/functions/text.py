@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,57 +81,84 @@ def chunk(df: DataFrame, text: str, size: int = 200, overlap: int = 20) -> DataF
     return df.withColumn("_words", word_array(F.col(text))).where(n > 0).select(*df.columns, F.posexplode(cut).alias("chunk_index", "chunk"))
 
 
-def split_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 20, separators: Sequence[str] = ("\n\n", "\n", " ")) -> DataFrame:
-    """Separator-aware chunks: pieces at the coarsest separator that makes them small enough, packed up to ``size`` words."""
-    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+def _pieces(body: Column, size: int, separators: Sequence[str]) -> Column:
+    """The text cut at the first separator, and what is still longer than ``size`` words at the next ones; behind the last, single words."""
+    if not separators:
+        return F.when(F.size(word_array(body)) <= size, F.array(body)).otherwise(word_array(body))
+    cut = F.flatten(F.transform(F.split(body, f"\\Q{separators[0]}\\E"), lambda p: _pieces(p, size, separators[1:])))
+    return F.when(F.size(word_array(body)) <= size, F.array(body)).otherwise(cut)
 
-    schema = StructType(df.schema.fields + [StructField("chunk_index", IntegerType()), StructField("chunk", StringType())])
-    count = lambda s: len(s.split())
 
-    def pieces(body: str, seps: Sequence[str]) -> list[str]:
-        if count(body) <= size or not seps:
-            return [body]
-        return [p for part in body.split(seps[0]) for p in pieces(part, seps[1:])]
+def split_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 20, separators: Sequence[str] = ("\n\n", "\n", " ")) -> DataFrame:
+    """Separator-aware chunks: pieces at the coarsest separator that makes them small enough, packed up to ``size`` words.
 
-    def packed(body: str) -> list[str]:
-        out, now = [], []
-        for p in (w for x in pieces(body, separators) for w in ([x] if count(x) <= size else x.split())):
-            if now and sum(map(count, now)) + count(p) > size:
-                out.append(" ".join(now))
-                tail = " ".join(now).split()[-overlap:] if overlap else []
-                now = [" ".join(tail)] if tail and len(tail) + count(p) <= size else []
-            if p.strip():
-                now.append(p.strip())
-        return [*out, " ".join(now)] if now else out
+    A chunk begins with the last ``overlap`` words of the one before where they and the next piece fit. One fold over the pieces of a text:
+    it holds the chunks so far, the open one and its number of words. Null and blank texts have no chunk.
+    """
+    trimmed = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    pieces = F.filter(F.transform(_pieces(F.col(text), size, separators), lambda p: F.struct(trimmed(p).alias("p"), F.size(word_array(p)).alias("n"))), lambda x: x["n"] > 0)
+    state = lambda out, now, n: F.struct(out.alias("out"), now.alias("now"), n.cast("int").alias("n"))
+    none = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
 
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.assign(chunk=[packed(t) if t else [] for t in pdf[text]])
-            pdf = pdf.assign(chunk_index=[list(range(len(c))) for c in pdf["chunk"]]).explode(["chunk_index", "chunk"]).dropna(subset=["chunk"])
-            yield pdf.astype({"chunk_index": "int32"})[schema.names]
+    def put(s: Column, x: Column) -> Column:
+        full = (s["n"] > 0) & (s["n"] + x["n"] > size)
+        kept = F.when(s["n"] + x["n"] > size, F.slice(word_array(s["now"]), -F.least(F.lit(overlap), s["n"]), F.lit(overlap))) if overlap else F.array().cast("array<string>")
+        kept = F.when(F.size(kept) + x["n"] <= size, kept).otherwise(F.array().cast("array<string>"))
+        lead = F.when(full, F.array_join(kept, " ")).otherwise(s["now"])
+        n = F.when(full, F.size(kept)).otherwise(s["n"])
+        return state(F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]), F.when(lead == "", x["p"]).otherwise(F.concat(lead, F.lit(" "), x["p"])), n + x["n"])
 
-    return df.mapInPandas(run, schema)
+    done = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
+    return df.select(*df.columns, F.posexplode(F.aggregate(pieces, none, put, done)).alias("chunk_index", "chunk"))
 
 
 def keyword_in_context(df: DataFrame, text: str, keyword: str, around: int = 200) -> DataFrame:
-    """One row for each whole-word hit of a one-word keyword: its word number and the words around it."""
-    words = word_array(F.col(text))
-    hits = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).rlike(word_pattern(keyword)))
-    out = df.withColumn("_words", words).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(hits).alias("hit"))
+    """One row for each hit of a keyword of one or more words: the place of its first word and the words around it.
+
+    The words of a phrase are looked for one by one and their places shifted onto the first; where all meet, the phrase is. White
+    space between its words may be of any kind.
+    """
+    span = len(keyword.split())
+    out = df.withColumn("_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(phrase_places("_words", keyword)).alias("hit"))
     low = F.greatest(F.col("hit") - around, F.lit(0))
-    return out.withColumn("context", F.array_join(F.slice("_words", low + 1, F.col("hit") - low + around + 1), " ")).drop("_words")
-
-
-def segment(df: DataFrame, text: str) -> DataFrame:
-    """Sentences of notes: lines split off as headers, list items and rules, the rest cut after ., ! and ?."""
-    line = F.posexplode(F.split(text, r"\n")).alias("line_index", "line")
-    lines = df.select(*df.columns, line).where(F.trim("line") != "")
-    header = F.col("line").rlike(r"^\s*[A-Z][A-Za-z /&-]{1,60}:\s*")
-    item = F.col("line").rlike(r"^\s*(?:\d+[.)]|[-*•])\s+")
-    rule = F.col("line").rlike(r"^\s*[-_=*]{3,}\s*$")
-    lines = lines.where(~rule).withColumn("kind", F.when(item, "item").when(header, "header").otherwise("text"))
-    parts = F.split(F.trim("line"), r"(?<=[.!?])\s+(?=[\p{Lu}\d])")
-    return lines.select(*df.columns, "line_index", "kind", F.posexplode(parts).alias("part_index", "sentence"))
+    return out.withColumn("context", F.array_join(F.slice("_words", low + 1, F.col("hit") - low + around + span), " ")).drop("_words")
+
+
+def phrase_places(words: str, phrase: str) -> Column:
+    """Places (from 0) in an array of words at which the phrase begins, in order; at its ends other signs may touch it."""
+    parts = phrase.split()
+
+    def places(i: int) -> Column:
+        left = rf"(?<!{_INSIDE})" if i == 0 else "^"
+        right = rf"(?!{_INSIDE})" if i == len(parts) - 1 else "$"
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.get(words, k).rlike(f"(?iu){left}{_escaped(parts[i])}{right}"))
+        return F.transform(at, lambda k: k - i)
+
+    return reduce(F.array_intersect, map(places, range(len(parts))))
+
+
+def phrases_in_context(df: DataFrame, text: str, phrases: Sequence[str], around: int = 200) -> DataFrame:
+    """One row for each stretch of text around hits of any phrase: ``start`` and ``end`` (words, from 0), ``found`` and ``context``.
+
+    The windows of hits that overlap or touch are one stretch. ``found`` has the phrases in list order.
+    """
+
+    def windows(i: int) -> Column:
+        span = len(phrases[i].split())
+        return F.transform(phrase_places("_words", phrases[i]), lambda k: F.struct(F.greatest(k - around, F.lit(0)).alias("a"), F.least(k + span + around, F.size("_words")).alias("b"), F.lit(i).alias("i")))
+
+    hits = F.concat(*map(windows, range(len(phrases))))
+    one = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.array(x["i"]).alias("i"))
+    state = "struct<done:array<struct<a:int,b:int,i:array<int>>>,now:struct<a:int,b:int,i:array<int>>>"
+    joined = lambda now, x: F.struct(now["a"].alias("a"), F.greatest(now["b"], x["b"]).alias("b"), F.array_union(now["i"], F.array(x["i"])).alias("i"))
+    put = lambda s, x: F.when(s["now"].isNull(), F.struct(s["done"].alias("done"), one(x).alias("now"))).when(
+        x["a"] <= s["now"]["b"], F.struct(s["done"].alias("done"), joined(s["now"], x).alias("now"))
+    ).otherwise(F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), one(x).alias("now"))).cast(state)
+    none = F.struct(F.array().alias("done"), F.lit(None).alias("now")).cast(state)
+    stretches = F.aggregate(F.array_sort(hits), none, put, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    out = df.withColumn("_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(stretches).alias("_s"))
+    named = F.transform(F.array_sort("_s.i"), lambda i: F.get(F.array(*map(F.lit, phrases)), i))
+    return out.select(*df.columns, F.col("_s.a").alias("start"), F.col("_s.b").alias("end"), named.alias("found"), F.array_join(F.slice("_words", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")), " ").alias("context"))
 
 
 def normal_slug(name: Column) -> Column:

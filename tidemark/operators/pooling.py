@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +59,48 @@ RULES = {
 
 
 def pool(long: DataFrame, by: Sequence[str], feature: str, value: str, position: str, spec: dict[str, tuple[str, Sequence[str]]]) -> DataFrame:
-    """Each feature pooled by its rule: spec maps a feature to (rule, ranks). One aggregation, one conditional aggregate per rule."""
-    picked = F.coalesce(*[F.when(F.col(feature) == name, F.col(f"_{name}")) for name in spec])
-    aggs = [RULES[rule](F.when(F.col(feature) == name, F.col(value)), F.when(F.col(feature) == name, F.col(position)), ranks).cast("string").alias(f"_{name}") for name, (rule, ranks) in spec.items()]
-    return long.where(F.col(feature).isin(*spec)).groupBy(*by, feature).agg(*aggs).select(*by, feature, picked.alias(value))
+    """Each feature pooled by its rule: spec maps a feature to (rule, ranks). One aggregation by entity and feature, one aggregate for each different rule."""
+    kinds: dict[tuple, list[str]] = {}
+    for name, (rule, how) in spec.items():
+        kinds.setdefault((rule, repr(how)), []).append(name)
+    aggs, picked = [], []
+    for i, ((rule, _), names) in enumerate(kinds.items()):
+        mine = F.col(feature).isin(*names)
+        aggs.append(RULES[rule](F.when(mine, F.col(value)), F.when(mine, F.col(position)), spec[names[0]][1]).cast("string").alias(f"_pooled_{i}"))
+        picked.append(F.when(mine, F.col(f"_pooled_{i}")))
+    return long.where(F.col(feature).isin(*spec)).groupBy(*by, feature).agg(*aggs).select(*by, feature, F.coalesce(*picked).alias(value))
+
+
+def patient_row(long: DataFrame, key: str, feature: str, value: str, position: str, registry: Sequence[dict], own: dict[str, Callable[[pd.DataFrame], str | None]] | None = None) -> DataFrame:
+    """One row for each entity with a column for each registered feature, pooled by its rule; ``default`` where an entity has no record of it.
+
+    ``registry`` has rows {feature, rule, how (what the rule needs, if anything), default}. A rule that :data:`RULES` lacks is taken from ``own``: a
+    function of the feature's different values with their number ``n`` and first position ``first``, of one entity. A rule that is in neither is an error.
+    Entities without a record of any registered feature have a row of defaults; null keys are one entity.
+    """
+    own = own or {}
+    unknown = sorted({r["rule"] for r in registry} - set(RULES) - set(own))
+    if unknown:
+        raise ValueError(f"unknown pooling rules: {unknown}")
+    native = {r["feature"]: (r["rule"], r.get("how", ())) for r in registry if r["rule"] in RULES}
+    custom = {r["feature"]: own[r["rule"]] for r in registry if r["rule"] not in RULES}
+    parts = []
+    if native:
+        parts.append(pool(long, [key], feature, value, position, native).select(key, feature, value))
+    if custom:
+        folded = long.where(F.col(feature).isin(*custom)).groupBy(key, feature, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
+        kinds = dict(long.dtypes)
+
+        def call(pdf: pd.DataFrame) -> pd.DataFrame:
+            got = custom[pdf[feature].iloc[0]](pdf.sort_values("first"))
+            return pd.DataFrame({key: [pdf[key].iloc[0]], feature: [pdf[feature].iloc[0]], value: [None if got is None else str(got)]})
+
+        parts.append(folded.groupBy(key, feature).applyInPandas(call, f"`{key}` {kinds[key]}, `{feature}` string, `{value}` string"))
+    pooled = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    everyone = long.groupBy(key).agg(F.lit(None).cast("string").alias(feature), F.lit(None).cast("string").alias(value))
+    names = [r["feature"] for r in registry]
+    wide = pooled.unionByName(everyone).groupBy(key).pivot(feature, names).agg(F.first(value, ignorenulls=True))
+    return wide.select(key, *[F.coalesce(n, F.lit(r.get("default"))).alias(n) for n, r in zip(names, registry)])
 
 
 def to_wide(long: DataFrame, key: str, column: str, value: str, values: Sequence[str]) -> DataFrame:

@@ -273,22 +273,12 @@ def note_chunks(spark, d):
     return text.chunk(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_index", "chunk")
 
 
-@query()
-def separator_chunks(spark, d):
-    return text.split_chunks(_t(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
-
-
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents), h AS (SELECT doc_id, w, unnest(range(0, len(w))) AS hit FROM w)
     SELECT doc_id, CAST(hit AS INT) AS hit, array_to_string(w[greatest(hit - 5, 0) + 1 : hit + 6], ' ') AS context FROM h WHERE """ + _HIT("w[hit + 1]", "with"))
 def keyword_context(spark, d):
     return text.keyword_in_context(_t(spark, d, "documents").select("doc_id", "text"), "text", "with", 5).select("doc_id", "hit", "context")
 
 
-@query()
-def note_sentences(spark, d):
-    return text.segment(_t(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
-
-
 # ---- evaluation ------------------------------------------------------------------------------------------------------
 
 _LAB = "lab AS (SELECT l.doc_id, d.lang, l.quality, l.toxic, CAST(d.n_chars > 1500 AS INT) AS pred, least(d.n_chars / 6000.0, 1.0) AS score, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
@@ -665,4 +655,4 @@ def error_listing(spark, d):
     return evalm.errors(_lab(spark, d), "quality", "pred", ["doc_id"], 25).select("lang", "doc_id")
 
 
-from tidemark.plans import catalogue_study, catalogue_text  # noqa: E402, F401 - they add their queries
+from tidemark.plans import catalogue_notes, catalogue_study, catalogue_text  # noqa: E402, F401 - they add their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,38 @@ def recycle(snapshots: DataFrame, fresh: DataFrame, key: str, feature: str, prio
     return kept.drop(priority).unionByName(fresh, allowMissingColumns=True)
 
 
+def refreshed(
+    snapshots: DataFrame, versions: DataFrame, key: str, feature: str, priority: str, version: str, value: str, recompute: Callable[[DataFrame], DataFrame],
+    backfill: DataFrame | None = None, backfill_feature: str = "age",
+) -> DataFrame:
+    """Records of an earlier extraction brought up to date: (key, feature, value and the snapshots' other columns, version).
+
+    Each entity keeps the records of its first snapshot in priority order, but for features of which ``versions`` (feature, version: the
+    feature dimension, which is collected) has a later version. ``recompute`` gets the (key, feature) pairs that are stale or missing, and only these, and
+    gives their records; a pair without a record gets one with a null value, so that a second run over the result has nothing to do.
+    Features that ``versions`` does not list stay as they are. ``backfill`` (key, value) fills a null or missing ``backfill_feature`` at last.
+    """
+    now = {r[0]: r[1] for r in versions.select(feature, version).collect()}
+    current = snapshots.sparkSession.createDataFrame(list(now.items()), f"`{feature}` string, _now {dict(snapshots.dtypes)[version]}")
+    first = snapshots.groupBy(key).agg(F.min(priority).alias("_p"))
+    mine = snapshots.join(first.select(F.col(key).alias("_k"), "_p"), F.col(key).eqNullSafe(F.col("_k")) & (F.col(priority) == F.col("_p"))).drop("_k", "_p", priority)
+    kept = mine.join(current, feature, "left").where("_now is null").drop("_now").unionByName(mine.join(current, feature).where(F.col(version) >= F.col("_now")).drop("_now"))
+    held = kept.select(key, feature).distinct().withColumn("_kept", F.lit(True)).unionByName(first.select(key, F.lit(None).cast("string").alias(feature), F.lit(True).alias("_kept")))
+    lacking = held.groupBy(key).agg(F.array_except(F.array(*[F.lit(n) for n in sorted(now)]), F.collect_set(feature)).alias("_todo"))  # as many as there are features
+    todo = written(lacking.select(key, F.explode("_todo").alias(feature)), "stale")
+    fresh = recompute(todo)
+    found = todo.join(fresh.withColumnsRenamed({key: "_k", feature: "_f"}), F.col(key).eqNullSafe(F.col("_k")) & (F.col(feature) == F.col("_f")), "left").drop("_k", "_f")
+    fresh = found.join(current, feature).withColumnRenamed("_now", version)
+    out = kept.unionByName(fresh, allowMissingColumns=True).select(*[c for c in snapshots.columns if c != priority])
+    if backfill is None:
+        return out
+    older = backfill.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias("_old"))
+    aged = out.where(F.col(feature) == backfill_feature)
+    bare = first.select(key).join(aged.select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k")), "left_anti").withColumn(feature, F.lit(backfill_feature))
+    aged = aged.unionByName(bare, allowMissingColumns=True).join(older, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn(value, F.coalesce(value, "_old")).drop("_k", "_old")
+    return out.where(F.col(feature) != backfill_feature).unionByName(aged.where(F.col(value).isNotNull() | F.col(version).isNotNull()))
+
+
 def latest_runs(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """The latest record of each run name."""
     rest = [c for c in df.columns if c not in by]
