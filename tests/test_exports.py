@@ -82,7 +82,7 @@ def test_study_as_a_whole(spark):
     assert {r.id for r in got} == {i for i in range(39) if i % 5 < 4 and i != 1} and all(r.arm == (r.id % 4 == 0) for r in got)
     made = pairs.collect()
     assert len({r.case for r in made}) == len(made) == len({r.control for r in made}) == sum(r.arm for r in got)
-    assert {b["variable"] for b in balance} == {"age", "sex"}
+    assert {(b["round"], b["variable"]) for b in balance.collect()} == {(r, v) for r in {p["round"] for p in made} for v in ("age", "sex")}
 
 
 def test_structured_cases(spark):

@@ -59,6 +59,14 @@ def classify_period(date: Column, index: Column, days: float = 730.0) -> Column:
     return F.when(gap <= 0, "pre_index").when(gap < days, "treatment").when(gap >= days, "outcome")
 
 
+def forced_period(feature: Column, period: Column, forced: dict[str, str]) -> Column:
+    """The period of a record, but for features that always belong to one."""
+    out = period
+    for name, always in forced.items():
+        out = F.when(feature == name, always).otherwise(out)
+    return out
+
+
 def repair_mmddyyyy(text: Column) -> Column:
     """Answers such as 13052020 or 0503 2020: eight digits as month, day, year; sentinel U and X become null."""
     digits = F.regexp_replace(text, r"\D", "")

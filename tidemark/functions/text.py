@@ -183,6 +183,19 @@ def parse_answer(text: Column, kind: str) -> Column:
     return F.coalesce(F.nullif(marked, F.lit("")), F.nullif(loose, F.lit("")))
 
 
+def choice_key(answer: Column, choices: dict[str, str]) -> Column:
+    """The key of an answer: a key itself (in any case, signs around it), or the text of a choice; null for anything else.
+
+    A text that several choices have gets the first of them.
+    """
+    body = F.lower(F.trim(answer))
+    bare = F.regexp_replace(body, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    keyed = [F.when(bare == k.lower(), F.lit(k)) for k in choices]
+    marked = [F.when(body.rlike(rf"^\W*{_escaped(k.lower())}\W+{_escaped(t.lower())}\W*$"), F.lit(k)) for k, t in choices.items()]
+    said = [F.when(bare == re.sub(r"^\W+|\W+$", "", t.lower()), F.lit(k)) for k, t in choices.items()]
+    return F.coalesce(*keyed, *marked, *said)
+
+
 def normal_number(text: Column) -> Column:
     """'14.0' and '14' alike as '14'; anything else as it is."""
     number = text.try_cast("double")

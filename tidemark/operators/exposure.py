@@ -96,6 +96,24 @@ def level_number(value: Column, levels: Sequence[str]) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
+def recoded(value: Column, rules: Sequence[tuple[Sequence[str], str]], other: str | None = None, missing: str | None = None) -> Column:
+    """The label of the first rule (values, label) that lists the value, letter case aside; ``other`` for values of no rule, ``missing`` for null."""
+    body = F.lower(F.trim(value))
+    out = F.when(value.isNull(), F.lit(missing))
+    for values, label in rules:
+        out = out.when(body.isin(*[v.lower() for v in values]), F.lit(label))
+    return out.otherwise(F.lit(other))
+
+
+def recoded_levels(df: DataFrame, spec: dict[str, dict]) -> DataFrame:
+    """Covariates recoded and ordered: each column of ``spec`` {rules, levels, other, missing} gets its label and ``<column>_level``, its place in ``levels``.
+
+    A label that is no level has a null place, so a model leaves its row out; :func:`indicators` takes the levels in the same order.
+    """
+    out = df.withColumns({c: recoded(F.col(c).cast("string"), s["rules"], s.get("other"), s.get("missing")) for c, s in spec.items()})
+    return out.withColumns({f"{c}_level": level_number(F.col(c), s["levels"]) for c, s in spec.items()})
+
+
 def indicators(df: DataFrame, column: str, levels: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """0/1 columns for every level but the first that some row has."""
     held = {r[0] for r in df.select(column).where(F.col(column).isin(*levels)).distinct().collect()}  # at most the levels

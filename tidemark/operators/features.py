@@ -15,7 +15,7 @@ from tidemark.functions.dates import days_between
 RECORD = "entity_id string, feature_name string, keyword string, date timestamp, prediction string, code string, category string"
 
 
-def _record(df: DataFrame, entity: str, name: Column, prediction: Column, **more: Column) -> DataFrame:
+def record(df: DataFrame, entity: str, name: Column, prediction: Column, **more: Column) -> DataFrame:
     """A frame in the record's columns, missing ones null."""
     from pyspark.sql.types import StructType
 
@@ -27,7 +27,7 @@ def coded(facts: DataFrame, entity: str, date: str, code: str, label: str, featu
     """Earliest date per (entity, code), then per (entity, label), keeping the code that gave it."""
     per_code = facts.groupBy(entity, label, code).agg(F.min(date).alias(date))
     per_label = per_code.groupBy(entity, label).agg(F.min_by(code, F.struct(date, code)).alias(code), F.min(date).alias(date))
-    return _record(per_label, entity, F.lit(feature), F.lit("Yes"), keyword=F.col(label), date=F.col(date), code=F.col(code))
+    return record(per_label, entity, F.lit(feature), F.lit("Yes"), keyword=F.col(label), date=F.col(date), code=F.col(code))
 
 
 def exposures(meds: DataFrame, index: DataFrame, entity: str, date: str, drug: str, classes: DataFrame, feature: str, days: float) -> DataFrame:
@@ -35,12 +35,12 @@ def exposures(meds: DataFrame, index: DataFrame, entity: str, date: str, drug: s
     near = meds.join(index.select(entity, "index_date"), entity)
     gap = days_between(F.col(date), F.col("index_date"))
     named = rules.drug_class(near.where((gap >= 0) & (gap < days)), drug, classes)
-    return _record(named, entity, F.lit(feature), F.lit("Yes"), keyword=F.col(drug), date=F.col(date), category=F.col("drug_class"))
+    return record(named, entity, F.lit(feature), F.lit("Yes"), keyword=F.col(drug), date=F.col(date), category=F.col("drug_class"))
 
 
 def options(records: DataFrame, entity: str, option: str, feature: str) -> DataFrame:
     """One record per entity with a non-null option."""
-    return _record(records.where(F.col(option).isNotNull()), entity, F.lit(feature), F.col(option))
+    return record(records.where(F.col(option).isNotNull()), entity, F.lit(feature), F.col(option))
 
 
 def demographics(dem: DataFrame, entity: str, order: str) -> DataFrame:
@@ -49,7 +49,7 @@ def demographics(dem: DataFrame, entity: str, order: str) -> DataFrame:
     one = dem.groupBy(entity).agg(F.min_by(F.struct(*rest), order).alias("r")).select(entity, "r.*")
     values = F.create_map(F.lit("sex"), rules.sex(F.col("Sex_At_Birth"), F.col("Gender_Legal_Sex")), F.lit("race"), rules.race(F.col("Race_Group"), F.col("Ethnic_Group")), F.lit("age"), F.col("Age").cast("string"))
     long = one.select(entity, F.explode(values).alias("k", "v")).where("v is not null")
-    return _record(long, entity, F.col("k"), F.col("v"))
+    return record(long, entity, F.col("k"), F.col("v"))
 
 
 def note_chunks(notes: DataFrame, body: str, keywords: Sequence[str], size: int = 200, overlap: int = 20, mode: str = "word") -> DataFrame:
@@ -104,7 +104,7 @@ def last_activity(tables: Sequence[DataFrame], entity: str, date: str, deaths: D
 
 
 def activity_records(last: DataFrame, entity: str) -> DataFrame:
-    return _record(last, entity, F.lit("last_activity"), F.date_format("last_activity", "yyyy-MM-dd"), date=F.col("last_activity"))
+    return record(last, entity, F.lit("last_activity"), F.date_format("last_activity", "yyyy-MM-dd"), date=F.col("last_activity"))
 
 
 def structured_outcomes(facts: DataFrame, index: DataFrame, entity: str, date: str, code: str, dim: DataFrame, days: float) -> DataFrame:

@@ -55,6 +55,20 @@ def rank_methods(df: DataFrame, method: str, value: str) -> DataFrame:
     return means.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean"))))
 
 
+def score_matrix(df: DataFrame, feature: str, method: str, value: str, methods: Sequence[str]) -> DataFrame:
+    """One row for each feature with the mean score of each named method, and the first method of the best score as ``best``."""
+    wide = df.groupBy(feature).pivot(method, list(methods)).agg(F.avg(value))
+    top = F.greatest(*methods) if len(methods) > 1 else F.col(methods[0])
+    return wide.withColumn("best", F.coalesce(*[F.when(F.col(m) == top, F.lit(m)) for m in methods]))
+
+
+def prompt_lengths(df: DataFrame, by: Sequence[str], prompt: str) -> DataFrame:
+    """(by, words, characters): means over the prompts; a null prompt counts for nothing."""
+    words = F.size(F.filter(F.split(prompt, r"\s+"), lambda w: w != ""))
+    known = df.where(F.col(prompt).isNotNull())
+    return known.groupBy(*by).agg(F.avg(words).alias("words"), F.avg(F.length(prompt)).alias("characters"))
+
+
 def consensus(df: DataFrame, feature: str, method: str, value: str, eps: float = 1e-6) -> DataFrame:
     return df.groupBy(feature).agg(F.avg(value).alias("mean"), (F.max(value) - F.min(value) > eps).alias("disagree"), F.count_distinct(method).alias("methods"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import repair_mmddyyyy
+from tidemark.functions.dates import classify_period, forced_period, repair_mmddyyyy
 
 
 def majority(df: DataFrame, by: Sequence[str], value: str, position: str) -> DataFrame:
@@ -163,3 +163,10 @@ def condition_counts_with(long: DataFrame, dim: DataFrame, key: str, condition:
     counted = condition_counts(long, dim, key, condition)
     more = bonus.select(key).distinct().select(key, F.lit(category).alias("category"), F.lit(1).cast("long").alias("n"))
     return counted.unionByName(more).groupBy(key, "category").agg(F.sum("n").alias("n"))
+
+
+def counts_by_period(long: DataFrame, index: DataFrame, key: str, feature: str, date: str, keyword: str, days: float = 730.0, forced: dict[str, str] | None = None) -> DataFrame:
+    """(feature, period, keyword, n, entities): records of each keyword or class in each study period; ``forced`` names features of one period."""
+    dated = long.join(index.select(key, "index_date"), key)
+    period = forced_period(F.col(feature), classify_period(F.col(date), F.col("index_date"), days), forced or {})
+    return dated.groupBy(feature, period.alias("period"), keyword).agg(F.count("*").alias("n"), F.count_distinct(key).alias("entities"))

@@ -96,12 +96,12 @@ def hashed_page(df: DataFrame, key: str, n: int, offset: int = 0, tail: int = 5)
     return df.orderBy(F.substring(text, -tail, tail), text).offset(offset).limit(n)
 
 
-def swapped_sentences(df: DataFrame, doc: str, order: str, text: str, share: float, seed: int) -> DataFrame:
+def swapped_sentences(df: DataFrame, doc: str, order: str, text: str, share: float, seed: int, number: Column | None = None) -> DataFrame:
     """Adds ``swapped`` text and its label: the drawn sentences of a document trade places in a circle, the others stay (label 0).
 
-    A document with a single drawn sentence keeps it.
+    ``number`` (from 0 to 1) is what a sentence draws, by default a hash of document, place and seed. A document with a single drawn sentence keeps it.
     """
-    drawn = df.withColumn("_u", draw(seed, doc, order)).where(F.col("_u") < share)
+    drawn = df.withColumn("_u", draw(seed, doc, order) if number is None else number).where(F.col("_u") < share)
     circle = Window.partitionBy(doc)
     following = F.coalesce(F.lead(text).over(circle.orderBy("_u", order)), F.first(text).over(circle.orderBy("_u", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     moved = drawn.withColumns({"swapped": following, "_n": F.count("*").over(circle)}).where("_n > 1").select(doc, order, "swapped", F.lit(1).alias("label"))

@@ -136,6 +136,28 @@ def balance(df: DataFrame, arm: str, numbers: Sequence[str], categories: Sequenc
     return [x | {"balanced": x["smd"] is not None and abs(x["smd"]) < limit} for x in out]
 
 
+def balance_by_round(members: DataFrame, pairs: DataFrame, key: str, arm: str, numbers: Sequence[str], categories: Sequence[str], limit: float = 0.1) -> DataFrame:
+    """(round, variable, smd, balanced) of the people that each round of matching paired, all rounds and variables together.
+
+    ``pairs`` has (case, control, round); the difference is absolute, and balanced means below the limit. A round in which a
+    variable has no difference to take (one value, one arm) has a null.
+    """
+    who = pairs.select("round", F.explode(F.array("case", "control")).alias(key))
+    people = members.join(who, key).withColumn("_round", F.col("round"))
+    named = lambda v: F.concat_ws("\u0001", "_round", F.lit(v))
+    long = counts = None
+    if numbers:
+        each = F.inline(F.array(*[F.struct(named(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in numbers]))
+        long = people.select(F.col(arm).cast("string").alias("group"), each).where("x is not null").groupBy("variable", "group", "x").agg(F.count("*").alias("k"))
+    if categories:
+        each = F.inline(F.array(*[F.struct(named(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in categories]))
+        counts = people.select(F.col(arm).cast("string").alias("group"), each).where("level is not null").groupBy("variable", "group", "level").agg(F.count("*").alias("n"))
+    if long is None:
+        long = counts.select("variable", "group", F.lit(0.0).alias("x"), F.col("n").alias("k")).where("false")
+    split = F.split("variable", "\u0001")
+    return smd_many(long, counts).select(F.get(split, F.lit(0)).alias("round"), F.get(split, F.lit(1)).alias("variable"), "smd", (F.col("smd") < limit).alias("balanced"))
+
+
 def kruskal(df: DataFrame, by: str, value: str) -> DataFrame:
     """One row: h (tie-corrected) and df, from average ranks of distinct values."""
     return kruskal_many(_long(df, by, [value])).select("h", "df")

@@ -655,4 +655,4 @@ def error_listing(spark, d):
     return evalm.errors(_lab(spark, d), "quality", "pred", ["doc_id"], 25).select("lang", "doc_id")
 
 
-from tidemark.plans import catalogue_notes, catalogue_study, catalogue_text  # noqa: E402, F401 - they add their queries
+from tidemark.plans import catalogue_notes, catalogue_rows, catalogue_study, catalogue_text  # noqa: E402, F401 - they add their queries
