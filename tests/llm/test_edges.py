@@ -5,7 +5,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, simhash, substring, suffix, warc
+import corpus_pipeline
+from tidemark.llm import common, decontam, langid, simhash, substring, suffix, warc
 from tidemark.llm.common import free_name
 
 
@@ -109,3 +110,16 @@ def test_archive_records_need_the_dictionary(spark, tmp_path):
         zstandard.ZstdDecompressor().decompressobj().decompress(rest)
     record = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body)).decompressobj().decompress(rest)
     assert record.startswith(b"WARC/1.")
+
+
+def test_results_outlive_a_pipeline(spark):
+    """A result that somebody holds is still there after a pipeline has run in the session; what the pipeline wrote on the way is gone."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = simhash.fingerprint_components(docs)
+    before = sorted(tuple(r) for r in held.collect())
+    kept = set(common._written[spark.sparkContext.applicationId])
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert sorted(tuple(r) for r in held.collect()) == before
+    assert set(common._written[spark.sparkContext.applicationId]) == kept
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]

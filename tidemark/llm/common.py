@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ def materialise(df: DataFrame, name: str, bucket: str | None = None, buckets: in
         table_name = path.rsplit("/", 1)[1].replace("-", "_")
         df.write.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(table_name)
         out = spark.table(table_name)
+        _named[path] = table_name
     else:
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
@@ -54,8 +57,9 @@ def materialise(df: DataFrame, name: str, bucket: str | None = None, buckets: in
     return out
 
 
-#: Tables that operators have written, by application, and that nobody has discarded.
+#: Tables that operators have written, by application, and that nobody has discarded; names of those that the catalogue knows.
 _written: dict[str, list[str]] = {}
+_named: dict[str, str] = {}
 
 
 def release(spark: SparkSession) -> None:
@@ -70,21 +74,29 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`materialise` that nothing needs any more."""
-    for df in tables:
-        spark, path = df.sparkSession, df._scratch_path
+def discard_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by their paths, and what the catalogue knows of them."""
+    known = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if name := _named.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
         delete(spark, path)
-        known = _written.get(spark.sparkContext.applicationId, [])
         if path in known:
             known.remove(path)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete every table that operators have written in this session: only where all their results have been written elsewhere."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        delete(spark, path)
-    release(spark)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing needs any more."""
+    for df in tables:
+        discard_paths(df.sparkSession, [df._scratch_path])
+
+
+@contextmanager
+def recorded(spark: SparkSession) -> Iterator[list[str]]:
+    """Gives a list that in the end has the paths of the tables that were written meanwhile and not discarded."""
+    before, paths = set(_written.get(spark.sparkContext.applicationId, [])), []
+    yield paths
+    paths += [p for p in _written.get(spark.sparkContext.applicationId, []) if p not in before]
 
 
 def free_name(df: DataFrame, name: str) -> str:
