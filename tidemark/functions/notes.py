@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import held
+
 #: Words of a title that need no capital, and a title that is none.
 SMALL_WORDS, NO_TITLES = ["of", "on", "or"], ["Disp:"]
 _BREAK = "\u0001"
@@ -43,22 +45,23 @@ def sections(df: DataFrame, text: str) -> DataFrame:
     """
     spread = F.regexp_replace(F.col(text), r"(-{3,}|_{3,})", "\n$1\n")
     lines = F.transform(F.split(spread, r"\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
-    step = df.withColumn("_lines", lines).where(F.col("_lines").isNotNull()).withColumn("_kinds", F.transform("_lines", line_kind))
+    step = held(df.where(F.col(text).isNotNull()), "_lines", lines)
+    step = held(step, "_kinds", F.transform("_lines", line_kind))
     begins = lambda i: (_at("_kinds", i) != "blank") & (
         _at("_kinds", i).isin("title", "inline", "item", "rule") | (i == 0) | F.coalesce(_at("_kinds", i - 1).isin("blank", "rule", "title"), F.lit(True))
     )
-    step = step.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), begins)).where(F.size("_starts") > 0)
+    step = held(step, "_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), begins)).where(F.size("_starts") > 0)
     part = lambda s, k: F.struct(
         _at("_kinds", s).alias("kind"),
         F.filter(F.slice(F.col("_lines"), s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - s), lambda x: x != "").alias("lines"),
     )
-    step = step.withColumn("_parts", F.transform("_starts", part))
+    step = held(step, "_parts", F.transform("_starts", part))
     kind = lambda k: _at("_parts", k)["kind"]
     answers = lambda k: (
         (k > 0) & F.coalesce(kind(k - 1) == "title", F.lit(False)) & kind(k).isin("text", "item") & (F.size(_at("_parts", k)["lines"]) == 1)
         & F.coalesce(kind(k + 1).isin("title", "inline"), F.lit(True))
     )
-    step = step.withColumn("_answers", F.transform(F.sequence(F.lit(0), F.size("_parts") - 1), answers))
+    step = held(step, "_answers", F.transform(F.sequence(F.lit(0), F.size("_parts") - 1), answers))
     heads = F.filter(F.sequence(F.lit(0), F.size("_parts") - 1), lambda k: ~_at("_answers", k))
     answered = lambda k: F.coalesce(_at("_answers", k + 1), F.lit(False))
     whole = lambda k: F.struct(

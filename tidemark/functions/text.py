@@ -67,6 +67,11 @@ def contains_date(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), letters.rlike("|".join(_DATES))).otherwise(F.lit(False))
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once for each row: Spark would put an expression that is named once into a lambda, and work it out for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def word_array(text: Column) -> Column:
     """Words between white space; empty for an empty text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -78,7 +83,7 @@ def chunk(df: DataFrame, text: str, size: int = 200, overlap: int = 20) -> DataF
     n = F.size("_words")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))
     cut = F.transform(starts, lambda s: F.array_join(F.slice("_words", s + 1, F.lit(size)), " "))
-    return df.withColumn("_words", word_array(F.col(text))).where(n > 0).select(*df.columns, F.posexplode(cut).alias("chunk_index", "chunk"))
+    return held(df, "_words", word_array(F.col(text))).where(n > 0).select(*df.columns, F.posexplode(cut).alias("chunk_index", "chunk"))
 
 
 def _pieces(body: Column, size: int, separators: Sequence[str]) -> Column:
@@ -119,7 +124,7 @@ def keyword_in_context(df: DataFrame, text: str, keyword: str, around: int = 200
     space between its words may be of any kind.
     """
     span = len(keyword.split())
-    out = df.withColumn("_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(phrase_places("_words", keyword)).alias("hit"))
+    out = held(df, "_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(phrase_places("_words", keyword)).alias("hit"))
     low = F.greatest(F.col("hit") - around, F.lit(0))
     return out.withColumn("context", F.array_join(F.slice("_words", low + 1, F.col("hit") - low + around + span), " ")).drop("_words")
 
@@ -156,7 +161,7 @@ def phrases_in_context(df: DataFrame, text: str, phrases: Sequence[str], around:
     ).otherwise(F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), one(x).alias("now"))).cast(state)
     none = F.struct(F.array().alias("done"), F.lit(None).alias("now")).cast(state)
     stretches = F.aggregate(F.array_sort(hits), none, put, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-    out = df.withColumn("_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(stretches).alias("_s"))
+    out = held(df, "_words", word_array(F.col(text))).where(F.size("_words") > 0).select(*df.columns, "_words", F.explode(stretches).alias("_s"))
     named = F.transform(F.array_sort("_s.i"), lambda i: F.get(F.array(*map(F.lit, phrases)), i))
     return out.select(*df.columns, F.col("_s.a").alias("start"), F.col("_s.b").alias("end"), named.alias("found"), F.array_join(F.slice("_words", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")), " ").alias("context"))
 

@@ -19,15 +19,14 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({_INSIDE}+)")), F.lower))
 
 
-def _grams(c: Column) -> Column:
-    """All strings of three characters of the lower-cased text; texts of one or two characters hold themselves only."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.lower(c)) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(GRAM))))
+def _grams(low: Column) -> Column:
+    """All strings of three characters of a lower-cased text, by one search that looks ahead; a text of one or two characters holds itself only."""
+    return F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"))))
 
 
-def _short(c: Column) -> Column:
+def _short(low: Column) -> Column:
     """Strings of one and of two characters, for keywords shorter than a gram."""
-    low, n = F.lower(c), F.length(F.lower(c))
-    return F.array_union(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(1))), F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+    return F.array_union(F.regexp_extract_all(low, F.lit("(?s)(.)")), F.regexp_extract_all(low, F.lit("(?s)(?=(..))")))
 
 
 def keyword_table_hits(df: DataFrame, text: str, dim: DataFrame, keyword: str, mode: str = "word", out: str = "found") -> DataFrame:
@@ -47,9 +46,9 @@ def keyword_table_hits(df: DataFrame, text: str, dim: DataFrame, keyword: str, m
         there = F.regexp_like(body, F.concat(F.lit(f"(?iu)(?<!{_INSIDE})"), quoted, F.lit(f"(?!{_INSIDE})")))
     elif mode == "substring":
         short = F.length(F.lower("keyword")) < GRAM
-        held, own = _grams(F.col(body)), F.when(short, F.array(F.lower("keyword"))).otherwise(_grams(F.col("keyword")))
+        held, own = _grams(F.lower(body)), _grams(F.lower("keyword"))
         if words.where(short).limit(1).count():
-            held = F.array_union(held, _short(F.col(body)))
+            held = F.array_union(held, _short(F.lower(body)))
         alone, there = short, F.contains(F.lower(body), F.lower("keyword"))
     else:
         raise ValueError(f"unknown mode {mode}")

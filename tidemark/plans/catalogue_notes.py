@@ -78,20 +78,20 @@ _KEYS = "k AS (SELECT DISTINCT k FROM (SELECT w[1] AS k FROM v UNION ALL SELECT
 
 def _keys(spark, d):
     w = text.word_array(F.col("text"))
-    v = _t(spark, d, "documents").where("doc_id % 10 = 0").select(w.alias("w"))
+    v = _t(spark, d, "benchmark").select(w.alias("w"))
     at = lambda i: F.get("w", F.lit(i))
     return v.select(F.explode(F.array(at(0), F.concat(at(2), F.lit(" "), at(3)), F.concat(at(1), F.lit(", "), at(2)))).alias("k"))
 
 
-@query(f"""WITH v AS (SELECT {_WORDS('text')} AS w FROM documents WHERE doc_id % 10 = 0), {_KEYS},
-    f AS (SELECT doc_id, string_agg(k, '|' ORDER BY k) AS found FROM documents JOIN k ON regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(k) || '($|[^\\p{{L}}\\p{{N}}_])') AND regexp_matches(k, '[\\p{{L}}\\p{{N}}_]') GROUP BY 1)
+@query(f"""WITH v AS (SELECT {_WORDS('text')} AS w FROM benchmark), {_KEYS},
+    f AS (SELECT doc_id, string_agg(k, '|' ORDER BY k) AS found FROM documents JOIN k ON CASE WHEN contains(lower(text), lower(k)) AND regexp_matches(k, '[\\p{{L}}\\p{{N}}_]') THEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(k) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END GROUP BY 1)
     SELECT doc_id, coalesce(found, '') AS found FROM documents LEFT JOIN f USING (doc_id)""")
 def keyword_table(spark, d):
     got = keywords.keyword_table_hits(_t(spark, d, "documents").select("doc_id", "text"), "text", _keys(spark, d), "k")
     return got.select("doc_id", F.array_join("found", "|").alias("found"))
 
 
-@query(f"""WITH v AS (SELECT {_WORDS('text')} AS w FROM documents WHERE doc_id % 10 = 0), {_KEYS}, f AS (SELECT doc_id, string_agg(k, '|' ORDER BY k) AS found FROM documents JOIN k ON contains(lower(text), lower(k)) GROUP BY 1)
+@query(f"""WITH v AS (SELECT {_WORDS('text')} AS w FROM benchmark), {_KEYS}, f AS (SELECT doc_id, string_agg(k, '|' ORDER BY k) AS found FROM documents JOIN k ON contains(lower(text), lower(k)) GROUP BY 1)
     SELECT doc_id, coalesce(found, '') AS found FROM documents LEFT JOIN f USING (doc_id)""")
 def substring_table(spark, d):
     got = keywords.keyword_table_hits(_t(spark, d, "documents").select("doc_id", "text"), "text", _keys(spark, d), "k", "substring")
