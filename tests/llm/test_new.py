@@ -1,4 +1,4 @@
-"""Alignment, compression quality and conversation repair against brute force, with nulls, empties, ties, repeats and clashing columns."""
+"""Alignment, compression quality, conversation repair and repeated passages against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
 import heapq
@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tidemark.llm import align, compress, queries, repair
+from tidemark.llm import align, compress, queries, repair, substring
 
 SF = "/root/testdata/sf0.001"
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -246,3 +246,71 @@ def test_sql(spark, name):
     want = sorted(cursor.fetchall())
     got = sorted(tuple(r) for r in queries.QUERIES[name](spark, "/root/testdata/sf0.01").select(*columns).collect())
     assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize(("holders", "changed"), [(0, 10), (6, 6), (6, 10), (20, 6), (20, 10)])
+def test_changed_passages_of_frequent_lines(spark, holders, changed):
+    """Pairs share 60 words of which some are replaced; each of their three lines is in other documents as well."""
+    rng = np.random.default_rng(100 * holders + changed)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    rows, pairs, aligned = [], set(), set()
+    for g in range(0, 100_000, 1000):
+        lines = [text(20) for _ in range(3)]
+        a = [w for line in lines for w in line]
+        b = list(a)
+        for k in rng.choice(60, changed, replace=False):
+            b[k] = f"x{rng.integers(10**6)}"
+        rows += [(g + 1 + 3 * h + i, " ".join(text(40) + line + text(40))) for h in range(holders) for i, line in enumerate(lines)]
+        own, other = text(40) + a + text(40), text(40) + b + text(40)
+        rows += [(g + 500, " ".join(own)), (g + 501, " ".join(other))]
+        pairs.add((g + 501, g + 500))
+        # what an aligner finds that sees every shared k-mer of this pair
+        kmers = {tuple(own[i : i + substring.K]): i for i in range(len(own) - substring.K + 1)}
+        at = [(j, kmers[k]) for j in range(len(other) - substring.K + 1) if (k := tuple(other[j : j + substring.K])) in kmers]
+        if at and substring.align(dict(enumerate(other)), dict(enumerate(own)), *map(list, zip(*at))):
+            aligned.add((g + 501, g + 500))
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= pairs and len(got & aligned) >= 0.9 * len(aligned) >= 81
+
+
+def test_passages_of_copies(spark):
+    """Copies get the passages of the first of them, and the whole text as a passage of it."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    shared, short = text(60), text(20)
+    long = text(30) + " " + shared + " " + text(30)
+    rows = [(1, shared), *((i, long) for i in (5, 6, 7, 7)), *((i, short) for i in (8, 9)), *((i, shared) for i in (10, 11)), (None, long)]
+    got = sorted(tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    part = lambda d: (d, 30, 90, 1, 0, 60, 60)
+    assert got == sorted([*map(part, (5, 6, 7)), *((d, 0, 120, 5, 0, 120, 120) for d in (6, 7)), *((d, 0, 60, 1, 0, 60, 60) for d in (10, 11))])
+
+
+def test_passages_against_all_pairs(spark):
+    """Which texts of up to 300 words hold an earlier passage, against alignment from every shared k-mer of every pair."""
+    pdf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("size(split(text, ' ')) <= 300").toPandas()
+    words = {d: t.lower().split() for d, t in zip(pdf["doc_id"], pdf["text"])}
+    places, want = {}, set()
+    for d in sorted(words):
+        w = words[d]
+        meets = {}
+        for j in range(len(w) - substring.K + 1):
+            for source, i in places.get(tuple(w[j : j + substring.K]), ()):
+                meets.setdefault(source, []).append((j, i))
+        for source, at in meets.items():
+            own = dict(enumerate(w)), dict(enumerate(words[source]))
+            if any(substring.align(*own, [at[k][0] for k in c], [at[k][1] for k in c]) for c in substring.chain(*map(list, zip(*at)))):
+                want.add(d)
+                break
+        for j in range(len(w) - substring.K + 1):
+            places.setdefault(tuple(w[j : j + substring.K]), []).append((d, j))
+    got = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(pdf)).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want) + 1
+
+
+def test_hashes_of_words():
+    """Equal words in any case have equal hashes, others have others, over the blocks of a long text too."""
+    text = ("Alpha beta\tALPHA\x0b \xe9t\xe9 " * 30 + "x" * (substring.BLOCK + 9) + " beta " + "beta alpha " * 40_000).encode()
+    words, seen = text.lower().split(), {}
+    hashes = substring.word_hashes(text).tolist()
+    assert len(hashes) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, hashes)) and len(set(seen.values())) == len(seen)
+    assert not len(substring.word_hashes(None)) and not len(substring.word_hashes(b" \n"))
