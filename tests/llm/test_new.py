@@ -314,3 +314,15 @@ def test_hashes_of_words():
     hashes = substring.word_hashes(text).tolist()
     assert len(hashes) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, hashes)) and len(set(seen.values())) == len(seen)
     assert not len(substring.word_hashes(None)) and not len(substring.word_hashes(b" \n"))
+
+
+def test_passages_within_earlier_sources():
+    """Sorted passages in batches of any size, against a comparison of each with all others of its document."""
+    rng = np.random.default_rng(12)
+    rows = sorted({(int(d), int(s), int(a), int(a + n)) for d, s, a, n in rng.integers(0, [12, 5, 30, 20], (300, 4))})
+    want = [r for r in rows if not any(o[0] == r[0] and o[1] < r[1] and o[2] <= r[2] and o[3] >= r[3] for o in rows)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "source_id", "start", "end"])
+    for size in (1, 7, 64, 1000):
+        parts = [whole.slice(at, size) for at in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in substring._first_batches(iter([whole.slice(0, 0), *parts])) for r in b.to_pylist()]
+        assert got == want, size
