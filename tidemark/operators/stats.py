@@ -271,12 +271,12 @@ def baseline_table(df: DataFrame, by: str, numbers: Sequence[str], categories: S
 
 
 def km(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
-    """Kaplan-Meier: (by, time, at_risk, events, censored, survival), after folding rows to distinct times."""
+    """Kaplan-Meier: (by, time, at_risk, events, censored, survival), after folding rows to distinct times; a null time is behind all others."""
     keys = list(by)
     t = df.groupBy(*keys, F.col(time).alias("time")).agg(F.count_if(F.col(event) == 1).alias("events"), F.count_if(F.col(event) == 0).alias("censored"))
     w = Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     r = t.withColumn("at_risk", F.sum(F.col("events") + F.col("censored")).over(w))
-    up = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("time")).rowsBetween(Window.unboundedPreceding, 0)
     left = 1 - F.col("events") / F.col("at_risk")
     s = F.when(F.min(left).over(up) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(left > 0, left))).over(up)))
     return r.withColumn("survival", s).select(*keys, "time", "at_risk", "events", "censored", "survival")

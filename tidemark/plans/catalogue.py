@@ -417,7 +417,7 @@ _SURV = "surv AS (SELECT c_custkey, CAST(c_nationkey % 2 AS INT) AS arm, CAST(c_
 
 def _surv(spark, d):
     c = _t(spark, d, "customer")
-    return c.select("c_custkey", (F.col("c_nationkey") % 2).alias("arm"), (F.round(F.col("c_acctbal") / 1000) + 2).cast("int").alias("t"), (F.col("c_custkey") % 3 > 0).cast("int").alias("e"), "c_acctbal", "c_mktsegment")
+    return c.select("c_custkey", (F.col("c_nationkey") % 2).alias("arm"), (F.rint(F.col("c_acctbal") / 1000) + 2).cast("int").alias("t"), (F.col("c_custkey") % 3 > 0).cast("int").alias("e"), "c_acctbal", "c_mktsegment")
 
 
 @query(f"""WITH {_SURV}, c AS (SELECT arm, t AS time, count(*) FILTER (WHERE e = 1) AS events, count(*) FILTER (WHERE e = 0) AS censored FROM surv GROUP BY 1, 2),
