@@ -33,3 +33,11 @@ def test_survival_times_of_half_thousands(spark, tmp_path, name):
 def test_survival_of_a_null_time(spark, tmp_path):
     people = [(i, f"n{i}", 0, None if i < 3 else 1000.0 * (i % 4), "m") for i in range(20)]
     same_as_sql(spark, tmp_path, "km_curve", {"customer": spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")})
+
+
+def test_spans_that_touch_by_parts_of_seconds(spark, tmp_path):
+    """Starts are the nearest seconds: 3600.6 s behind a span's start is outside of it, 3600.4 s inside."""
+    at = datetime(2024, 1, 1)
+    given = [(1, 0.0, 1, "click"), (2, 3600.4, 1, "view"), (3, 3600.6, 1, "view"), (4, 0.0, 2, "error"), (5, -600.4, 2, "view"), (6, -600.6, 2, "view"), (7, 0.5, 3, "click"), (8, 3601.5, 3, "view"), (9, 3601.0, 3, "view")]
+    events = [(i, at + timedelta(seconds=s), u, t, 1.0, '{"k": 1}') for i, s, u, t in given]
+    same_as_sql(spark, tmp_path, "span_overlap", {"events": spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")})

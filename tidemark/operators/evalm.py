@@ -70,8 +70,11 @@ def macro_micro(per_label: DataFrame) -> DataFrame:
 
 def sweep(df: DataFrame, y: str, score: str, by: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
     """Metrics at 0.01 ... 0.99. Rows are first folded to a histogram of the thresholds they pass, so 99 rows a group are compared."""
-    passed = F.ceil(F.col(score) * 100) - 1 if not inclusive else F.floor(F.col(score) * 100)
-    passed = F.least(F.greatest(passed, F.lit(0)), F.lit(99)).cast("int")
+    x, hundredth = F.col(score).cast("double"), lambda k: k / F.lit(100.0)
+    near = F.least(F.greatest((F.ceil(x * 100) - 1) if not inclusive else F.floor(x * 100), F.lit(0)), F.lit(99))
+    # the product is rounded, so the threshold next to it on either side is compared as it is: 0.07 * 100 is above 7
+    over = (lambda k: x >= hundredth(k)) if inclusive else (lambda k: x > hundredth(k))
+    passed = (near + F.when((near < 99) & over(near + 1), 1).when((near > 0) & ~over(near), -1).otherwise(0)).cast("int")
     bins = df.where(F.col(score).isNotNull()).groupBy(*by, passed.alias("_bin")).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
     totals = bins.groupBy(*by).agg(F.collect_list(F.struct("_bin", "_p", "_n")).alias("_bins"))  # at most 100 entries
     rows = totals.select(*by, "_bins", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("_t"))

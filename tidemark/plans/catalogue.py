@@ -404,7 +404,8 @@ def short_circuit(spark, d):
 @query("""WITH t AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS s, CAST(epoch(ts) AS BIGINT) + 600 AS e FROM events WHERE event_type = 'view'), p AS (SELECT user_id, event_type AS type, CAST(epoch(ts) AS BIGINT) AS s, CAST(epoch(ts) AS BIGINT) + 3600 AS e FROM events WHERE event_type IN ('click', 'error'))
     SELECT t.event_id, coalesce(string_agg(DISTINCT p.type, ',' ORDER BY p.type), '') AS types FROM t LEFT JOIN p ON p.user_id = t.user_id AND t.s <= p.e AND p.s <= t.e GROUP BY 1""")
 def span_overlap(spark, d):
-    e = _t(spark, d, "events").withColumn("start", F.unix_seconds(F.col("ts").cast("timestamp")))
+    # the nearest second, the even one of two that are equally near
+    e = _t(spark, d, "events").withColumn("start", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     tokens = e.where("event_type = 'view'").select("user_id", "event_id", "start", (F.col("start") + 600).alias("end"))
     spans = e.where("event_type in ('click', 'error')").select("user_id", F.col("event_type").alias("type"), "start", (F.col("start") + 3600).alias("end"))
     return corpus.span_overlap(tokens, spans, "user_id", ["event_id"]).select("event_id", F.array_join("types", ",").alias("types"))
