@@ -41,3 +41,15 @@ def test_spans_that_touch_by_parts_of_seconds(spark, tmp_path):
     given = [(1, 0.0, 1, "click"), (2, 3600.4, 1, "view"), (3, 3600.6, 1, "view"), (4, 0.0, 2, "error"), (5, -600.4, 2, "view"), (6, -600.6, 2, "view"), (7, 0.5, 3, "click"), (8, 3601.5, 3, "view"), (9, 3601.0, 3, "view")]
     events = [(i, at + timedelta(seconds=s), u, t, 1.0, '{"k": 1}') for i, s, u, t in given]
     same_as_sql(spark, tmp_path, "span_overlap", {"events": spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")})
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_scores_at_thresholds(spark, inclusive):
+    """A score that equals a threshold, or is next to it, is on the side that the comparison of both numbers gives."""
+    import math
+
+    scores = [s for t in range(101) for s in (t / 100, math.nextafter(t / 100, -1), math.nextafter(t / 100, 2))] + [-1.0, 3.0]
+    frame = spark.createDataFrame([(i % 3 % 2, s) for i, s in enumerate(scores)], "y int, s double")
+    passes = (lambda s, t: s >= t) if inclusive else (lambda s, t: s > t)
+    want = {t / 100: tuple(sum(passes(s, t / 100) and i % 3 % 2 == y for i, s in enumerate(scores)) for y in (1, 0)) for t in range(1, 100)}
+    assert {r.threshold: (r.tp, r.fp) for r in evalm.sweep(frame, "y", "s", inclusive=inclusive).collect()} == want
