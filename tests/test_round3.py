@@ -53,3 +53,21 @@ def test_scores_at_thresholds(spark, inclusive):
     passes = (lambda s, t: s >= t) if inclusive else (lambda s, t: s > t)
     want = {t / 100: tuple(sum(passes(s, t / 100) and i % 3 % 2 == y for i, s in enumerate(scores)) for y in (1, 0)) for t in range(1, 100)}
     assert {r.threshold: (r.tp, r.fp) for r in evalm.sweep(frame, "y", "s", inclusive=inclusive).collect()} == want
+
+
+def test_patient_rows_of_many_entities(spark):
+    """Groups that go on over batches are whole, and none is a call of its own."""
+    from tidemark.operators import pooling
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(i if i else None, "odd", f"{v:02d}", 100 - v) for i in range(5) for v in range(1 + 4 * i)] + [(2**60 + 1, "odd", None, 1), (2**60 + 1, "even", "x", None)]
+        long = spark.createDataFrame(rows, "id long, feature string, value string, pos long")
+        own = {"joined": lambda pdf: ",".join(v or "-" for v in pdf["value"])}
+        registry = [{"feature": f, "rule": "joined"} for f in ("odd", "even")]
+        frame = pooling.patient_row(long, "id", "feature", "value", "pos", registry, own)
+        got = {r.id: (r.odd, r.even) for r in frame.collect()}
+        assert got == {i if i else None: (",".join(f"{v:02d}" for v in reversed(range(1 + 4 * i))), None) for i in range(5)} | {2**60 + 1: ("-", "x")}
+        assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import classify_period, forced_period, repair_mmddyyyy
@@ -71,6 +73,39 @@ def pool(long: DataFrame, by: Sequence[str], feature: str, value: str, position:
     return long.where(F.col(feature).isin(*spec)).groupBy(*by, feature).agg(*aggs).select(*by, feature, F.coalesce(*picked).alias(value))
 
 
+def _grouped(custom: dict[str, Callable[[pd.DataFrame], str | None]], key: str, feature: str, value: str):
+    """Rows that come by (key, feature), ``_number`` 1 at the first of each, as one row of the feature's function each."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        starts = np.flatnonzero(rows.column("_number").to_numpy() == 1)
+        rows = rows.drop_columns("_number")
+        # a null would turn a batch's numbers into floats; then each group is converted on its own
+        frame = rows.to_pandas() if all(c.null_count == 0 or pa.types.is_string(c.type) for c in rows.columns) else None
+        features, out = rows.column(feature).take(pa.array(starts)).to_pylist(), []
+        for name, a, b in zip(features, starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+            got = custom[name](frame.iloc[a:b] if frame is not None else rows.slice(a, b - a).to_pandas())
+            out.append(None if got is None else str(got))
+        keys = rows.column(key).take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([keys, pa.array(features, pa.string()), pa.array(out, pa.string())], [key, feature, value])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # from the first row of a group on
+        for batch in batches:
+            first = np.flatnonzero(batch.column("_number").to_numpy() == 1)
+            if len(first):
+                cut = int(first[-1])  # the last group may go on
+                if held or cut:
+                    yield done([*held, batch.slice(0, cut)])
+                held, batch = [], batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield done(held)
+
+    return run
+
+
 def patient_row(long: DataFrame, key: str, feature: str, value: str, position: str, registry: Sequence[dict], own: dict[str, Callable[[pd.DataFrame], str | None]] | None = None) -> DataFrame:
     """One row for each entity with a column for each registered feature, pooled by its rule; ``default`` where an entity has no record of it.
 
@@ -89,13 +124,10 @@ def patient_row(long: DataFrame, key: str, feature: str, value: str, position: s
         parts.append(pool(long, [key], feature, value, position, native).select(key, feature, value))
     if custom:
         folded = long.where(F.col(feature).isin(*custom)).groupBy(key, feature, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
+        # groups are streamed, many to a batch of rows: a call of pandas for each would cost more than its work
+        numbered = folded.withColumn("_number", F.row_number().over(Window.partitionBy(key, feature).orderBy(F.asc_nulls_last("first"))))
         kinds = dict(long.dtypes)
-
-        def call(pdf: pd.DataFrame) -> pd.DataFrame:
-            got = custom[pdf[feature].iloc[0]](pdf.sort_values("first"))
-            return pd.DataFrame({key: [pdf[key].iloc[0]], feature: [pdf[feature].iloc[0]], value: [None if got is None else str(got)]})
-
-        parts.append(folded.groupBy(key, feature).applyInPandas(call, f"`{key}` {kinds[key]}, `{feature}` string, `{value}` string"))
+        parts.append(numbered.mapInArrow(_grouped(custom, key, feature, value), f"`{key}` {kinds[key]}, `{feature}` string, `{value}` string"))
     pooled = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     everyone = long.groupBy(key).agg(F.lit(None).cast("string").alias(feature), F.lit(None).cast("string").alias(value))
     names = [r["feature"] for r in registry]
