@@ -71,3 +71,18 @@ def test_patient_rows_of_many_entities(spark):
         assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ties_of_any_number(spark, monkeypatch):
+    """Sums over a time's deaths equal the sums term by term, also where they are cut into stretches; Spark steps over no death."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import cox
+
+    monkeypatch.setattr(cox, "TIES", 7)
+    times = [(5.0, 2.0, 3), (9.0, 8.5, 1), (40.0, 30.0, 20), (3.0, 1.0, 4), (7.0, 7.0 - 1e-6, 7)]
+    frame = spark.createDataFrame(times, "r double, e double, d long").coalesce(1)
+    for row in frame.select("r", "e", "d", cox._tie_sums(F.col("r"), F.col("e"), F.col("d")).alias("x")).collect():
+        terms = [(f, 1 / (row.r - f * row.e)) for f in (k / row.d for k in range(row.d))]
+        want = [sum(g(f, s) for f, s in terms) for g in (lambda f, s: s, lambda f, s: f * s, lambda f, s: s * s, lambda f, s: f * s * s, lambda f, s: f * f * s * s)]
+        assert list(row.x) == pytest.approx(want, rel=1e-12)

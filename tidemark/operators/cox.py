@@ -2,7 +2,7 @@
 
 Rows of all models are folded to (model, time, covariates) and dealt to ranges of (model, time) once. Each step is one job
 for all models that have not finished: the patterns of each time are aggregated, risk sets are summed from the latest time by
-ranges, each time's ties are summed within its row, and p + p*p sums a model come to the driver, which solves for the next
+ranges, each time's ties are summed by five numbers within its row, and p + p*p sums a model come to the driver, which solves for the next
 coefficients. They go back as a small table. So the number of jobs does not depend on the number of models.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +97,40 @@ def _step(placed: DataFrame, table: DataFrame, keys: Sequence[str], x: Sequence[
     )
     atrisk = _suffix_sums(per_time, keys, "_t", [f"r{k}" for k in terms])
 
-    def of_ties(l: Column) -> Column:  # noqa: E741
-        a = {k: F.col(f"r{k}") - l / F.col("d") * F.col(f"e{k}") for k in terms}
-        return F.array(*[a[f"s{i}"] / a["s"] for i in range(p)], *[a[f"s{i}_{j}"] / a["s"] - a[f"s{i}"] * a[f"s{j}"] / (a["s"] * a["s"]) for i, j in pairs])
+    tied = atrisk.where("d > 0").withColumn("_ties", _tie_sums(F.col("rs"), F.col("es"), F.col("d")))
+    r, e, t = (lambda k: F.col(f"r{k}")), (lambda k: F.col(f"e{k}")), (lambda k: F.col(f"_ties.{k}"))
+    mean = lambda k: r(f"s{k}") * t("a") - e(f"s{k}") * t("b")  # noqa: E731  of the sums over the ties, all are linear in these
+    square = lambda i, j: r(f"s{i}") * r(f"s{j}") * t("aa") - (r(f"s{i}") * e(f"s{j}") + e(f"s{i}") * r(f"s{j}")) * t("ab") + e(f"s{i}") * e(f"s{j}") * t("bb")
+    return tied.groupBy(*keys).agg(*[F.sum(F.col(f"o{i}") - mean(i)).alias(f"u{i}") for i in range(p)], *[F.sum(mean(f"{i}_{j}") - square(i, j)).alias(f"h{i}_{j}") for i, j in pairs])
 
-    zero = F.array(*[F.lit(0.0)] * (p + len(pairs)))
-    tied = atrisk.where("d > 0").withColumn("_sum", F.aggregate(F.sequence(F.lit(0), (F.col("d") - 1).cast("int")), zero, lambda s, l: F.zip_with(s, of_ties(l), lambda a, b: a + b)))
-    return tied.groupBy(*keys).agg(*[F.sum(F.col(f"o{i}") - F.get("_sum", F.lit(i))).alias(f"u{i}") for i in range(p)], *[F.sum(F.get("_sum", F.lit(p + k))).alias(f"h{i}_{j}") for k, (i, j) in enumerate(pairs)])
+
+#: Ties that are summed at a time.
+TIES = 1 << 20
+
+
+def _tie_sums(risk: Column, tied: Column, deaths: Column) -> Column:
+    """Sums over l = 0 ... deaths - 1 of 1/s, f/s, 1/s2, f/s2 and f2/s2 (a, b, aa, ab, bb), where f = l/deaths, s = risk - f * tied and s2 = s * s.
+
+    A time's deaths grow with the rows, so the sums are taken by numpy in stretches.
+    """
+
+    @F.pandas_udf("a double, b double, aa double, ab double, bb double")
+    def sums(risk: pd.Series, tied: pd.Series, deaths: pd.Series) -> pd.DataFrame:
+        r, e, d = risk.to_numpy(float), tied.to_numpy(float), deaths.to_numpy(np.int64)
+        out, behind, last = np.zeros((len(d), 5)), np.cumsum(d), int(d.sum())
+        for at in range(0, last, TIES):  # stretches of the rows' ties, laid end to end
+            to = min(at + TIES, last)
+            low, high = int(np.searchsorted(behind, at, side="right")), int(np.searchsorted(behind, to - 1, side="right")) + 1
+            begin = np.maximum(behind[low:high] - d[low:high], at)
+            row = np.repeat(np.arange(low, high), np.minimum(behind[low:high], to) - begin)
+            f = (np.arange(at, to) - (behind - d)[row]) / d[row]
+            s = 1 / (r[row] - f * e[row])
+            use = np.flatnonzero(d[low:high])
+            for k, x in enumerate((s, f * s, s * s, f * s * s, f * f * s * s)):
+                out[low + use, k] += np.add.reduceat(x, begin[use] - at)
+        return pd.DataFrame(out, columns=["a", "b", "aa", "ab", "bb"])
+
+    return sums(risk, tied, deaths)
 
 
 def _suffix_sums(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
