@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import evalm
 from tidemark.plans import catalogue
@@ -86,3 +87,18 @@ def test_ties_of_any_number(spark, monkeypatch):
         terms = [(f, 1 / (row.r - f * row.e)) for f in (k / row.d for k in range(row.d))]
         want = [sum(g(f, s) for f, s in terms) for g in (lambda f, s: s, lambda f, s: f * s, lambda f, s: s * s, lambda f, s: f * s * s, lambda f, s: f * f * s * s)]
         assert list(row.x) == pytest.approx(want, rel=1e-12)
+
+
+def test_ratios_that_end_in_a_half(spark, tmp_path):
+    """3663 of 7040 is 0.5203125, whose sixth place SQL takes from the product with a million."""
+    labels = spark.range(7040).select(F.col("id").alias("doc_id"), (F.col("id") < 3663).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    docs = labels.select("doc_id", F.lit("en").alias("lang"), F.lit(3000).cast("long").alias("n_chars"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for table in ("labels", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = {r.threshold: (r.precision, r.recall, r.f1) for r in catalogue.threshold_sweep(spark, str(tmp_path)).collect()}
+    want = con.execute(f"SELECT threshold, precision, recall, f1 FROM ({catalogue.ORACLES['threshold_sweep']})").fetchall()
+    assert got == {t: tuple(x) for t, *x in want}
+    assert got[0.25][0] == 0.520312

@@ -48,7 +48,8 @@ def _arms(spark: SparkSession, d: str) -> DataFrame:
     return cohort.assign_arms(_index(spark, d), e.where("event_type = 'purchase'"), "user_id", "ts", 3)
 
 
-_R = lambda c, n=6: F.round(c, n)
+# as the SQL rounds: the product, which may fall below a half that the decimal digits reach (0.5203125 at six places)
+_R = lambda c, n=6: F.round((F.col(c) if isinstance(c, str) else c) * F.lit(10.0**n)) / F.lit(10.0**n)
 _IDX = "idx AS (SELECT user_id, min(ts) AS index_date FROM events WHERE event_type = 'signup' GROUP BY user_id)"
 _ARMS = _IDX + """, arms AS (SELECT i.user_id, i.index_date, bool_or(coalesce(e.ts >= i.index_date AND e.ts < i.index_date + INTERVAL 3 DAY, false)) AS exposed, count(e.ts) > 0 AS seen
     FROM idx i LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') e ON e.user_id = i.user_id GROUP BY ALL)"""
