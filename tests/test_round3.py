@@ -102,3 +102,37 @@ def test_ratios_that_end_in_a_half(spark, tmp_path):
     want = con.execute(f"SELECT threshold, precision, recall, f1 FROM ({catalogue.ORACLES['threshold_sweep']})").fetchall()
     assert got == {t: tuple(x) for t, *x in want}
     assert got[0.25][0] == 0.520312
+
+
+def test_crowded_hash_by_stretches(spark):
+    """Windows under one hash that 400 different texts hold are marked by stretches: the result is the same, and few windows are dealt out."""
+    import hashlib
+
+    import numpy as np
+    from tidemark.llm import suffix
+
+    rng = np.random.default_rng(4)
+    some = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    line = some(320)
+    texts = [some(150) + line[i % 5 :] + some(150) for i in range(400)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text"), crowd=2).collect()}
+    count = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    for k, t in enumerate(texts):
+        hit = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                hit[i : i + 200] = True
+        assert got[k] == (int(hit.sum()), int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~hit])).hexdigest())
+    # stretches of a run cover its starts once, and those of equal windows hold the same bytes
+    cores = {}
+    for t in texts[:40]:
+        for anchor, start, n in zip(*(x.tolist() for x in suffix.runs(t))):
+            signed = anchor - (1 << 64) if anchor >> 63 else anchor
+            cut = list(suffix.stretches(t[start : start + n + 199], signed))
+            assert sorted(x for _, at, m in cut for x in range(at, at + m)) == list(range(n)) and max(m for _, _, m in cut) <= suffix.STRETCH
+            for core, at, m in cut:
+                for x in range(start + at, start + at + m):
+                    assert core in t[x : x + 200] and cores.setdefault(t[x : x + 200], core) == core
