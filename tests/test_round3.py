@@ -104,6 +104,21 @@ def test_ratios_that_end_in_a_half(spark, tmp_path):
     assert got[0.25][0] == 0.520312
 
 
+def test_every_pair_of_frequent_passages(spark):
+    """Three documents of 17 or more hold four lines in a row, whose links all are frequent and first held by others; ``every`` finds the last ones' whole passage."""
+    import numpy as np
+
+    from tidemark.llm import substring
+
+    rng = np.random.default_rng(3)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    lines = [text(24) for _ in range(4)]
+    docs = [(10 * i + j, " ".join(text(60) + lines[j] + lines[j + 1] + text(60))) for i in range(20) for j in range(3)]
+    docs += [(1000 + i, " ".join(text(60) + sum(lines, []) + text(60))) for i in range(3)]
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), every=True).collect() if r.end - r.start >= 90}
+    assert got == {(1001, 1000), (1002, 1000)}
+
+
 def test_crowded_hash_by_stretches(spark):
     """Windows under one hash that 400 different texts hold are marked by stretches: the result is the same, and few windows are dealt out."""
     import hashlib
