@@ -151,3 +151,15 @@ def test_crowded_hash_by_stretches(spark):
             for core, at, m in cut:
                 for x in range(start + at, start + at + m):
                     assert core in t[x : x + 200] and cores.setdefault(t[x : x + 200], core) == core
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """Batches pass as they are, and free memory is given back once, after the last."""
+    from tidemark.llm import bpe, common
+
+    calls = []
+    monkeypatch.setattr(common.gc, "collect", lambda: calls.append(1))
+    work = common.emptied(lambda batches: (b + 1 for b in batches))
+    seen = [(x, len(calls)) for x in work(iter([1, 2, 3]))]
+    assert seen == [(2, 0), (3, 0), (4, 0)] and len(calls) == 1
+    assert common.emptied(bpe._back).__name__ == "_back"

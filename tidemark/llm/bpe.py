@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import emptied, materialise
 from .units import units, words
 
 #: Buckets that a table of chunks has at most (Spark's own limit is 100,000).
@@ -380,10 +380,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ranges, chunks = max(-(-total // RANGE_BYTES), at_once), max(-(-total // chunk_bytes), at_once)
     # the chunks lie in buckets, so that only ids are moved to them
     buckets = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialise(rows.mapInArrow(_packed(ranges, chunk_bytes), "chunk long, part long, data binary"), "chunks", bucket="chunk", buckets=min(int(buckets), MOST_BUCKETS))
+    packed = materialise(rows.mapInArrow(emptied(_packed(ranges, chunk_bytes)), "chunk long, part long, data binary"), "chunks", bucket="chunk", buckets=min(int(buckets), MOST_BUCKETS))
     of_range = packed.where("part >= 0").select("part", "chunk", "data").repartition(int(ranges), "part").sortWithinPartitions("part", "chunk")
-    encoded = of_range.mapInArrow(_distinct(path), "part long, start array<bigint>, chunks array<bigint>").select("part", "chunks", fold(F.col("start"), path).alias("ids"))
-    ids = encoded.mapInArrow(_back, "chunk long, part long, data binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("known"))
+    encoded = of_range.mapInArrow(emptied(_distinct(path)), "part long, start array<bigint>, chunks array<bigint>").select("part", "chunks", fold(F.col("start"), path).alias("ids"))
+    ids = encoded.mapInArrow(emptied(_back), "chunk long, part long, data binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("known"))
     whole = packed.where("part < 0").select("chunk", "data").join(ids, "chunk", "left").select("data", "known")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids_text string" * with_ids
-    return whole.mapInArrow(_assembler(path, with_ids), schema).withColumnRenamed("doc_id", id_col)
+    return whole.mapInArrow(emptied(_assembler(path, with_ids)), schema).withColumnRenamed("doc_id", id_col)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import emptied, materialise
 
 #: Words of a passage and its stride (half of it), hashed terms, latent dimensions, oversampling. Frequencies and the basis are
 #: taken over passages side by side, so each word counts once; the search takes overlapping ones.
@@ -140,7 +140,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
         return _sums(parts(), 2)
 
-    got = _gathered(docs.select("words").mapInArrow(count, "term long, v array<double>"), 2)
+    got = _gathered(docs.select("words").mapInArrow(emptied(count), "term long, v array<double>"), 2)
     return np.log((1 + got[:, 1].sum()) / (1 + got[:, 0])) + 1
 
 
@@ -175,7 +175,7 @@ def randomised_svd(docs: DataFrame, idf: np.ndarray, rank: int = RANK, extra: in
 
         return _sums(parts(), w.shape[1])
 
-    g = _gathered(docs.select("words").mapInArrow(multiply, "term long, v array<double>"), rank + extra)
+    g = _gathered(docs.select("words").mapInArrow(emptied(multiply), "term long, v array<double>"), rank + extra)
     w = sketch.astype(np.float64)
     # Nystroem form of the symmetric A'A from its product with W
     core = w.T @ g
@@ -217,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = "doc_id long, item_id long, common_words long, item_words long, similarity double"
     if not size:
         return spark.createDataFrame([], schema)
-    rows = materialise(rows.mapInArrow(_numbered, "doc_id long, words binary"), "words")
+    rows = materialise(rows.mapInArrow(emptied(_numbered), "doc_id long, words binary"), "words")
     idf = inverse_frequencies(rows)
     basis = (idf[:, None] * randomised_svd(rows, idf)).astype(np.float32)
     out, parts = None, -(-size // part_bytes)
@@ -225,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = items.where(F.pmod(F.xxhash64("item", "text", "answer"), F.lit(parts)) == part).collect()
         query = [(r[0], w, numbers(r[2]).tolist()) for r in some if len(w := numbers(r[1]))]
         if query:
-            found = rows.mapInArrow(_search(spark.sparkContext.broadcast((basis, query)), cosine, common), schema)
+            found = rows.mapInArrow(emptied(_search(spark.sparkContext.broadcast((basis, query)), cosine, common)), schema)
             out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 

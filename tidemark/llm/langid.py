@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_name
+from .common import emptied, free_name
 
 #: Language codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -184,7 +184,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     each = max(20, rows // len(counted))
     counts = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
     # whole texts become features before they reach the driver, six bytes for each that isn't zero
-    got = sorted(_sample(usable, each, counts).mapInArrow(_feature_rows, "lang string, h long, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    got = sorted(_sample(usable, each, counts).mapInArrow(emptied(_feature_rows), "lang string, h long, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
     x, y = np.zeros((len(got), BINS), np.float32), [r["lang"] for r in got]
     for k, r in enumerate(got):
         n = len(r["x"]) // 6
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     kept = [c for c in docs.columns if c not in out]
     wide = docs.select(*kept).withColumn(body, F.col(text_col).cast("binary"))
     full = StructType([f for f in docs.schema.fields if f.name in kept] + schema.fields)
-    return wide.mapInArrow(apply, full)
+    return wide.mapInArrow(emptied(apply), full)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, discard, materialise
+from .common import components, discard, emptied, materialise
 
 SEED = 42
 #: Members of a bucket up to which its pairs are made directly.
@@ -160,7 +160,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
             hashes = pa.ListArray.from_arrays(runs, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), hashes], ["id", "hashes"])
 
-    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(sets, "id long, hashes array<bigint>")
+    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(emptied(sets), "id long, hashes array<bigint>")
 
 
 @F.pandas_udf(T.StructType([T.StructField("bits", T.LongType()), T.StructField("n", T.IntegerType())]))
@@ -196,7 +196,7 @@ def _frequent(texts: DataFrame, size: int) -> dict[int, int]:
                 top = np.argsort(-n, kind="stable")[: min(FREQUENT, int((n > 2).sum()))]
                 yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["shingle", "n"])
 
-    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "shingle long, n long")
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(emptied(count), "shingle long, n long")
     top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > PIVOT).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     return {r["shingle"]: len(top) - i for i, r in enumerate(top)}
 
@@ -231,7 +231,7 @@ def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, simila
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), keys], ["id", "n", "keys"])
 
     # prefixes are cut where the texts are read, so no text moves
-    cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "id long, n long, keys array<long>")
+    cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(emptied(cut), "id long, n long, keys array<long>")
     cuts = cuts.join(rows.select("id").distinct(), "id", "left_semi").join(own.withColumnRenamed("node", "id"), "id", "left")
     keyed = cuts.select("id", "n", F.coalesce("component", "id").alias("own"), F.explode("keys").alias("key")).repartition("key")
     parts = keyed.groupBy("key", "own").agg(F.count("*").alias("members"))
