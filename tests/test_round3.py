@@ -190,3 +190,23 @@ def test_numbers_of_grams():
         assert len(_gram_numbers(text, True)) == len(grams)
         assert len(_gram_numbers(text, False)) == len({g for g in grams if len(g) == min(3, len(text))})
         assert all(set(_gram_numbers(g, False)) <= set(_gram_numbers(text, True)) for g in grams)
+
+
+def test_batches_of_whole_texts_come_in_parts(monkeypatch):
+    """The pipeline: no function turns ten thousand whole texts into strings at once; rows and their order stay."""
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 1000)
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(n)), "text": [None if i % 7 == 0 else "é" * (5000 * (i == 3) + i) for i in range(n)]}, schema) for n in (0, 1, 50, 3)]
+    parts = []
+
+    def work(got):
+        for b in got:
+            parts.append(b)
+            yield b
+
+    out = pa.Table.from_batches(list(common.emptied(work)(iter(batches))))
+    assert out.equals(pa.Table.from_batches(batches)) and max(b.num_rows for b in parts) < 50
