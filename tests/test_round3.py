@@ -210,3 +210,18 @@ def test_batches_of_whole_texts_come_in_parts(monkeypatch):
 
     out = pa.Table.from_batches(list(common.emptied(work)(iter(batches))))
     assert out.equals(pa.Table.from_batches(batches)) and max(b.num_rows for b in parts) < 50
+
+
+def test_runs_of_letters_need_no_pattern(monkeypatch):
+    """op7_token_files: only units that aren't a run of letters are split by the pattern; ids stay those of the library."""
+    import numpy as np
+    import public_tokenizers
+
+    from tidemark.llm import units
+
+    memo, seen, split = units.LibraryMemo(public_tokenizers.path("byte_bpe_50k.json")), [], units.words
+    monkeypatch.setattr(units, "words", lambda u: seen.append(u) or split(u))
+    texts = ["Zwölf Boxkämpfer jagen, don't we?\nñandú ǅ ªº x2 ٣ ʰ中文 naïve", " lead\t tab  two\n\n", "ⅷ 𝔘nicode a̐b ''s", None, ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts)]
+    assert got == [memo.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert seen and not any(u.strip().isalpha() for u in seen if u[1:])

@@ -78,9 +78,12 @@ class LibraryMemo:
         """Fill in words, many to a call: behind a newline each where they don't start with a space."""
         import numpy as np
 
-        spaced = [w for w in fresh if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        bare = [w for w in fresh if not w[0].isspace()]
-        rest = [w for w in fresh if w[0].isspace() and (len(w) == 1 or w[0] != " " or w[1].isspace())]
+        spaced, bare, rest = [], [], []
+        for w in fresh:
+            if w[0] == " ":
+                (spaced if len(w) > 1 and not w[1].isspace() else rest).append(w)
+            else:
+                (rest if w[0].isspace() else bare).append(w)
         for kind, lead, step in ((spaced, "", 1), (bare, "\n", 2)):
             for at in range(0, len(kind), 4096):
                 part = kind[at : at + 4096]
@@ -97,11 +100,19 @@ class LibraryMemo:
             self.memo[w] = self._whole(w)
 
     def _learn(self, missing: Iterable[str]) -> None:
-        split = [(unit, words(unit)) for unit in missing]
-        self._encode_words(list({w for _, ws in split for w in ws if w not in self.memo}))
+        fresh, split = set(), []
+        for unit in missing:
+            if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():  # most units are a run of letters, which is one match
+                fresh.add(unit)
+            else:
+                ws = words(unit)
+                fresh.update(ws)
+                if len(ws) > 1:
+                    split.append((unit, ws))
+        known = self.memo
+        self._encode_words([w for w in fresh if w not in known])
         for unit, ws in split:
-            if len(ws) > 1:
-                self.memo[unit] = b"".join([self.memo[w] for w in ws])
+            known[unit] = known[ws[0]] + known[ws[1]] if len(ws) == 2 else b"".join([known[w] for w in ws])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
