@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, discard, emptied, materialise
+from .substring import _mixed, word_hashes
 
 SEED = 42
 #: Members of a bucket up to which its pairs are made directly.
@@ -30,7 +31,9 @@ BUCKET = 64
 #: The same where links are verified by texts: beyond it, members of a bucket are compared with one of them first.
 PIVOT = 16
 #: Shingles that the order of prefixes puts last, at most (their number does not depend on the corpus).
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
+#: Members of a prefix's bucket beyond which pairs are made once, with all that they share, and not by each shingle.
+CROWDED = 32
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -150,12 +153,22 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
+def text_shingles(text: bytes | None, size: int) -> np.ndarray:
+    """64-bit hashes of the same runs of words as :func:`shingle_hashes` has, by numpy; for sets that no contract fixes."""
+    words = word_hashes(text)
+    n = max(len(words) - size + 1, min(len(words), 1))
+    out = np.zeros(n, np.uint64)
+    for j in range(min(size, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    return _mixed(out)
+
+
 def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """(id, hashes): the different shingles of each text (id, text), ascending as unsigned numbers."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _some(batches):
-            found = [np.unique(shingle_hashes(x, size)).view(np.int64) for x in batch.column("text").to_pylist()]
+            found = [np.unique(text_shingles(x, size)).view(np.int64) for x in batch.column("text").to_pylist()]
             runs = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             hashes = pa.ListArray.from_arrays(runs, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), hashes], ["id", "hashes"])
@@ -167,7 +180,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 def _print_and_size(texts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     rows = []
     for x, n in zip(texts, sizes):
-        h = shingle_hashes(x, int(n))
+        h = text_shingles(x, int(n))
         rows.append((majority(h), len(np.unique(h))))
     return pd.DataFrame(rows, columns=["bits", "n"])
 
@@ -182,23 +195,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def _frequent(texts: DataFrame, size: int) -> dict[int, int]:
-    """Up to ``FREQUENT`` shingles that many texts share, with a rank: the more texts, the higher.
+def _frequent(texts: DataFrame, size: int, similarity: float) -> pa.Table:
+    """(shingle, n) of up to ``FREQUENT`` shingles that most texts share.
 
-    Tasks report what occurs three times within some thousand texts. Any choice gives the same links; this one keeps buckets small.
+    Shingles whose hash is as low as those at which a prefix ends are counted exactly, for these make the buckets; of the
+    others tasks report what occurs three times within some thousand texts. Any choice gives the same links; this one keeps buckets small.
     """
+    low = np.uint64(min(int((1.05 - similarity) * 2**64), 2**64 - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch.column("text")), 4 * TEXTS):
-                sets = [np.unique(shingle_hashes(x, size)) for x in batch.column("text").slice(at, 4 * TEXTS).to_pylist()]
+                sets = [np.unique(text_shingles(x, size)) for x in batch.column("text").slice(at, 4 * TEXTS).to_pylist()]
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
-                top = np.argsort(-n, kind="stable")[: min(FREQUENT, int((n > 2).sum()))]
-                yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["shingle", "n"])
+                told = (n > 2) | (h < low)
+                yield pa.RecordBatch.from_arrays([pa.array(h[told].view(np.int64)), pa.array(n[told])], ["shingle", "n"])
 
     counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(emptied(count), "shingle long, n long")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > PIVOT).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    return {r["shingle"]: len(top) - i for i, r in enumerate(top)}
+    counted = materialise(counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > PIVOT), "frequent")
+    # the levels (at most a few hundred) show down to which count they are few enough; no task sends more than these
+    level = F.floor(8 * F.log2("n"))
+    least, held = None, 0
+    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("held")).orderBy(F.desc("level")).collect():
+        held += r["held"]
+        if held > FREQUENT:
+            break
+        least = r["level"]
+    top = counted.where(F.lit(False) if least is None else level >= least).toArrow()
+    discard(counted)
+    return top
 
 
 def prefix(hashes: np.ndarray, ranks: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
@@ -215,16 +240,20 @@ def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, simila
 
     Two sets of Jaccard similarity s share more than they lose, so in any common order of shingles the first
     n - ceil(s n) + 1 of each have one in common (prefix filter). Rare shingles come first. A pair must also share
-    so many of these that its similarity can be reached. Pairs within the largest component of a bucket are not made.
+    so many of these that its similarity can be reached. Pairs within the largest component of a bucket are not made. In a bucket
+    of more than ``CROWDED`` members a pair is made once, by the first such shingle that it shares, and only if it shares enough.
     """
-    ranked = _frequent(texts, size)
-    keys = np.array(sorted(ranked, key=lambda k: k & (1 << 64) - 1), np.int64)
-    box = texts.sparkSession.sparkContext.broadcast((keys.view(np.uint64), np.array([ranked[int(k)] for k in keys], np.int64)))  # at most 1 MB
+    ranked = _frequent(texts, size, similarity)
+    keys, shared_by = ranked.column("shingle").to_numpy().view(np.uint64), ranked.column("n").to_numpy()
+    ranks = np.empty(len(keys), np.int64)
+    ranks[np.lexsort((keys, shared_by))] = np.arange(1, len(keys) + 1)
+    order = np.argsort(keys)
+    box = texts.sparkSession.sparkContext.broadcast((keys[order], ranks[order]))  # at most 2 MB
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, ranks = box.value
         for batch in _some(batches):
-            sets = [np.unique(shingle_hashes(x, size)) for x in batch.column("text").to_pylist()]
+            sets = [np.unique(text_shingles(x, size)) for x in batch.column("text").to_pylist()]
             heads = [prefix(h, ranks, frequent, similarity).view(np.int64) for h in sets]
             runs = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
             keys = pa.ListArray.from_arrays(runs, pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
@@ -233,20 +262,31 @@ def _across(rows: DataFrame, texts: DataFrame, own: DataFrame, size: int, simila
     # prefixes are cut where the texts are read, so no text moves
     cuts = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(emptied(cut), "id long, n long, keys array<long>")
     cuts = cuts.join(rows.select("id").distinct(), "id", "left_semi").join(own.withColumnRenamed("node", "id"), "id", "left")
-    keyed = cuts.select("id", "n", F.coalesce("component", "id").alias("own"), F.explode("keys").alias("key")).repartition("key")
+    cuts = materialise(cuts.select("id", "n", F.coalesce("component", "id").alias("own"), "keys"), "heads")
+    keyed = cuts.select("id", "n", "own", F.explode("keys").alias("key")).repartition("key")
     parts = keyed.groupBy("key", "own").agg(F.count("*").alias("members"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("own", F.struct("members", "own")).alias("top")).where("parts > 1").drop("parts")
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("own", F.struct("members", "own")).alias("top"), F.sum("members").alias("members")).where("parts > 1").drop("parts")
     placed = materialise(keyed.join(mixed, "key"), "prefixes")
-    x, y = placed.where("own <> top").alias("x"), placed.alias("y")
-    meet = x.join(y, "key").where("x.own <> y.own and (y.own = y.top or x.id < y.id)")
-    meet = meet.where((F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
     rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
-    shared = meet.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"),
-        rest(F.greatest("x.n", "y.n")).alias("beyond"),
-    ).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("both").alias("both"), F.max("beyond").alias("beyond"))
-    out = materialise(shared.where(F.col("common") + F.col("beyond") >= similarity / (1 + similarity) * F.col("both") - 1e-6).select("a", "b"), "across")
-    discard(placed)
+    least, beyond = similarity / (1 + similarity), rest(F.greatest("x.n", "y.n"))
+    ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+
+    def meeting(members: DataFrame) -> DataFrame:
+        x, y = members.where("own <> top").alias("x"), members.alias("y")
+        meet = x.join(y, "key").where("x.own <> y.own and (y.own = y.top or x.id < y.id)")
+        return meet.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+
+    shared = meeting(placed.where(F.col("members") <= CROWDED)).select(*ends, (F.col("x.n") + F.col("y.n")).alias("both"), beyond.alias("beyond"))
+    shared = shared.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("both").alias("both"), F.max("beyond").alias("beyond"))
+    shared = shared.where(F.col("common") + F.col("beyond") >= least * F.col("both") - 1e-6).select("a", "b")
+    # pairs with a crowded shingle in common are made by the first of these, and only where the whole prefixes share enough
+    many = placed.where(F.col("members") > CROWDED)
+    heads = many.groupBy("id").agg(F.collect_set("key").alias("crowded")).join(cuts.select("id", "keys"), "id")
+    common = F.size(F.array_intersect("x.keys", "y.keys"))
+    crowds = meeting(many.join(heads, "id")).where(F.array_min(F.array_intersect("x.crowded", "y.crowded")) == F.col("key"))
+    crowds = crowds.where(common + beyond >= least * (F.col("x.n") + F.col("y.n")) - 1e-6).select(*ends)
+    out = materialise(shared.union(crowds).distinct(), "across")
+    discard(placed, cuts)
     return out
 
 
