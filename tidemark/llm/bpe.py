@@ -120,6 +120,7 @@ class Ranks:
             at = second + drawn[fits[0]]
             free[at], offsets[a] = False, drawn[fits[0]]
             entries[at] = a + 1 << BITS | np.array([rank for _, rank in row])
+        self.__dict__.pop("pairs", None)  # the driver needs them for nothing else
         return entries.tolist(), offsets.tolist()
 
 
